@@ -6,19 +6,20 @@ nothing. Groups of any size are scanned in blocks, see :mod:`strata.operators.sc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.operators.scan import BLOCK, running
 
-_STEP = F.when(F.col("layer_type") == "FOLDER", 1).when(F.col("layer_type") == "HIDDEN", -1).otherwise(0)
+def _step() -> Column:
+    return F.when(F.col("layer_type") == "FOLDER", 1).when(F.col("layer_type") == "HIDDEN", -1).otherwise(0)
 
 
 def levels(layers: DataFrame) -> DataFrame:
     """(path, idx, layer_type, step, sum, before, after): the running sum of steps from the top, and the levels around
     the row, which never fall below 0. The sum and its lowest value are carried over the blocks together."""
-    d = layers.select("path", "idx", "layer_type", _STEP.alias("step"), F.floor(-F.col("idx") / BLOCK).alias("_b"))
+    d = layers.select("path", "idx", "layer_type", _step().alias("step"), F.floor(-F.col("idx") / BLOCK).alias("_b"))
     w = Window.partitionBy("path", "_b").orderBy(F.desc("idx"))
     to_here, above = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     local = d.withColumn("_s", F.sum("step").over(to_here)).withColumn("_low", F.min("_s").over(above))
