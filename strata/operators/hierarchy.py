@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.session import frames
+
 #: Ids per block, and blocks per block of the next level.
 BLOCK = 1 << 16
 FANOUT = 256
@@ -159,7 +161,7 @@ def _merge_kernel(with_chain: bool):
 
 
 def _run(df: DataFrame, block: Column, kernel) -> DataFrame:
-    return df.withColumn("block", block).repartition("path", "block").sortWithinPartitions("path", "block", "idx").mapInPandas(kernel, _SCHEMA)
+    return df.withColumn("block", block).repartition("path", "block").sortWithinPartitions("path", "block", "idx").transform(frames, kernel, _SCHEMA)
 
 
 def hierarchy(df: DataFrame, path: str = "path", idx: str = "idx", parent: str = "parent_index", order: str | None = None, with_chain: bool = True) -> DataFrame:

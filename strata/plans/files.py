@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators import layers
-from strata.session import stored, table
+from strata.session import frames, stored, table
 from strata.sources import document, psd
 
 _SIDE = 8
@@ -39,7 +39,7 @@ def _documents(batches):
 def built(spark: SparkSession, d: str) -> DataFrame:
     """(path, content) of a document for each path of the layers table."""
     l = layers.layers_once(table(spark, d, "layers")).select("path", F.struct("idx", "layer_type", F.coalesce("layer_id", F.lit(0)).alias("layer_id"), layers.display_name().alias("name"), F.coalesce("opacity", F.lit(255)).alias("opacity"), F.coalesce("flag", F.lit(0)).alias("flag")).alias("x"))
-    return l.groupBy("path").agg(F.collect_list("x").alias("parts")).mapInPandas(_documents, "path string, content binary")
+    return l.groupBy("path").agg(F.collect_list("x").alias("parts")).transform(frames, _documents, "path string, content binary")
 
 
 def psd_roundtrip(spark: SparkSession, d: str) -> DataFrame:

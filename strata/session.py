@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,19 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if planned_bytes(df) <= limit else df
 
 
+def frames(df: DataFrame, kernel: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """``mapInPandas`` that leaves out empty frames and hands on text as plain objects, which Arrow always takes."""
+
+    def run(batches):
+        import pandas as pd
+
+        for f in kernel(batches):
+            if len(f):
+                yield f.astype({c: object for c in f.columns if isinstance(f[c].dtype, pd.StringDtype)})
+
+    return df.mapInPandas(run, schema)
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once per application; needed where they don't share the driver's Python path."""
     sc = spark.sparkContext

@@ -23,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from strata.sources import document
+from strata.session import frames
 
 PARTITION_BYTES = 64 << 20
 
@@ -141,7 +142,7 @@ def tables(files: DataFrame, table: str, path: str = "path", content: str = "con
             rows = [r for p, c in zip(b["p"], b["c"]) if c is not None for r in document.read(p, bytes(c))[table]]
             yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
-    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInPandas(run, schema)
+    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).transform(frames, run, schema)
 
 
 _PARTS = {
@@ -188,7 +189,7 @@ def assemble(documents: DataFrame, layers: DataFrame, channels: DataFrame, resou
         else:
             own = [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in cols]
             d = d.join(df.groupBy("path").agg(F.collect_list(F.struct(*own)).alias(t)), "path", "left")
-    return d.mapInPandas(_build, "path string, content binary")
+    return d.transform(frames, _build, "path string, content binary")
 
 
 # --------------------------------------------------------------------------------------------------------------- images
@@ -246,7 +247,7 @@ def layer_images(documents: DataFrame, layers: DataFrame, channels: DataFrame, m
     chans = channels.where(wanted).groupBy("path", "idx").agg(F.array_sort(F.collect_list(F.struct("ch_pos", "ch_id", "compression", "data"))).alias("chans"))
     l = layers.where("rect_right > rect_left and rect_bottom > rect_top" if mode != "mask" else "mask is not null").select("path", "idx", "rect_top", "rect_left", "rect_bottom", "rect_right", "mask")
     d = documents.where("error is null").select("path", "depth", "mode", "color_data")
-    return l.join(chans, ["path", "idx"]).join(d, "path").mapInPandas(_images(mode), _IMAGE)
+    return l.join(chans, ["path", "idx"]).join(d, "path").transform(frames, _images(mode), _IMAGE)
 
 
 def _merged(batches):
@@ -265,7 +266,7 @@ def _merged(batches):
 
 def merged_images(documents: DataFrame) -> DataFrame:
     """The stored composite of each document."""
-    return documents.where("error is null and length(composite) > 2").select("path", "width", "height", "depth", "mode", "channels", "composite").mapInPandas(_merged, _IMAGE)
+    return documents.where("error is null and length(composite) > 2").select("path", "width", "height", "depth", "mode", "channels", "composite").transform(frames, _merged, _IMAGE)
 
 
 def _fold(batches):
@@ -289,7 +290,7 @@ def composite(documents: DataFrame, layers: DataFrame, images: DataFrame, show:
     l = l.join(show.select("path", "idx"), ["path", "idx"], "left_semi") if show is not None else l.where("flag & 2 = 0")
     parts = images.join(l.select("path", "idx", F.col("rect_top").alias("top"), F.col("rect_left").alias("left"), "opacity"), ["path", "idx"])
     each = parts.groupBy("path").agg(F.collect_list(F.struct("idx", "top", "left", "opacity", "width", "height", "bgra")).alias("parts"))
-    return documents.where("error is null").select("path", "width", "height").join(each, "path").mapInPandas(_fold, _IMAGE)
+    return documents.where("error is null").select("path", "width", "height").join(each, "path").transform(frames, _fold, _IMAGE)
 
 
 def export_png(images: DataFrame) -> DataFrame:
@@ -305,7 +306,7 @@ def export_png(images: DataFrame) -> DataFrame:
             data = [image.png(np.frombuffer(bytes(x), dtype=np.uint8).reshape(h, w, 4)) for x, w, h in zip(b["bgra"], b["width"], b["height"])]
             yield pd.DataFrame({"path": name, "content": data})
 
-    return images.mapInPandas(run, "path string, content binary")
+    return images.transform(frames, run, "path string, content binary")
 
 
 def bleed(images: DataFrame, passes: int = 8) -> DataFrame:
@@ -319,7 +320,7 @@ def bleed(images: DataFrame, passes: int = 8) -> DataFrame:
         for b in batches:
             yield b.assign(bgra=[image.bleed(np.frombuffer(bytes(x), dtype=np.uint8).reshape(h, w, 4), passes).tobytes() for x, w, h in zip(b["bgra"], b["width"], b["height"])])
 
-    return images.mapInPandas(run, _IMAGE)
+    return images.transform(frames, run, _IMAGE)
 
 
 def manifest(layers: DataFrame) -> DataFrame:
