@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.confusables import fold, whole_image
-from strata.session import small
+from strata.session import frames, small
 
 #: Codecs that text is wrongly shown in, and codecs that it was written in.
 SHOWN = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp866", "koi8_r", "gbk", "cp932", "euc_jp", "cp949", "big5", "cp1250", "mac_cyrillic")
@@ -49,6 +49,8 @@ CUT_COST = 18.0
 PLAUSIBLE = 4.6
 ALONE = 3.5
 MAX_STEPS = 4
+#: How much worse than the text itself a node on the way may be.
+DETOUR = 15.0
 LOST = "\ufffd"
 #: Nodes expanded at most; the search ends before that when nothing cheaper is left to try.
 MAX_NODES = 40
@@ -208,8 +210,10 @@ def restore(text: str, model: Plausibility) -> tuple[str, list[str], float]:
     seen, seen_bytes, expanded = {text}, set(), 0
     while heap and expanded < MAX_NODES:
         cost, depth, t, steps = heapq.heappop(heap)
-        # what is far worse than the best so far leads nowhere; neither does what is plausible throughout
-        if depth >= MAX_STEPS or (depth and (cost > 1.6 * best[0] + 40 or model.worst(t) < PLAUSIBLE)):
+        if depth and model.worst(t) < PLAUSIBLE:
+            break  # the cheapest of all that is left is plausible throughout
+        # undoing one of several wrong decodings may cost a little at first, but not much
+        if depth >= MAX_STEPS or cost > first + DETOUR:
             continue
         expanded += 1
         for step, n, cut in neighbours(t, seen_bytes):
@@ -311,7 +315,7 @@ def _count_bigrams(batches):
 
 def plausibility(df: DataFrame, fields: list[str]) -> Plausibility:
     """The bigram model of all values of ``fields``; counted in the partitions, summed, and bounded by ``LEAST_SHARE``."""
-    counts = df.select(*fields).mapInPandas(_count_bigrams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    counts = df.select(*fields).transform(frames, _count_bigrams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
     # the sum of a few ten thousand pairs; the share bounds what comes to the driver to 1 / LEAST_SHARE pairs
     kept = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("s")))).where(F.col("n") >= F.col("s") * LEAST_SHARE)
     return Plausibility({r["g"]: float(r["n"]) for r in kept.select("g", "n").toLocalIterator() if len(r["g"]) == 2})
@@ -364,7 +368,7 @@ def judged(df: DataFrame, fields: list[str], model: Plausibility, keep_all: bool
     if not keep_all:
         rows = rows.where(" or ".join(f"{f} rlike '[^\\\\x09-\\\\x7e]|&#?\\\\w+;|%[0-9A-Fa-f]|\\\\\\\\u|=[0-9A-F]'" for f in fields))
     rows = rows.join(small(limits), rows["source"].eqNullSafe(limits["source"]), "left").drop(limits["source"])
-    return rows.mapInPandas(run, "path string, idx int, source string, field string, value string, garbled boolean, restored string, steps string")
+    return rows.transform(frames, run, "path string, idx int, source string, field string, value string, garbled boolean, restored string, steps string")
 
 
 def garbled(df: DataFrame, fields: list[str] = ("layer_name", "name_unicode"), model: Plausibility | None = None) -> DataFrame:
