@@ -34,7 +34,7 @@ _BLANK = re.compile("[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WIDE = re.compile("[\uff01-\uff9f\uffa1-\uffef]+")
 #: Anything that may need work: a text without these is its own form.
 SIGNS = re.compile("[\u00a0\u00ad\u0300-\u052f\u0530-\u058f\u0591-\u065f\u0670-\u0711\u0900-\u1fff\u2000-\u200f\u2028-\u202f\u205f-\u206f\u20d0-\u20ff\u2126-\u212b\u3000\u302a-\u302f\u3099-\u309c\u3130-\u318f\ufe00-\ufe0f\ufe20-\ufe2f\ufeff-\uffef\ufff9-\ufffb\U00010000-\U0010ffff]")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 _FOREIGN = re.compile("[\u0370-\u058f\u1f00-\u1fff]")
 _KANA_MARK = re.compile("([\u3041-\u30ff])([\u309b\u309c])")
 
@@ -91,7 +91,7 @@ def _one_script(word: str) -> str:
             only = sum(1 for c in word if _script(c) == target and not any(c in _BETWEEN.get((target, s), ()) for s in own if s != target))
             score = (only, own[target], target == "LATIN")
             if best is None or score > best[0]:
-                best = (score, "".join(tables[_script(c)].get(c, c) if _script(c) != target else c for c in word))
+                best = (score, "".join(tables.get(_script(c), {}).get(c, c) for c in word))
     return best[1] if best else word
 
 
@@ -153,5 +153,5 @@ def fold(text: str | None, whole_words: dict[str, str] | None = None) -> tuple[s
                 why.add("script")
             return v
 
-        text = _WORD.sub(word, text)
+        text = ud.normalize("NFC", _WORD.sub(word, text))
     return text, sorted(why)

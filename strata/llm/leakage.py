@@ -1,8 +1,8 @@
 """Evaluation texts leaking into training text.
 
 The words of every readable part are written once. All n-grams of the test items are counted over the whole corpus by
-an automaton; of each stretch of ``RUN`` words of an item the rarest n-gram becomes a seed, so that no copied stretch
-is without one. Seeds found in a part join it to items; the region around them is aligned with the item by
+an automaton; of each stretch of ``RUN`` words of an item the rarest n-gram that occurs becomes a seed, so that no copied
+stretch is without one. Seeds found in a part join it to items; the region around them is aligned with the item by
 Smith-Waterman over words (match 2, mismatch -1, gap -1), which scores edited and paraphrased copies, and in the same
 pass the longest exact run is measured.
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import mail
-from strata.session import stored
+from strata.session import frames, stored
 
 RUN = 12
 NGRAM = 6
@@ -51,7 +51,7 @@ def _parts(batches):
 
 def part_words(documents: DataFrame) -> DataFrame:
     """(doc_id, part, words): the words of each readable part, separated by blanks."""
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(_parts, "doc_id bigint, part int, words string")
+    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").transform(frames, _parts, "doc_id bigint, part int, words string")
 
 
 def _automaton(grams):
@@ -81,13 +81,13 @@ def _counter(grams):
 
 
 def seeds_of(items: list[tuple[int, list[str]]], counts: dict[str, int]) -> dict[str, list[int]]:
-    """Seed n-gram -> positions of its items: of each stretch of RUN words the rarest n-gram, the first among equals."""
+    """Seed n-gram -> positions of its items: of each stretch of RUN words the rarest n-gram that occurs."""
     seeds: dict[str, set[int]] = {}
     for at, (_, w) in enumerate(items):
         grams = [" ".join(w[k : k + NGRAM]) for k in range(len(w) - NGRAM + 1)]
         span = RUN - NGRAM + 1
         for k in range(max(1, len(grams) - span + 1) if grams else 0):
-            best = min(grams[k : k + span], key=lambda g: counts.get(g, 0))
+            best = min(grams[k : k + span], key=lambda g: counts.get(g) or float("inf"))
             seeds.setdefault(best, set()).add(at)
     return {g: sorted(v) for g, v in seeds.items()}
 
@@ -169,9 +169,9 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         if not grams:
             continue
         sent = spark.sparkContext.broadcast(grams)
-        counted = parts.select("words").mapInPandas(_counter(sent), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+        counted = parts.select("words").transform(frames, _counter(sent), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
         counts = {grams[r["k"]]: r["n"] for r in counted.toLocalIterator()}  # at most one row per n-gram of the block
-        hit = parts.mapInPandas(_matcher(spark.sparkContext.broadcast((held, seeds_of(held, counts)))), _SCHEMA)
+        hit = parts.transform(frames, _matcher(spark.sparkContext.broadcast((held, seeds_of(held, counts)))), _SCHEMA)
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         found = spark.createDataFrame([], _SCHEMA)

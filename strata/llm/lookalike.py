@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.confusables import SIGNS, fold, whole_image
 from strata.llm.mojibake import Plausibility, judge
-from strata.session import small
+from strata.session import frames, small
 
 TIMES = 20
 #: Letters with look-alikes in another script, for the count of images.
@@ -44,7 +44,7 @@ def whole_words(values: DataFrame, column: str = "value") -> DataFrame:
     """(w, image): words in lower case, wholly in look-alikes, that the corpus spells otherwise."""
     v = values.where(f"{column} is not null")
     found = _words(v.where(F.col(column).rlike("[\\u0370-\\u03ff\\u0400-\\u058f]{3}")), column, _WHOLE).groupBy("w").agg(F.count("*").alias("n"))
-    found = found.mapInPandas(_images, "w string, image string, n bigint")
+    found = found.transform(frames, _images, "w string, image string, n bigint")
     known = _words(v, column, _IMAGE).join(found.select(F.col("image").alias("w")).distinct(), "w", "left_semi").groupBy(F.col("w").alias("image")).agg(F.count("*").alias("m"))
     return found.join(known, "image").where(F.col("m") >= TIMES * F.col("n")).select("w", "image")
 
@@ -84,7 +84,7 @@ def one_form(values: DataFrame, model: Plausibility, cases_only: bool = False) -
     v = values.select("path", "idx", "field", "value")
     rows = v.where(F.col("value").rlike("[^\\x00-\\x7e]")) if cases_only else v
     schema = "path string, idx int, field string, value string, form string, why string, whole array<string>"
-    folded = rows.mapInPandas(_fold_kernel(sent, cases_only), schema)
+    folded = rows.transform(frames, _fold_kernel(sent, cases_only), schema)
     sure = folded.where("size(whole) = 0 or whole is null").select("path", "idx", "field", "value", "form", "why")
     open_ = folded.where("size(whole) > 0")
     words = whole_words(values)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strata.session import stored
+from strata.session import frames, stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level BPE splits text before merging.
@@ -51,7 +51,7 @@ def _tokens(tokenizer: str):
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, message_id, n_tokens) of each document once."""
     d = documents.where("doc_id is not null and text is not null and source is not null").select("doc_id", "source", "message_id", "text")
-    counted = d.mapInPandas(_tokens(tokenizer), "doc_id bigint, source string, message_id string, n_tokens bigint")
+    counted = d.transform(frames, _tokens(tokenizer), "doc_id bigint, source string, message_id string, n_tokens bigint")
     return counted.groupBy("doc_id").agg(F.min(F.struct("source", "message_id", "n_tokens")).alias("m")).select("doc_id", "m.*")
 
 
@@ -160,7 +160,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, n_docs, n_tokens, share, most_times): the shares reached."""
     got = chosen.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("times")).alias("n_tokens"), F.max("times").alias("most_times"))
-    full = targets.join(got, "source", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
+    goal = targets.where("source is not null").groupBy("source").agg(F.min("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
+    full = goal.join(got, "source", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
     whole = full.agg(F.sum("n_tokens").alias("whole"))
     return full.crossJoin(F.broadcast(whole)).select(
         "source", "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "n_tokens",

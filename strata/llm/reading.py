@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import mail
+from strata.session import frames
 
 LABELLED = 20_000
 GRADES = 19
@@ -116,7 +117,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> Level:
     graded = labels.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.avg("grade").alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # the bounded sample of labelled rows
     rows = documents.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
-    texts = [(r["grade"], r["words"].split()) for r in rows.mapInPandas(_prose, "doc_id bigint, grade double, words string").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator() if r["words"]]
+    texts = [(r["grade"], r["words"].split()) for r in rows.transform(frames, _prose, "doc_id bigint, grade double, words string").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator() if r["words"]]
     return Level(texts)
 
 
@@ -133,7 +134,7 @@ def levels(documents: DataFrame, labels: DataFrame, model: Level | None = None)
                 out.append((i, *m.of(w), len(w)))
             yield pd.DataFrame(out, columns=["doc_id", "level", "known_share", "n_words"]).astype({"doc_id": "int64", "level": "float64", "known_share": "float64", "n_words": "int32"})
 
-    scored = documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, level double, known_share double, n_words int")
+    scored = documents.where("doc_id is not null").select("doc_id", "text").transform(frames, run, "doc_id bigint, level double, known_share double, n_words int")
     scored = scored.withColumn("level", F.when(~F.isnan("level"), F.col("level")))
     return scored.groupBy("doc_id").agg(F.max(F.struct("level", "known_share", "n_words")).alias("m")).select("doc_id", "m.*")
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.confusables import fold
 from strata.llm.mojibake import LOST, Plausibility, field_limits, judge
-from strata.session import small, stored
+from strata.session import frames, small, stored
 
 FIELDS = ["layer_name", "name_unicode"]
 #: A last word is unknown if its uses are below this share of the uses of words that continue it; more at a limit.
@@ -105,7 +105,7 @@ def prepared(layers: DataFrame, model: Plausibility) -> DataFrame:
     limits = small(field_limits(layers, FIELDS))
     rows = rows.join(limits, rows["source"].eqNullSafe(limits["source"]), "left").drop(limits["source"])
     sent = layers.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInPandas(_prepare(sent), "path string, idx int, source string, field string, at_limit boolean, text string, half boolean, sentence boolean, words array<string>")
+    return rows.transform(frames, _prepare(sent), "path string, idx int, source string, field string, at_limit boolean, text string, half boolean, sentence boolean, words array<string>")
 
 
 def trie(ready: DataFrame) -> DataFrame:
