@@ -1,8 +1,8 @@
 """Evaluation texts leaking into training text.
 
 The words of every readable part are written once. All n-grams of the test items are counted over the whole corpus by
-an automaton; of each stretch of ``RUN`` words of an item the rarest n-gram that occurs becomes a seed, so that no copied
-stretch is without one. Seeds found in a part join it to items; the region around them is aligned with the item by
+an automaton; of each stretch of ``RUN`` words of an item that may occur the rarest n-gram becomes a seed, so that no
+copied stretch is without one. Seeds found in a part join it to items; the region around them is aligned with the item by
 Smith-Waterman over words (match 2, mismatch -1, gap -1), which scores edited and paraphrased copies, and in the same
 pass the longest exact run is measured.
 
@@ -29,8 +29,10 @@ from strata.session import frames, stored
 
 RUN = 12
 NGRAM = 6
-#: Least alignment score of a copy that holds no exact run of RUN words: twelve words and a few edits.
-SCORE = 24
+#: Least alignment score of a copy that holds no exact run of RUN words, alone and as a share of the item's own.
+SCORE, SCORE_SHARE = 24, 0.5
+#: An n-gram of a stretch that never occurs whole is a seed for edited copies if it is in this share of the parts.
+RARE_SHARE, RARE_LEAST = 1e-4, 2
 BLOCK_BYTES = 16 << 20
 
 _SCHEMA = "doc_id bigint, item_id bigint, part int, score int, run int, share double"
@@ -80,15 +82,19 @@ def _counter(grams):
     return run
 
 
-def seeds_of(items: list[tuple[int, list[str]]], counts: dict[str, int]) -> dict[str, list[int]]:
-    """Seed n-gram -> positions of its items: of each stretch of RUN words the rarest n-gram that occurs."""
+def seeds_of(items: list[tuple[int, list[str]]], counts: dict[str, int], rare: float = RARE_LEAST) -> dict[str, list[int]]:
+    """Seed n-gram -> positions of its items. A stretch of RUN words whose n-grams all occur may be copied as it is: its
+    rarest n-gram is a seed. Of any other stretch the rarest that occurs is one only if it is rare, for edited copies."""
     seeds: dict[str, set[int]] = {}
+    span = RUN - NGRAM + 1
     for at, (_, w) in enumerate(items):
         grams = [" ".join(w[k : k + NGRAM]) for k in range(len(w) - NGRAM + 1)]
-        span = RUN - NGRAM + 1
+        n = [counts.get(g, 0) for g in grams]
         for k in range(max(1, len(grams) - span + 1) if grams else 0):
-            best = min(grams[k : k + span], key=lambda g: counts.get(g) or float("inf"))
-            seeds.setdefault(best, set()).add(at)
+            here = range(k, min(k + span, len(grams)))
+            best = min(here, key=lambda j: n[j] or float("inf"))
+            if n[best] and (n[best] <= rare or all(n[j] for j in here)):
+                seeds.setdefault(grams[best], set()).add(at)
     return {g: sorted(v) for g, v in seeds.items()}
 
 
@@ -147,7 +153,7 @@ def _matcher(sent):
                             j += 1
                         best = max(best, *[align(item, doc[max(0, places[k] - reach) : places[j] + reach])], key=lambda x: (x[1] >= RUN, x[0], x[1]))
                         k = j + 1
-                    if best[1] >= RUN or best[0] >= SCORE:
+                    if best[1] >= RUN or best[0] >= max(SCORE, SCORE_SHARE * 2 * len(items[o][1])):
                         out.append((i, items[o][0], part, best[0], best[1], best[0] / (2 * len(item))))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "part", "score", "run", "share"]).astype({"doc_id": "int64", "item_id": "int64", "part": "int32", "score": "int32", "run": "int32", "share": "float64"})
 
@@ -161,6 +167,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     own = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-size // BLOCK_BYTES)
+    rare = max(RARE_LEAST, RARE_SHARE * parts.count())
     found = None
     for n in range(blocks):
         block = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n)
@@ -171,7 +178,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(grams)
         counted = parts.select("words").transform(frames, _counter(sent), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
         counts = {grams[r["k"]]: r["n"] for r in counted.toLocalIterator()}  # at most one row per n-gram of the block
-        hit = parts.transform(frames, _matcher(spark.sparkContext.broadcast((held, seeds_of(held, counts)))), _SCHEMA)
+        hit = parts.transform(frames, _matcher(spark.sparkContext.broadcast((held, seeds_of(held, counts, rare)))), _SCHEMA)
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         found = spark.createDataFrame([], _SCHEMA)

@@ -162,8 +162,8 @@ def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     got = chosen.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("times")).alias("n_tokens"), F.max("times").alias("most_times"))
     goal = targets.where("source is not null").groupBy("source").agg(F.min("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     full = goal.join(got, "source", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
-    whole = full.agg(F.sum("n_tokens").alias("whole"))
-    return full.crossJoin(F.broadcast(whole)).select(
+    whole = chosen.agg(F.coalesce(F.sum(F.col("n_tokens") * F.col("times")), F.lit(0))).first()[0]
+    return full.select(
         "source", "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "n_tokens",
-        F.when(F.col("whole") > 0, F.col("n_tokens") / F.col("whole")).alias("share"), F.coalesce("most_times", F.lit(0)).alias("most_times"),
+        (F.col("n_tokens") / F.lit(float(whole) if whole else None)).alias("share"), F.coalesce("most_times", F.lit(0)).alias("most_times"),
     )

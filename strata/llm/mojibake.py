@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.confusables import fold, whole_image
-from strata.session import frames, small
+from strata.session import frames, small, stored
 
 #: Codecs that text is wrongly shown in, and codecs that it was written in.
 SHOWN = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp866", "koi8_r", "gbk", "cp932", "euc_jp", "cp949", "big5", "cp1250", "mac_cyrillic")
@@ -316,8 +316,10 @@ def _count_bigrams(batches):
 def plausibility(df: DataFrame, fields: list[str]) -> Plausibility:
     """The bigram model of all values of ``fields``; counted in the partitions, summed, and bounded by ``LEAST_SHARE``."""
     counts = df.select(*fields).transform(frames, _count_bigrams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-    # the sum of a few ten thousand pairs; the share bounds what comes to the driver to 1 / LEAST_SHARE pairs
-    kept = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("s")))).where(F.col("n") >= F.col("s") * LEAST_SHARE)
+    counts = stored(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # the share bounds what comes to the driver to 1 / LEAST_SHARE pairs
+    kept = counts.where(F.col("n") >= total * LEAST_SHARE)
     return Plausibility({r["g"]: float(r["n"]) for r in kept.select("g", "n").toLocalIterator() if len(r["g"]) == 2})
 
 
