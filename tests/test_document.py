@@ -218,3 +218,34 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         streaming.ingest(spark, str(tmp_path / "in"), "layers", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_block_edits(spark, tmp_path):
+    from strata.operators import metadata
+
+    (tmp_path / "a.psd").write_bytes(sample())
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    t = {n: psd.tables(files, n) for n in ("documents", "layers", "channels", "resources", "document_blocks", "info_blocks", "descriptors")}
+    path = t["layers"].first()["path"]
+    text = spark.createDataFrame([(path, 4, "edited")], "path string, idx int, text string")
+    blocks = metadata.set_text(t["info_blocks"], text)
+    style = spark.createDataFrame([(path, 4, 0, -100, True)], "path string, idx int, run int, tracking int, italic boolean")
+    blocks = metadata.set_run_style(blocks, style)
+    effects = spark.createDataFrame([(path, 2, '{"Opct": 75}')], "path string, idx int, json string")
+    blocks = metadata.set_descriptor(blocks, effects)
+    layers = metadata.mark_dirty(t["layers"], text.select("path", "idx").union(effects.select("path", "idx")))
+    new = spark.createDataFrame([(path, b"Txt2 gone")], "path string, data binary")
+    trailing = metadata.set_document_block(metadata.set_document_block(t["document_blocks"], new, "FMsk"), new.withColumn("data", F.lit(None).cast("binary")), "Txt2")
+    built = psd.assemble(t["documents"], layers, t["channels"], t["resources"], trailing, blocks).first()
+    got = document.read("x", bytes(built["content"]))
+    assert got["documents"][0]["error"] is None and got["text_layers"][0]["text"] == "edited\r"
+    assert got["text_runs"][0]["tracking"] == -100 and got["text_runs"][0]["italic"] is True
+    assert '"value": 75.0' in got["descriptors"][0]["json"]
+    assert [b["key"] for b in got["document_blocks"]] == ["lnk2", "FMsk"] and got["document_blocks"][1]["data"] == b"Txt2 gone"
+    assert metadata.xmp(t["resources"]).first()["xmp"] == "<x/>" and metadata.resource_ids(t["resources"]).first()["ids"] == [1005, 1032, 1060]
+    assert metadata.info_keys(t["info_blocks"]).where("idx = 2").first()["keys"] == ["luni", "lyid", "lfx2", "lclr", "iOpa"]
+    assert bytes(metadata.info_block(t["info_blocks"], "lyid").where("idx = 2").first()["data"]) == b"\0\0\0\3"
+    assert metadata.document_block(t["document_blocks"], "lnk2").count() == 1 and metadata.effects(t["descriptors"]).count() == 1 and metadata.fills(t["descriptors"]).count() == 0
+    n = t["resources"].where("id = 1005").select(metadata.big_endian(F.col("data"), 0, 4).alias("n"), metadata.big_endian(F.unhex(F.lit("FFFE")), 0, 2, True).alias("m"), metadata.padding(F.lit(5), 4).alias("p")).first()
+    assert (n["n"], n["m"], n["p"]) == (144 << 16, -2, 3)
+    assert spark.range(1).select(metadata.utf16_to_utf8(metadata.utf8_to_utf16(F.lit("é\U0001f351"))).alias("t"), metadata.fixed_to_dpi(F.lit(144 << 16)).alias("d")).first()[0:2] == ("é\U0001f351", 144.0)
