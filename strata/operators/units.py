@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.session import small
+from strata.session import bounded
 
 #: Unit -> (kind, factor to the common unit; lengths to inches, pixels apart).
 UNITS = {
@@ -148,10 +148,10 @@ def common_units(leaves: DataFrame, headers: DataFrame) -> DataFrame:
     per = F.when(F.col("said").isNull(), F.col("num") * dpi / DEFAULT_DPI).otherwise(F.col("v"))
     bins = q.where(per > 0).groupBy("jpath", "kind", F.floor(F.log(per) / BIN).alias("bin")).agg(F.count("*").alias("n"))
     of = bins.where("kind is not null").groupBy("jpath", "kind").agg(F.sum("n").alias("s")).groupBy("jpath").agg(F.max_by("kind", "s").alias("k"))
-    hist = bins.join(small(of), "jpath").where("kind is null or kind = k").select("jpath", F.col("k").alias("kind"), F.col("kind").isNotNull().alias("known"), "bin", "n")
+    hist = bins.join(bounded(of), "jpath").where("kind is null or kind = k").select("jpath", F.col("k").alias("kind"), F.col("kind").isNotNull().alias("known"), "bin", "n")
     model = hist.groupBy("jpath").applyInPandas(_fit, "jpath string, kind string, cand string, weight double, mu double, sd double")
     cands = model.groupBy("jpath").agg(F.first("kind").alias("k"), F.collect_list(F.struct("cand", "weight", "mu", "sd")).alias("c"))
-    q = q.join(small(cands), "jpath", "left")
+    q = q.join(bounded(cands), "jpath", "left")
 
     shift = lambda c: F.coalesce(F.log(_lookup(c["cand"], 1) * F.when(F.col("k") == "length", dpi).otherwise(1.0)), F.lit(0.0))
     z = lambda c: F.when(F.col("num") > 0, (F.log("num") + shift(c) - c["mu"]) / c["sd"]).otherwise(0.0)

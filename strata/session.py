@@ -12,10 +12,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if its planned size is below this.
-BROADCAST_BYTES = 8 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,14 +23,11 @@ def shared_checkpoint(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "strata-checkpoint"))
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the size of ``df``."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast if the optimizer's estimate is within ``limit``; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if planned_bytes(df) <= limit else df
+def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` as a broadcast local table if it has at most ``rows`` rows, which is found out by running it; otherwise as
+    it is, for a join by shuffle."""
+    held = df.limit(rows + 1).collect()
+    return df if len(held) > rows else F.broadcast(df.sparkSession.createDataFrame(held, df.schema, verifySchema=False))
 
 
 def frames(df: DataFrame, kernel: Callable[[Iterator], Iterator], schema) -> DataFrame:
