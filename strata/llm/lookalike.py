@@ -1,8 +1,7 @@
 """Visually identical text on DataFrames: the one form of each value and what was changed.
 
 The form of a value is :func:`strata.llm.confusables.fold`. Words wholly in look-alike letters of another script need
-the corpus: the image is taken where its words are ``TIMES`` as frequent, in letters of either case, as the spelling
-found. Values that are garbled by a wrong encoding are left as they are and are no cases.
+the corpus: the image is taken where it is, in letters of either case, ``TIMES`` as frequent as the spelling found. Values that are garbled by a wrong encoding are left as they are and are no cases.
 
 Results for odd input: null and empty values have themselves as form; rows without path or idx are left out of the
 cases; a value that is delivered twice counts once per (path, idx, field); an empty table gives an empty result.
@@ -18,9 +17,11 @@ from pyspark.sql import functions as F
 
 from strata.llm.confusables import SIGNS, fold, whole_image
 from strata.llm.mojibake import Plausibility, judge
-from strata.session import frames, small
+from strata.session import bounded, frames
 
 TIMES = 20
+#: Up to so many words are sent to all tasks; more are joined by shuffle.
+WORDS = 100_000
 #: Letters with look-alikes in another script, for the count of images.
 _IMAGE = r"\\b[a-zA-Z]{3,}\\b"
 _WHOLE = r"(?U)(?<![\\p{L}\\p{M}])[\\u0370-\\u03ff\\u0400-\\u058f]{3,}(?![\\p{L}\\p{M}])"
@@ -30,22 +31,22 @@ _PAIRS = [(a, image[0]) for a in map(chr, range(0x370, 0x590)) if (image := whol
 
 
 def _words(df: DataFrame, column: str, pattern: str) -> DataFrame:
-    return df.select(F.explode(F.expr(f"regexp_extract_all({column}, '{pattern}', 0)")).alias("w")).select(F.lower("w").alias("w"))
+    return df.select(F.explode(F.expr(f"regexp_extract_all({column}, '{pattern}', 0)")).alias("w"))
 
 
 def _images(batches):
     for b in batches:
-        image = b["w"].map(whole_image)
+        image = b["w"].map(whole_image).str.lower()
         keep = image.notna()
         yield pd.DataFrame({"w": b["w"][keep], "image": image[keep], "n": b["n"][keep]})
 
 
 def whole_words(values: DataFrame, column: str = "value") -> DataFrame:
-    """(w, image): words in lower case, wholly in look-alikes, that the corpus spells otherwise."""
+    """(w, image): words wholly in look-alikes, and the word in small letters that the corpus knows them by."""
     v = values.where(f"{column} is not null")
     found = _words(v.where(F.col(column).rlike("[\\u0370-\\u03ff\\u0400-\\u058f]{3}")), column, _WHOLE).groupBy("w").agg(F.count("*").alias("n"))
     found = found.transform(frames, _images, "w string, image string, n bigint")
-    known = _words(v, column, _IMAGE).join(found.select(F.col("image").alias("w")).distinct(), "w", "left_semi").groupBy(F.col("w").alias("image")).agg(F.count("*").alias("m"))
+    known = _words(v, column, _IMAGE).select(F.lower("w").alias("w")).join(found.select(F.col("image").alias("w")).distinct(), "w", "left_semi").groupBy(F.col("w").alias("image")).agg(F.count("*").alias("m"))
     return found.join(known, "image").where(F.col("m") >= TIMES * F.col("n")).select("w", "image")
 
 
@@ -89,9 +90,9 @@ def one_form(values: DataFrame, model: Plausibility, cases_only: bool = False) -
     open_ = folded.where("size(whole) > 0")
     words = whole_words(values)
     key = ["path", "idx", "field", "value"]
-    each = open_.withColumn("word", F.explode("whole")).withColumn("w", F.lower("word"))
+    each = open_.withColumn("word", F.explode("whole")).withColumn("w", F.col("word"))
     image = F.translate("word", "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS))
-    hit = each.join(small(words), "w", "left").groupBy(*key).agg(F.first("form").alias("form"), F.first("why").alias("why"), F.collect_set(F.when(F.col("image").isNotNull(), F.struct("word", image.alias("to")))).alias("subs"))
+    hit = each.join(bounded(words, WORDS), "w", "left").groupBy(*key).agg(F.first("form").alias("form"), F.first("why").alias("why"), F.collect_set(F.when(F.col("image").isNotNull(), F.struct("word", image.alias("to")))).alias("subs"))
     done = hit.select(
         *key,
         F.expr("aggregate(subs, form, (t, s) -> regexp_replace(t, concat('(?<![\\\\p{L}\\\\p{M}])', s.word, '(?![\\\\p{L}\\\\p{M}])'), s.to))").alias("form"),

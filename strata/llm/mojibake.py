@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.confusables import fold, whole_image
-from strata.session import frames, small, stored
+from strata.session import bounded, frames, stored
 
 #: Codecs that text is wrongly shown in, and codecs that it was written in.
 SHOWN = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp866", "koi8_r", "gbk", "cp932", "euc_jp", "cp949", "big5", "cp1250", "mac_cyrillic")
@@ -33,12 +33,14 @@ WRITTEN = ("utf-8", "cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp866",
 HOLES = {"cp1252": "\x81\x8d\x8f\x90\x9d", "cp1251": "\x98", "cp1250": "\x81\x83\x88\x90\x98"}
 STEP_COST = 3.0
 MARGIN = 2.0
+#: Gain over the cost of a disguise that a wrong encoding needs.
+OVER_DISGUISE = 0.5
 #: Weight of single characters against pairs, as a share of the corpus: a rare character teaches little about the next.
 PRIOR = 1e-4
 #: Price of a small letter before a capital within a word.
 CASE_COST = 5.0
 #: Price of a second or later step to anything but UTF-8.
-ODD_STEP_COST = 5.0
+ODD_STEP_COST = 10.0
 #: Mean cost around a character beyond ASCII up to which a restored text is believed.
 BELIEVABLE = 6.0
 #: Gain from which a restored text is believed whatever rare letters it holds.
@@ -61,11 +63,26 @@ _ASCII = re.compile(r"[\x09-\x7e]*\Z")
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Signs that names don't have but wrong decodings do, and small letters before capitals beyond ASCII.
 _ODD = re.compile("[\x80-\xbf\xd7\xf7\u2010-\u2bff\uff00-\uffff\u02b0-\u036f]")
-_SYMBOLS = re.compile("[\xa2-\xa5\xa7\xa9\xaa\xae\xb0-\xb3\xb5\xb7\xb9\xba\xbc-\xbe\xd7\u20ac\u2116\u2122\u2192\u2605\u2606\u2665]|[\u03b1-\u03c9](?=[\u4e00-\u9fff])")
-_INNER = re.compile(r"[^\W\d_][\xa2-\xa5\xa7\xa9\xae\xb0-\xb3\xb7\xb9\xbc-\xbe\xd7][^\W\d_]")
+_SYMBOLS = re.compile("[\xa1-\xac\xae-\xb3\xb5\xb7\xb9-\xbf\xd7‐-‧‰-›€№™←-⇿☀-➿\U0001f000-\U0001faff️‍]|[α-ω](?=[一-鿿])")
+#: Symbols between two letters, or two of the kinds that wrong decodings put side by side.
+_INNER = re.compile("[^\\W\\d_][\xa1-\xa9\xab\xac\xae-\xb3\xb7\xb9\xbb-\xbf\xd7‐-‘‚-›€™][^\\W\\d_]|[\xa1-\xbf‐-›€™]{2}")
+#: Anything beyond ASCII but the symbols that people type.
+_BARE = re.compile("[^\x00-\x7e\xa3\xa9\xab\xae\xb0\xb2\xb3\xb5\xb7\xbb-\xbe\u2013\u2014\u2018-\u201e\u2022\u2026\u20ac\u2116\u2122\u2190-\u21ff\u2600-\u27bf]")
+_APOSTROPHE = re.compile("(?<=[a-zA-Z])\u2019(?=(?:s|t|re|ve|ll|d|m)\\b)|(?<=\\b[lcdjmnstLCDJMNST])\u2019(?=[aeiouyhéèêà])")
+_MONEY_LETTER = re.compile("\u20ac[^\\W\\d_]")
 _JUMP = re.compile("[a-z\xdf-\xff\u0430-\u045f][\xc0-\xde\u0152\u0160\u0178\u017d\u0410-\u042f]|[\xc0-\xde\u0152\u0160\u0178\u017d\u0400-\u042f][a-z\xdf-\xff]+[\xc0-\xde\u0400-\u042f]")
 _INCREMENTAL = {c: codecs.getincrementaldecoder(c) for c in ("utf-8", "cp932", "euc_jp", "gbk", "cp949", "big5")}
 
+_TWINS: dict[bytes, bytes] = {}
+for _a in (0xFA, 0xFB, 0xFC, 0xED, 0xEE):
+    for _b in (*range(0x40, 0x7F), *range(0x80, 0xFD)):
+        try:
+            _back = bytes((_a, _b)).decode("cp932").encode("cp932")
+        except UnicodeDecodeError:
+            continue
+        if _back != bytes((_a, _b)):
+            _TWINS[_back] = bytes((_a, _b))
+
 
 class Plausibility:
     """Cost of a text in nats under a character bigram model, with digits as one character and letters in lower case."""
@@ -111,12 +128,11 @@ class Plausibility:
 
 
 def consistent(text: str) -> bool:
-    """Whether each word is in one script, so that the text can teach the model; one kind of symbol, not between two
-    letters, may stand beside the words."""
-    marks = set(_SYMBOLS.findall(text))
-    if len(marks) > 1 or (marks and _INNER.search(text)):
-        return False
-    text = _SYMBOLS.sub("", text)
+    """Whether each word is in one script, so that the text can teach the model; symbols may stand at the ends of words."""
+    if _SYMBOLS.search(text):
+        if _INNER.search(text):
+            return False
+        text = _SYMBOLS.sub("", text)
     return not _ODD.search(text) and all(len({_group(c) for c in w}) == 1 and not _JUMP.search(w) for w in _WORDS.findall(text))
 
 
@@ -131,10 +147,22 @@ def bigrams_of(text: str) -> list[str]:
     return [a + b for a, b in zip(t, t[1:])]
 
 
+def _twin(raw: bytes) -> bytes:
+    """Shift-JIS bytes with the vendor characters in their other place; rows ED and EE repeat those of FA to FC."""
+    out, k = bytearray(), 0
+    while k < len(raw):
+        n = 2 if 0x81 <= raw[k] <= 0x9F or 0xE0 <= raw[k] <= 0xFC else 1
+        pair = raw[k : k + n]
+        out += _TWINS.get(pair, pair)
+        k += n
+    return bytes(out)
+
+
 def _encoded(text: str, codec: str) -> list[bytes]:
     holes = HOLES.get(codec)
     try:
-        return [text.encode(codec)]
+        raw = text.encode(codec)
+        return [raw, again] if codec == "cp932" and (again := _twin(raw)) != raw else [raw]
     except UnicodeEncodeError:
         if holes is None:
             return []
@@ -242,7 +270,8 @@ def fill(text: str, model: Plausibility) -> str:
         opts = [(model.bi[a + x] + (model.bi.get(x + b, model.unseen) if b else 0.0), x) for x in model.next.get(a, ()) if not x.isascii()]
         if opts:
             x = min(opts)[1]
-            chars[k] = x.upper() if (k and chars[k - 1].isupper()) or (k + 1 < len(chars) and chars[k + 1].isupper()) else x
+            beside = [y for y in chars[max(0, k - 1) : k] + chars[k + 1 : k + 2] if y.isalpha()]
+            chars[k] = x.upper() if beside and all(y.isupper() for y in beside) else x
     return "".join(chars)
 
 
@@ -258,21 +287,28 @@ def judge(text: str | None, model: Plausibility, at_limit: bool = False) -> tupl
     lost = LOST in body or bool(tail and not at_limit and _lost_letter(body, tail, model))
     sure = lost or bool(_C1.search(text))
     work = text if lost else body
-    form = fold(work)[0]
-    if not sure and model.worst(form) < PLAUSIBLE:
+    form, why = fold(work)
+    # letters of another alphabet may be look-alikes or wrongly decoded; all else that is plausible throughout is right
+    if not sure and "script" not in why and not _JUMP.search(form) and model.worst(form) < PLAUSIBLE:
         return False, text, ""
     found, steps, gain = restore(work, model)
     first = model.cost(work)
     images = _WORDS.sub(lambda m: whole_image(m[0]) or m[0], form)
     plain = min(model.cost(form), model.cost(images) + STEP_COST)
+    margin = MARGIN
     if form != work or images != work:  # a disguise explains the text as well as a wrong encoding does
         gain -= max(0.0, first - plain - STEP_COST)
+        margin = OVER_DISGUISE
+    elif not _BARE.search(work) and not _MONEY_LETTER.search(work) and (consistent(work) or _APOSTROPHE.sub("", work).isascii()):
+        margin = SURE_GAIN  # symbols that stand where they belong
+    if len(steps) > 1 and not all(x.endswith("utf-8") for x in steps):
+        margin = max(margin, 1.6 * SURE_GAIN)  # a chain of other codecs can lead anywhere
     if lost:
         filled = fill(work, model)
         if LOST not in filled and (not steps or model.cost(filled) + STEP_COST < first - gain):
             found, steps = filled, ["fill"]
         return True, found, " ".join(steps)
-    if steps and gain > MARGIN and (gain > SURE_GAIN or model.worst(found) < BELIEVABLE):
+    if steps and gain > margin and (gain > SURE_GAIN or model.worst(found) < BELIEVABLE) and (sure or consistent(fold(found.rstrip(LOST))[0] or "")):
         return True, found, " ".join(steps)
     return sure, text, ""
 
@@ -330,6 +366,12 @@ def field_limits(df: DataFrame, fields: list[str], source: str = "source") -> Da
     return df.groupBy(F.col(source).alias("source")).agg(*aggs)
 
 
+def with_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rows with the limits of their source; sources are few, and if they aren't the join shuffles."""
+    limits = bounded(limits.withColumnRenamed("source", "_source"))
+    return rows.join(limits, rows["source"].eqNullSafe(limits["_source"]), "left").drop("_source")
+
+
 def judged(df: DataFrame, fields: list[str], model: Plausibility, keep_all: bool = False) -> DataFrame:
     """(path, idx, source, field, value, garbled, restored, steps) of each value that is garbled, or of all values.
 
@@ -369,7 +411,7 @@ def judged(df: DataFrame, fields: list[str], model: Plausibility, keep_all: bool
     rows = df.select("path", "idx", "source", *fields)
     if not keep_all:
         rows = rows.where(" or ".join(f"{f} rlike '[^\\\\x09-\\\\x7e]|&#?\\\\w+;|%[0-9A-Fa-f]|\\\\\\\\u|=[0-9A-F]'" for f in fields))
-    rows = rows.join(small(limits), rows["source"].eqNullSafe(limits["source"]), "left").drop(limits["source"])
+    rows = with_limits(rows, limits)
     return rows.transform(frames, run, "path string, idx int, source string, field string, value string, garbled boolean, restored string, steps string")
 
 

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.confusables import fold
-from strata.llm.mojibake import LOST, Plausibility, field_limits, judge
-from strata.session import frames, small, stored
+from strata.llm.mojibake import LOST, Plausibility, field_limits, judge, with_limits
+from strata.session import bounded, frames, stored
 
 FIELDS = ["layer_name", "name_unicode"]
 #: A last word is unknown if its uses are below this share of the uses of words that continue it; more at a limit.
@@ -38,14 +38,17 @@ INNER_SHARE = 0.002
 #: Uses behind one word from which a last word may be known from them alone, if they are above this share of the uses of
 #: the words that continue it there.
 CONTEXT_USES, CONTEXT_SHARE = 5, 0.3
+#: Up to so many words are sent to all tasks; more are joined by shuffle.
+WORDS = 100_000
 #: A word ends no sentence if it is last in less than this share of its uses.
 END_SHARE = 0.03
 #: Uses that are needed before a word is said to end no sentence.
 LEAST_USES = 40
 
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-#: Reads as a sentence: a capital first, then at least two words in small letters or numbers behind single blanks.
-_SENTENCE = re.compile(r"[^\W\d_a-zß-ÿа-џ][^\s_/]*(?: [^\W_A-ZÀ-ÞЀ-Я]+){2,}[ .!?]?")
+#: Reads as a sentence: a capital first, then words behind single blanks, at least two of them in small letters.
+_SENTENCE = re.compile(r"[^\W\d_a-zß-ÿа-џ][^\s_/]*(?: [^\W_]+(?:['’-][^\W_]+)*){2,}[ .!?]?")
+_SMALL = re.compile(r" [a-zß-ÿа-џ]")
 _RUN = re.compile("[㐀-鿿々]+|[ぁ-ゟ]+|[゠-ヿ]+|[^々ぁ-ヿ㐀-鿿]+")
 
 
@@ -96,14 +99,13 @@ def _ready(value: str, body: str, at_limit: bool, model: Plausibility) -> tuple[
         words.append(" " if last.isspace() else ".")
     if garbled and not steps:
         words = []
-    return text, half, bool(_SENTENCE.fullmatch(text)), words
+    return text, half, bool(_SENTENCE.fullmatch(text)) and len(_SMALL.findall(text)) > 1, words
 
 
 def prepared(layers: DataFrame, model: Plausibility) -> DataFrame:
     """(path, idx, source, field, at_limit, text, half, sentence, words) once per (path, idx, field)."""
     rows = layers.where("path is not null and idx is not null").groupBy("path", "idx").agg(F.min(F.struct("source", *FIELDS)).alias("m")).select("path", "idx", "m.*")
-    limits = small(field_limits(layers, FIELDS))
-    rows = rows.join(limits, rows["source"].eqNullSafe(limits["source"]), "left").drop(limits["source"])
+    rows = with_limits(rows, field_limits(layers, FIELDS))
     sent = layers.sparkSession.sparkContext.broadcast(model)
     return rows.transform(frames, _prepare(sent), "path string, idx int, source string, field string, at_limit boolean, text string, half boolean, sentence boolean, words array<string>")
 
@@ -133,7 +135,7 @@ def known_in_context(ready: DataFrame, suspects: DataFrame) -> DataFrame:
     """(sentence, before, w): last words among ``suspects`` (sentence, w) that are complete behind the word before them."""
     pairs = ready.where("size(words) > 1").select("sentence", F.explode(F.expr("transform(sequence(2, size(words)), k -> struct(words[k - 2] as before, words[k - 1] as w, k = size(words) as end))")).alias("p")).select("sentence", "p.*")
     uses = pairs.where("w not in ('.', ' ')").groupBy("sentence", "before", "w").agg(F.count("*").alias("n"), F.sum(F.col("end").cast("int")).alias("last"))
-    ends = uses.where(F.col("last") >= CONTEXT_USES).join(small(suspects), ["sentence", "w"], "left_semi")
+    ends = uses.where(F.col("last") >= CONTEXT_USES).join(suspects, ["sentence", "w"], "left_semi")
     longer = uses.where("length(w) > 1").select("sentence", "before", F.explode(F.expr("transform(sequence(1, length(w) - 1), k -> left(w, k))")).alias("w"), "n").join(ends, ["sentence", "before", "w"], "left_semi").groupBy("sentence", "before", "w").agg(F.sum("n").alias("more"))
     return ends.join(longer, ["sentence", "before", "w"], "left").where(F.col("last") >= CONTEXT_SHARE * F.coalesce("more", F.lit(0))).select("sentence", "before", "w")
 
@@ -153,8 +155,9 @@ def judged(layers: DataFrame, model: Plausibility) -> DataFrame:
     v = v.withColumn("w", F.regexp_replace(F.when(F.col("spaced") | F.col("dotted"), F.element_at("words", F.when(F.size("words") > 1, -2).otherwise(-1))).otherwise(F.col("tail")), r"\+$", ""))
     other = v.select("path", "idx", F.when(F.col("field") == FIELDS[0], FIELDS[1]).otherwise(FIELDS[0]).alias("field"), F.col("text").alias("other"))
     v = v.withColumn("before", F.expr("get(words, size(words) - 2)"))
+    kinds = bounded(kinds, WORDS)
     fine = known_in_context(ready, kinds.select("sentence", "w")).withColumn("in_context", F.lit(True))
-    v = v.join(other, ["path", "idx", "field"], "left").join(small(kinds), ["sentence", "w"], "left").join(small(fine), ["sentence", "before", "w"], "left")
+    v = v.join(other, ["path", "idx", "field"], "left").join(kinds, ["sentence", "w"], "left").join(bounded(fine, WORDS), ["sentence", "before", "w"], "left")
     go_on = F.col("other").isNotNull() & (F.length("other") > F.length("text")) & F.col("other").startswith(F.col("text"))
     within = go_on & F.substring("other", F.length("text") + 1, 1).rlike(r"(?U)[\p{L}]") & F.col("text").rlike(r"(?U)\p{L}$")
     fragment = ~F.col("dotted") & ~F.col("spaced") & (F.col("inner") <= INNER_SHARE * F.col("more")) & (F.col("last") < share * F.col("more")) & F.col("in_context").isNull()
