@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators import comps, edits, layers, pixels, text, tree
+from strata.operators import comps, edits, layers, metadata, pixels, text, tree
 from strata.operators.scan import running
 from strata.session import table
 
@@ -129,6 +129,26 @@ def mask_channels(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("ch_id", F.col("ch_id") - 3).withColumn("is_mask", F.col("ch_id").isin(-2, -3))
 
 
+@query("""SELECT path, min(version) AS version, min(channels) AS channels, min(height) AS height, min(width) AS width, min(depth) AS depth, min(mode) AS mode, bool_or(merged_alpha) AS merged_alpha, min(last_applied_comp) AS last_applied_comp FROM psd_headers WHERE path IS NOT NULL GROUP BY path""")
+def header_attributes(spark: SparkSession, d: str) -> DataFrame:
+    cols = ("version", "channels", "height", "width", "depth", "mode")
+    return table(spark, d, "psd_headers").where("path is not null").groupBy("path").agg(*[F.min(c).alias(c) for c in cols], F.bool_or("merged_alpha").alias("merged_alpha"), F.min("last_applied_comp").alias("last_applied_comp"))
+
+
+@query(f"WITH {_L} SELECT path, idx, layer_type, layer_type = 'FOLDER' AS is_group, layer_id, opacity, fill_opacity, clipping, rect_right - rect_left AS width, rect_bottom - rect_top AS height, mask IS NOT NULL AS has_mask FROM L")
+def layer_attributes(spark: SparkSession, d: str) -> DataFrame:
+    return _layers(spark, d).select("path", "idx", "layer_type", (F.col("layer_type") == "FOLDER").alias("is_group"), "layer_id", "opacity", "fill_opacity", "clipping", layers.width().alias("width"), layers.height().alias("height"), F.col("mask").isNotNull().alias("has_mask"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey AS number, CAST(l_partkey % 65536 - CASE WHEN l_partkey % 65536 >= 32768 THEN 65536 ELSE 0 END AS BIGINT) AS low_signed, CAST((4 - l_partkey % 4) % 4 AS BIGINT) AS padding, CASE WHEN l_partkey > 0 THEN l_partkey / 65536.0e0 ELSE 72.0e0 END AS fixed FROM lineitem")
+def byte_numbers(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.unhex(F.lpad(F.hex("l_partkey"), 8, "0"))
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", metadata.big_endian(raw, 0, 4).alias("number"), metadata.big_endian(raw, 2, 2, signed=True).alias("low_signed"),
+        metadata.padding(F.col("l_partkey"), 4).cast("bigint").alias("padding"), metadata.fixed_to_dpi(F.col("l_partkey")).alias("fixed"),
+    )
+
+
 # ---------------------------------------------------------------------------------------------------------------- trees
 
 
@@ -443,6 +463,12 @@ def utf16_length(spark: SparkSession, d: str) -> DataFrame:
     return _text(spark, d).where("text <> ''").select("path", "idx", text.utf16_length(F.col("text")).alias("units"))
 
 
+@query(f"WITH {_T} SELECT path, idx, CASE WHEN ends_with(text, chr(13)) THEN text ELSE text || chr(13) END AS text, text AS again FROM T WHERE text IS NOT NULL")
+def text_encoding(spark: SparkSession, d: str) -> DataFrame:
+    again = metadata.utf16_to_utf8(metadata.utf8_to_utf16(F.col("text")))
+    return _text(spark, d).where("text is not null").select("path", "idx", text.without_nul(text.ended(F.col("text"))).alias("text"), again.alias("again"))
+
+
 @query(f"""WITH {_T}, E AS (SELECT path, idx, CASE WHEN ends_with(text, chr(13)) THEN text[:-2] ELSE text END AS t FROM T WHERE text IS NOT NULL),
     P AS (SELECT path, idx, CAST(unnest(range(len(string_split(t, chr(13))))) AS INTEGER) AS para, unnest(string_split(t, chr(13))) AS body FROM E)
     SELECT path, idx, para, body, CAST(CASE WHEN body = '' THEN 0 ELSE {_U16.format('body')} END + 1 AS INTEGER) AS length FROM P""")

@@ -293,6 +293,66 @@ def composite(documents: DataFrame, layers: DataFrame, images: DataFrame, show:
     return documents.where("error is null").select("path", "width", "height").join(each, "path").transform(frames, _fold, _IMAGE)
 
 
+def _channel_rows(batches):
+    for b in batches:
+        rows = []
+        for p, i, w, h, px in zip(b["path"], b["idx"], b["width"], b["height"], b["bgra"]):
+            _, chans, _ = document.image_layer(int(i), "", 0, bytes(px), int(w), int(h))
+            rows += [{"path": p, "length": len(c["data"]) + 2} | c for c in chans]
+        yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in ("path", "idx", "ch_pos", "ch_id", "length", "compression", "data")})
+
+
+def set_layer_pixels(layers: DataFrame, channels: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``new`` (path, idx, width, height, bgra): layers and channels with these pictures; mask channels are kept behind
+    them, the upper left corner stays."""
+    size = new.select("path", "idx", F.col("width").alias("_w"), F.col("height").alias("_h"))
+    l = layers.join(size, ["path", "idx"], "left")
+    hit = F.col("_w").isNotNull()
+    l = l.withColumn("rect_right", F.when(hit, F.col("rect_left") + F.col("_w")).otherwise(F.col("rect_right"))).withColumn("rect_bottom", F.when(hit, F.col("rect_top") + F.col("_h")).otherwise(F.col("rect_bottom")))
+    made = new.select("path", "idx", "width", "height", "bgra").transform(frames, _channel_rows, channels.schema)
+    kept = channels.join(size.select("path", "idx"), ["path", "idx"], "left_anti").select(*channels.columns)
+    masks = channels.where("ch_id < -1").join(size.select("path", "idx"), ["path", "idx"], "left_semi").withColumn("ch_pos", F.col("ch_pos") + 4).select(*channels.columns)
+    return l.select(*layers.columns), kept.unionByName(masks).unionByName(made)
+
+
+def _mask_rows(batches):
+    for b in batches:
+        rows = []
+        for p, i, w, h, px in zip(b["path"], b["idx"], b["width"], b["height"], b["plane"]):
+            c = document.mask_channel(int(i), 99, bytes(px), int(w), int(h))
+            rows.append({"path": p, "length": len(c["data"]) + 2} | c)
+        yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in ("path", "idx", "ch_pos", "ch_id", "length", "compression", "data")})
+
+
+def set_mask_pixels(layers: DataFrame, channels: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``new`` (path, idx, top, left, width, height, plane): masks with these pictures and rectangles, made where there
+    were none; such layers are written anew."""
+    at = new.select("path", "idx", "top", "left", (F.col("top") + F.col("height")).alias("bottom"), (F.col("left") + F.col("width")).alias("right"), F.lit(True).alias("_hit"))
+    l = layers.join(at, ["path", "idx"], "left")
+    fields = dict(f.split(":") for f in document.SCHEMAS["layers"].split("mask struct<")[1].split(">")[0].split(","))
+    rect = {f"rect_{c}": F.col(c) for c in ("top", "left", "bottom", "right")}
+    value = F.struct(*[F.coalesce(rect.get(k, F.col(f"mask.{k}")), F.lit(0 if k in ("default_color", "flags") else None)).cast(t).alias(k) for k, t in fields.items()])
+    l = l.withColumn("mask", F.when(F.col("_hit"), value).otherwise(F.col("mask"))).withColumn("dirty", F.coalesce("_hit", "dirty", F.lit(False)))
+    made = new.select("path", "idx", "width", "height", "plane").transform(frames, _mask_rows, channels.schema)
+    old = channels.join(new.select("path", "idx").withColumn("ch_id", F.lit(-2)), ["path", "idx", "ch_id"], "left_anti").select(*channels.columns)
+    return l.select(*layers.columns), old.unionByName(made)
+
+
+def set_composite(documents: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` (path, r, g, b): documents whose merged image is one colour."""
+
+    def run(batches):
+        from strata.functions import codec
+
+        for b in batches:
+            data = [codec.solid_composite([int(x) for x in c], int(w), int(h)) for *c, w, h in zip(b["r"], b["g"], b["b"], b["width"], b["height"])]
+            yield pd.DataFrame({"path": b["path"], "_c": data})
+
+    solid = documents.select("path", "width", "height").join(new, "path").transform(frames, run, "path string, _c binary")
+    d = documents.join(solid, "path", "left")
+    return d.withColumn("composite", F.coalesce("_c", "composite")).withColumn("channels", F.when(F.col("_c").isNotNull(), 3).otherwise(F.col("channels"))).select(*documents.columns)
+
+
 def export_png(images: DataFrame) -> DataFrame:
     """(path, content): images as PNG files, named after their document and layer."""
 

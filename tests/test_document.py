@@ -249,3 +249,33 @@ def test_block_edits(spark, tmp_path):
     n = t["resources"].where("id = 1005").select(metadata.big_endian(F.col("data"), 0, 4).alias("n"), metadata.big_endian(F.unhex(F.lit("FFFE")), 0, 2, True).alias("m"), metadata.padding(F.lit(5), 4).alias("p")).first()
     assert (n["n"], n["m"], n["p"]) == (144 << 16, -2, 3)
     assert spark.range(1).select(metadata.utf16_to_utf8(metadata.utf8_to_utf16(F.lit("é\U0001f351"))).alias("t"), metadata.fixed_to_dpi(F.lit(144 << 16)).alias("d")).first()[0:2] == ("é\U0001f351", 144.0)
+
+
+def test_pixel_edits(spark, tmp_path):
+    (tmp_path / "a.psd").write_bytes(sample())
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    t = {n: psd.tables(files, n) for n in ("documents", "layers", "channels", "resources", "document_blocks", "info_blocks")}
+    path = t["layers"].first()["path"]
+    new = spark.createDataFrame([(path, 2, 2, 3, bytearray(bytes((9, 8, 7, 255)) * 6))], "path string, idx int, width int, height int, bgra binary")
+    layers, channels = psd.set_layer_pixels(t["layers"], t["channels"], new)
+    mask = spark.createDataFrame([(path, 0, 1, 2, 2, 1, bytearray(b"\x10\x20"))], "path string, idx int, top int, left int, width int, height int, plane binary")
+    layers, channels = psd.set_mask_pixels(layers, channels, mask)
+    docs = psd.set_composite(t["documents"], spark.createDataFrame([(path, 1, 2, 3)], "path string, r int, g int, b int"))
+    built = bytes(psd.assemble(docs, layers, channels, t["resources"], t["document_blocks"], t["info_blocks"]).first()["content"])
+    got = document.read("x", built)
+    assert got["documents"][0]["error"] is None
+    l = got["layers"]
+    assert (l[2]["rect_right"] - l[2]["rect_left"], l[2]["rect_bottom"] - l[2]["rect_top"]) == (2, 3)
+    assert [c["ch_id"] for c in got["channels"] if c["idx"] == 2] == [-1, 0, 1, 2, -2] and [c["ch_id"] for c in got["channels"] if c["idx"] == 0] == [-1, 0, 1, 2, -2]
+    assert [l[0]["mask"][k] for k in ("rect_top", "rect_left", "rect_bottom", "rect_right")] == [1, 2, 2, 4]
+    px = codec.decode_plane(*[next(c for c in got["channels"] if c["idx"] == 0 and c["ch_id"] == -2)[k] for k in ("compression", "data")], 2, 1, 8)
+    assert px == b"\x10\x20" and codec.composite_planes(got["documents"][0]["composite"], 3, 16, 12, 8)[2] == b"\3" * 192
+
+
+def test_command_line(tmp_path, capsys):
+    from strata.__main__ import main
+
+    (tmp_path / "a.psd").write_bytes(sample())
+    (tmp_path / "b.psd").write_bytes(b"junk")
+    assert main(str(tmp_path / "a.psd")) == 0 and "5 layers" in capsys.readouterr().out
+    assert main(str(tmp_path / "b.psd")) == 1
