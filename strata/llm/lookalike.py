@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.confusables import SIGNS, fold, whole_image
-from strata.llm.mojibake import Plausibility, judge
+from strata.llm.mojibake import CACHED, SHORT, Plausibility, judge
 from strata.session import bounded, frames
 
 TIMES = 20
@@ -61,13 +61,15 @@ def _fold_kernel(model: Plausibility, cases_only: bool):
                     continue
                 r = cache.get(v)
                 if r is None:
-                    if len(cache) > 100_000:
+                    if len(cache) > CACHED:
                         cache.clear()
                     form, why = fold(v)
                     whole = _candidates(form)
                     if (why or whole) and judge(v, m)[0]:
                         form, why, whole = v, [], []
-                    r = cache[v] = (form, " ".join(why), whole)
+                    r = (form, " ".join(why), whole)
+                    if len(v) <= SHORT:
+                        cache[v] = r
                 out.append(r)
             b = b.assign(form=[x[0] for x in out], why=[x[1] for x in out], whole=[x[2] for x in out])
             yield b[(b["why"] != "") | (b["whole"].map(len) > 0)] if cases_only else b

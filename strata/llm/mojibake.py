@@ -331,6 +331,8 @@ def suspicious(text: str | None) -> bool:
 # on DataFrames
 
 
+#: Decisions that a task remembers; long values are not kept beside others.
+CACHED, SHORT = 50_000, 300
 #: A pair of characters is kept in the model if it makes up this share of all pairs, which bounds the model's size.
 LEAST_SHARE = 1e-6
 
@@ -400,9 +402,11 @@ def judged(df: DataFrame, fields: list[str], model: Plausibility, keep_all: bool
                     cut = v.endswith(LOST) and top[k] is not None and len(v.rstrip(LOST).encode("utf-8", "replace")) >= top[k] - 3
                     r = cache.get((v, cut))
                     if r is None:
-                        if len(cache) > 200_000:
+                        if len(cache) > CACHED:
                             cache.clear()
-                        r = cache[v, cut] = judge(v, m, cut)
+                        r = judge(v, m, cut)
+                        if len(v) <= SHORT:
+                            cache[v, cut] = r
                     if r[0] or keep_all:
                         for o, x in zip(out, (path[k], idx[k], src[k], f, v, *r)):
                             o.append(x)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.confusables import fold
-from strata.llm.mojibake import LOST, Plausibility, field_limits, judge, with_limits
+from strata.llm.mojibake import CACHED, LOST, SHORT, Plausibility, field_limits, judge, with_limits
 from strata.session import bounded, frames, stored
 
 FIELDS = ["layer_name", "name_unicode"]
@@ -77,9 +77,11 @@ def _prepare(model):
                     at_limit = top_b[k] is not None and (size >= top_b[k] - 3 * (body != v) or len(body) >= top_c[k])
                     r = cache.get((v, at_limit))
                     if r is None:
-                        if len(cache) > 200_000:
+                        if len(cache) > CACHED:
                             cache.clear()
-                        r = cache[v, at_limit] = _ready(v, body, at_limit, m)
+                        r = _ready(v, body, at_limit, m)
+                        if len(v) <= SHORT:
+                            cache[v, at_limit] = r
                     for o, x in zip(out, (path[k], idx[k], src[k], f, at_limit, *r)):
                         o.append(x)
             yield pd.DataFrame(dict(zip(("path", "idx", "source", "field", "at_limit", "text", "half", "sentence", "words"), out))).astype({"idx": "int32", "at_limit": bool, "half": bool, "sentence": bool})
