@@ -20,11 +20,9 @@ CYRILLIC = "аa сc ԁd еe һh іi јj ӏl оo рp ԛq ѕs уy хx ѵv ԝw ѐè
 GREEK = "αa οo νv ρp ιi κk υu τt χx γy ϲc ϳj έé όó ίí άá ϊï ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC"
 ARMENIAN = "օo սu հh ցg զq ոn աw յj Օo Տs Լl"
 _TO_LATIN = {n: {p[0]: p[1] for p in t.split()} for n, t in (("CYRILLIC", CYRILLIC), ("GREEK", GREEK), ("ARMENIAN", ARMENIAN))}
-_FROM_LATIN: dict[str, dict[str, str]] = {}
-for _s in ("CYRILLIC", "GREEK"):
-    _FROM_LATIN[_s] = {}
-    for _a, _b in _TO_LATIN[_s].items():
-        _FROM_LATIN[_s].setdefault(_b, _a)
+#: Letters that everyday Cyrillic lacks: they pass for Latin ones, but nobody means them in place of Latin ones.
+_RARE = set("ԁһіјӏԛѕѵԝѐїӓӧԌІЈӀԚЅѴԜҮЇЀӒӦ")
+_FROM_LATIN: dict[str, dict[str, str]] = {n: {b: a for a, b in reversed(t.items()) if a not in _RARE} for n, t in _TO_LATIN.items() if n != "ARMENIAN"}
 _BETWEEN = {("CYRILLIC", "LATIN"): _TO_LATIN["CYRILLIC"], ("GREEK", "LATIN"): _TO_LATIN["GREEK"], ("ARMENIAN", "LATIN"): _TO_LATIN["ARMENIAN"], ("LATIN", "CYRILLIC"): _FROM_LATIN["CYRILLIC"], ("LATIN", "GREEK"): _FROM_LATIN["GREEK"]}
 for _x, _y in (("CYRILLIC", "GREEK"), ("GREEK", "CYRILLIC")):
     _BETWEEN[_x, _y] = {a: _FROM_LATIN[_y][b] for a, b in _TO_LATIN[_x].items() if b in _FROM_LATIN[_y]}
