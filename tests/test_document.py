@@ -279,3 +279,36 @@ def test_command_line(tmp_path, capsys):
     (tmp_path / "b.psd").write_bytes(b"junk")
     assert main(str(tmp_path / "a.psd")) == 0 and "5 layers" in capsys.readouterr().out
     assert main(str(tmp_path / "b.psd")) == 1
+
+
+def obj(name: str, *items) -> tuple:
+    """An object of (key, node) items."""
+    return {"name": "", "class": (name, len(name) != 4), "whole": True, "items": [((k, len(k) != 4), n) for k, n in items]}
+
+
+def test_metadata_blocks():
+    comps = obj("CompList", ("list", ("VlLs", [("Objc", obj("Comp", ("compID", ("long", 7)), ("Nm  ", ("TEXT", "one\0")), ("comment", ("TEXT", "c\0")), ("capturedInfo", ("long", 5))))])), ("lastAppliedComp", ("long", 7)))
+    setting = lambda on, x, ids: ("Objc", obj("null", *([("enab", ("bool", on))] if on is not None else []), ("Ofst", ("Objc", obj("Pnt ", ("Hrzn", ("long", x)), ("Vrtc", ("long", 2))))), ("compList", ("VlLs", [("long", i) for i in ids]))))
+    state = obj("null", ("LayerID", ("long", 1)), ("layerSettings", ("VlLs", [setting(True, 4, [7]), setting(None, 0, [8])])))
+    body = struct.pack(">I", 16) + descriptor.serialize(state)
+    shmd = struct.pack(">I", 1) + b"8BIMcmls\0\0\0\0" + struct.pack(">I", len(body)) + body
+    uni = lambda s: struct.pack(">I", len(s)) + s.encode("utf-16-be")
+    one = struct.pack(">3i", 1, 2, 1) + struct.pack(">i", 9) + uni("s") + struct.pack(">5i", 1, 0, 0, 10, 20) + uni("u") + uni("t") + uni("m") + uni("a") + b"\1" + uni("cell") + struct.pack(">2i", 0, 1) + bytes((255, 1, 2, 3))
+    slices = struct.pack(">I4i", 6, 0, 0, 10, 20) + uni("all") + struct.pack(">I", 1) + one
+    resources = [
+        {"pos": 0, "id": 1065, "name": b"", "data": struct.pack(">I", 16) + descriptor.serialize(comps)}, {"pos": 1, "id": 1050, "name": b"", "data": slices},
+        {"pos": 2, "id": 1033, "name": b"", "data": struct.pack(">III", 1, 4, 3) + b"\0" * 16 + b"old"}, {"pos": 3, "id": 1036, "name": b"", "data": struct.pack(">III", 1, 8, 6) + b"\0" * 16 + b"jpeg"},
+        {"pos": 4, "id": 1046, "name": b"", "data": struct.pack(">h", 3)}, {"pos": 5, "id": 1047, "name": b"", "data": struct.pack(">h", 1)}, {"pos": 6, "id": 1050, "name": b"", "data": b"\0"},
+    ]
+    l, c, b = document.image_layer(0, "x", 1, bytes(4), 1, 1)
+    b += [{"idx": 0, "pos": 2, "sig": "8BIM", "key": "shmd", "data": shmd}, {"idx": 0, "pos": 3, "sig": "8BIM", "key": "hue2", "data": b"\0\0"}, {"idx": 0, "pos": 4, "sig": "8BIM", "key": "SoCo", "data": b"\0\0\0\x10" + rich()}, {"idx": 0, "pos": 5, "sig": "8B64", "key": "lsct", "data": b"\0\0\0\1"}]
+    doc = document.blank(4, 4) | {"mode": 2, "color_data": bytes(range(256)) + bytes([5] * 256) + bytes([6] * 256), "n_layers": 1}
+    t = document.read("x", document.write(doc, [l], c, resources, [], b))
+    assert t["documents"][0]["error"] is None and t["documents"][0]["last_applied_comp"] == 7
+    assert t["comps"] == [{"path": "x", "id": 7, "name": "one", "comment": "c", "record_visibility": True, "record_position": False, "record_appearance": True}]
+    assert [(s["comp_id"], s["enabled"], s["offset_x"], s["offset_y"]) for s in t["layer_comp_states"]] == [(7, True, 4, 2), (8, True, 0, 2)]
+    assert t["slices"][0]["associated_layer_id"] == 9 and t["slices"][0]["cell_text"] == "cell" and t["slices"][0]["is_cell_text_html"] and (t["slices"][0]["right"], t["slices"][0]["b"]) == (10, 3)
+    assert t["thumbnails"] == [{"path": "x", "format": 1, "width": 8, "height": 6, "data": b"jpeg"}]
+    assert [(p["n"], p["r"], p["g"], p["a"]) for p in t["palette"]] == [(0, 0, 5, 255), (1, 1, 5, 0), (2, 2, 5, 255)]
+    assert t["layers"][0]["layer_type"] == "FILL" and t["layers"][0]["info_keys"][-1] == "lsct"
+    assert {d["block"] for d in t["descriptors"]} == {"SoCo"}
