@@ -86,11 +86,11 @@ def source_over(layers: DataFrame, by: list[str], order: str = "idx") -> DataFra
     """
     alpha = F.col("a") / 255.0
     p = F.struct(*[(F.col(c) / 255.0 * alpha).alias(c) for c in ("r", "g", "b")], alpha.alias("a"))
-    d = layers.select(*by, F.floor(F.col(order) / FOLD).alias("_b"), F.struct(F.col(order).alias("k"), p.alias("p")).alias("s"))
-    runs = d.groupBy(*by, "_b").agg(_fold(F.array_sort(F.collect_list("s"))).alias("p"))
-    whole = runs.groupBy(*by).agg(_fold(F.array_sort(F.collect_list(F.struct(F.col("_b").alias("k"), "p")))).alias("p"))
+    d = layers.select(*by, F.floor(F.col(order) / FOLD).alias("_b"), F.struct(F.col(order).alias("k"), p.alias("p")).alias("_s"))
+    runs = d.groupBy(*by, "_b").agg(_fold(F.array_sort(F.collect_list("_s"))).alias("_p"))
+    whole = runs.groupBy(*by).agg(_fold(F.array_sort(F.collect_list(F.struct(F.col("_b").alias("k"), F.col("_p").alias("p"))))).alias("_p"))
     eight = lambda v: F.floor(v * 255.0 + 0.5 + 1e-9).cast("int")
-    return whole.select(*by, *[F.when(F.col("p.a") > 0, eight(F.least(F.col(f"p.{c}") / F.col("p.a"), F.lit(1.0)))).otherwise(0).alias(c) for c in ("r", "g", "b")], eight(F.col("p.a")).alias("a"))
+    return whole.select(*by, *[F.when(F.col("_p.a") > 0, eight(F.least(F.col(f"_p.{c}") / F.col("_p.a"), F.lit(1.0)))).otherwise(0).alias(c) for c in ("r", "g", "b")], eight(F.col("_p.a")).alias("a"))
 
 
 def byte_runs(rows: DataFrame, key: str, pos: str, value: str) -> DataFrame:
@@ -122,8 +122,8 @@ def undo_prediction(rows: DataFrame, key: str, pos: str, value: str) -> DataFram
 def bleed_pass(px: DataFrame, by: list[str]) -> DataFrame:
     """One pass of alpha bleed: transparent pixels without colour take the mean of their coloured 4-neighbours."""
     solid = px.where("a > 0")
-    near = solid.select(*by, F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])).alias("n"), "r", "g", "b")
-    mean = near.groupBy(*by, "n.x", "n.y").agg(*[F.floor(F.avg(c)).cast("int").alias(f"m_{c}") for c in ("r", "g", "b")])
+    near = solid.select(*by, F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])).alias("_near"), "r", "g", "b")
+    mean = near.groupBy(*by, "_near.x", "_near.y").agg(*[F.floor(F.avg(c)).cast("int").alias(f"_m_{c}") for c in ("r", "g", "b")])
     d = px.join(mean, [*by, "x", "y"], "left")
-    hit = (F.col("a") == 0) & F.col("m_r").isNotNull()
-    return d.select(*by, "x", "y", *[F.when(hit, F.col(f"m_{c}")).otherwise(F.col(c)).alias(c) for c in ("r", "g", "b")], "a", hit.alias("filled"))
+    hit = (F.col("a") == 0) & F.col("_m_r").isNotNull()
+    return d.select(*by, "x", "y", *[F.when(hit, F.col(f"_m_{c}")).otherwise(F.col(c)).alias(c) for c in ("r", "g", "b")], "a", hit.alias("filled"))
