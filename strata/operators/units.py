@@ -174,12 +174,13 @@ def common_units(leaves: DataFrame, headers: DataFrame) -> DataFrame:
 
 def disagreements(units: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """(leaf_id_a, leaf_id_b): leaves of one quantity with stated units whose values differ by more than ``tolerance``
-    of the larger one. Leaves of a quantity with equal values are joined as one, so copies cost no comparisons."""
-    v = units.where("stated and value is not null and path is not null and idx is not null and jpath is not null")
-    classes = v.groupBy("path", "idx", "jpath", "value").agg(F.collect_list("leaf_id").alias("ids"))
-    a, b = classes.alias("a"), classes.alias("b")
-    larger = F.greatest(F.abs("a.value"), F.abs("b.value"))
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("path", "idx", "jpath")] + [F.col("a.value") < F.col("b.value"), F.abs(F.col("a.value") - F.col("b.value")) > tolerance * larger]
-    pairs = a.join(b, on).select(F.col("a.ids").alias("x"), F.col("b.ids").alias("y"))
-    each = pairs.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
-    return each.select(F.least("x", "y").alias("leaf_id_a"), F.greatest("x", "y").alias("leaf_id_b"))
+    of the larger one. The different values of a quantity are compared, not its leaves; these are joined to what differs."""
+    key = ["path", "idx", "jpath"]
+    v = units.where("stated and value is not null and path is not null and idx is not null and jpath is not null").select(*key, "leaf_id", "value")
+    values = v.select(*key, "value").distinct()
+    a, b = values.withColumnRenamed("value", "x"), values.withColumnRenamed("value", "y")
+    pairs = a.join(b, key).where((F.col("x") < F.col("y")) & (F.col("y") - F.col("x") > tolerance * F.greatest(F.abs("x"), F.abs("y"))))
+    left = v.select(*key, F.col("leaf_id").alias("p"), F.col("value").alias("x"))
+    right = v.select(*key, F.col("leaf_id").alias("q"), F.col("value").alias("y"))
+    each = pairs.join(left, [*key, "x"]).join(right, [*key, "y"])
+    return each.select(F.least("p", "q").alias("leaf_id_a"), F.greatest("p", "q").alias("leaf_id_b"))
