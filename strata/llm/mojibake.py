@@ -35,6 +35,8 @@ STEP_COST = 3.0
 MARGIN = 2.0
 #: Gain over the cost of a disguise that a wrong encoding needs.
 OVER_DISGUISE = 0.5
+#: Worth of a restored text whose words beyond ASCII the corpus knows.
+KNOWN_WORDS = 4.0
 #: Weight of single characters against pairs, as a share of the corpus: a rare character teaches little about the next.
 PRIOR = 1e-4
 #: Price of a small letter before a capital within a word.
@@ -60,6 +62,9 @@ MAX_NODES = 40
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 _ESCAPE = re.compile(r"&(#\d+|#x[0-9a-fA-F]+|[a-zA-Z]\w+);|(?:%[0-9A-Fa-f]{2}){2,}|\\u[0-9a-fA-F]{4}|=[0-9A-F]{2}=[0-9A-F]{2}")
 _ASCII = re.compile(r"[\x09-\x7e]*\Z")
+_BEYOND = re.compile("[^\x00-\x7f]")
+_LOST_RUN = re.compile("\ufffd+")
+_LOST_WORD = re.compile("(?:[^\\W\\d_]|\ufffd)+")
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Signs that names don't have but wrong decodings do, and small letters before capitals beyond ASCII.
 _ODD = re.compile("[\x80-\xbf\xd7\xf7\u2010-\u2bff\uff00-\uffff\u02b0-\u036f]")
@@ -87,7 +92,7 @@ for _a in (0xFA, 0xFB, 0xFC, 0xED, 0xEE):
 class Plausibility:
     """Cost of a text in nats under a character bigram model, with digits as one character and letters in lower case."""
 
-    def __init__(self, bigrams: dict[str, float]):
+    def __init__(self, bigrams: dict[str, float], words: dict[str, float] | None = None):
         total = sum(bigrams.values()) or 1.0
         left: dict[str, float] = {}
         right: dict[str, float] = {}
@@ -101,6 +106,13 @@ class Plausibility:
         k = PRIOR * total
         self.bi = {g: -math.log((n + k * right[g[1]] / total) / (left[g[0]] + k)) for g, n in bigrams.items()}
         self.back = 3.0
+        #: Words beyond ASCII by what is left of them when those letters are lost, the commonest first.
+        self.masks: dict[str, str] = {}
+        for w, _ in sorted((words or {}).items(), key=lambda x: (-x[1], x[0])):
+            mask = _BEYOND.sub(LOST, w)
+            self.masks.setdefault(mask, w)
+            self.masks.setdefault(_LOST_RUN.sub(LOST, mask), w)
+        self.words = frozenset(words or ())
         self.next: dict[str, list[str]] = {}
         for g in bigrams:
             self.next.setdefault(g[0], []).append(g[1])
@@ -259,9 +271,24 @@ def restore(text: str, model: Plausibility) -> tuple[str, list[str], float]:
     return best[2], best[3], first - best[0]
 
 
+def _known(m: re.Match, model: Plausibility) -> str:
+    """A word with lost letters as the commonest word of the corpus that it can be, in its case."""
+    w = m[0]
+    if LOST not in w:
+        return w
+    low = w.lower()
+    found = model.masks.get(low) or model.masks.get(_LOST_RUN.sub(LOST, low))
+    if found is None:
+        return w
+    left = [c for c in w if c != LOST]
+    if left and all(c.isupper() for c in left):
+        return found.upper()
+    return found[0].upper() + found[1:] if w[0].isupper() else found
+
+
 def fill(text: str, model: Plausibility) -> str:
-    """Lost characters as the likeliest letter between their neighbours, in the case of the letter before."""
-    chars = list(text)
+    """Words with lost letters as words of the corpus; what is left as the likeliest letter between its neighbours."""
+    chars = list(_LOST_WORD.sub(lambda m: _known(m, model), text))
     for k, c in enumerate(chars):
         if c != LOST:
             continue
@@ -299,6 +326,9 @@ def judge(text: str | None, model: Plausibility, at_limit: bool = False) -> tupl
     if form != work or images != work:  # a disguise explains the text as well as a wrong encoding does
         gain -= max(0.0, first - plain - STEP_COST)
         margin = OVER_DISGUISE
+        beyond = [w for w in _WORDS.findall(found.lower()) if not w.isascii()]
+        if steps and beyond and all(w in model.words for w in beyond):
+            gain += KNOWN_WORDS
     elif not _BARE.search(work) and not _MONEY_LETTER.search(work) and (consistent(work) or _APOSTROPHE.sub("", work).isascii()):
         margin = SURE_GAIN  # symbols that stand where they belong
     if len(steps) > 1 and not all(x.endswith("utf-8") for x in steps):
@@ -348,17 +378,23 @@ def _count_bigrams(batches):
             if f and consistent(f):
                 for g in bigrams_of(f):
                     total[g] += n
+                if not f.isascii():
+                    for w in _WORDS.findall(f.lower()):
+                        if not w.isascii():
+                            total["\x01" + w] += n
     yield pd.DataFrame({"g": list(total), "n": pd.Series(list(total.values()), dtype="int64")})
 
 
 def plausibility(df: DataFrame, fields: list[str]) -> Plausibility:
-    """The bigram model of all values of ``fields``; counted in the partitions, summed, and bounded by ``LEAST_SHARE``."""
+    """The bigram model and the words beyond ASCII of all values of ``fields``; counted in the partitions, summed, and
+    bounded by ``LEAST_SHARE``."""
     counts = df.select(*fields).transform(frames, _count_bigrams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
     counts = stored(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total = counts.where("length(g) = 2").agg(F.sum("n")).first()[0] or 0
     # the share bounds what comes to the driver to 1 / LEAST_SHARE pairs
     kept = counts.where(F.col("n") >= total * LEAST_SHARE)
-    return Plausibility({r["g"]: float(r["n"]) for r in kept.select("g", "n").toLocalIterator() if len(r["g"]) == 2})
+    held = [(r["g"], float(r["n"])) for r in kept.select("g", "n").toLocalIterator()]
+    return Plausibility({g: n for g, n in held if g[0] != "\x01" and len(g) == 2}, {g[1:]: n for g, n in held if g[0] == "\x01" and len(g) > 2})
 
 
 def field_limits(df: DataFrame, fields: list[str], source: str = "source") -> DataFrame:

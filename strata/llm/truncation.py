@@ -9,7 +9,7 @@ how often it is the last word, and how often words are that continue it. A value
 * its last word is known but hardly ever ends a sentence, and the value reads as a sentence, or, without blanks, the
   last run hardly ever ends its text, or
 * half a character stands at its end, or
-* the other field of the same layer continues it within the word or behind a word that ends no sentence.
+* the other field of the same layer continues it within the word.
 
 Length evidence: the share of a word's ends that a cut explains grows where the value is as long as its field allows in
 its source; the limits are the lengths at which the values of a (source, field) pile up at the maximum.
@@ -61,30 +61,36 @@ def pieces(text: str) -> list[tuple[str, bool]]:
     return out
 
 
+_COLUMNS = ("path", "idx", "source", "field", "at_limit", "text", "half", "sentence", "words", "other")
+
+
 def _prepare(model):
     def run(batches):
         m, cache = model.value, {}
+
+        def ready(v: str, top_bytes: int | None, top_chars: int | None) -> tuple:
+            body = v.rstrip(LOST)
+            size = len(body) if body.isascii() else len(body.encode("utf-8", "replace"))
+            at_limit = top_bytes is not None and (size >= top_bytes - 3 * (body != v) or len(body) >= top_chars)
+            r = cache.get((v, at_limit))
+            if r is None:
+                if len(cache) > CACHED:
+                    cache.clear()
+                r = (at_limit, *_ready(v, body, at_limit, m))
+                if len(v) <= SHORT:
+                    cache[v, at_limit] = r
+            return r
+
         for b in batches:
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in _COLUMNS]
             path, idx, src = b["path"].tolist(), b["idx"].tolist(), b["source"].tolist()
-            for f in FIELDS:
-                top_b, top_c = b[f"{f}_bytes"].tolist(), b[f"{f}_chars"].tolist()
-                for k, v in enumerate(b[f].tolist()):
-                    if not v:
-                        continue
-                    body = v.rstrip(LOST)
-                    size = len(body.encode("utf-8", "replace")) if not body.isascii() else len(body)
-                    at_limit = top_b[k] is not None and (size >= top_b[k] - 3 * (body != v) or len(body) >= top_c[k])
-                    r = cache.get((v, at_limit))
-                    if r is None:
-                        if len(cache) > CACHED:
-                            cache.clear()
-                        r = _ready(v, body, at_limit, m)
-                        if len(v) <= SHORT:
-                            cache[v, at_limit] = r
-                    for o, x in zip(out, (path[k], idx[k], src[k], f, at_limit, *r)):
-                        o.append(x)
-            yield pd.DataFrame(dict(zip(("path", "idx", "source", "field", "at_limit", "text", "half", "sentence", "words"), out))).astype({"idx": "int32", "at_limit": bool, "half": bool, "sentence": bool})
+            made = [[ready(v, tb, tc) if v else None for v, tb, tc in zip(b[f].tolist(), b[f"{f}_bytes"].tolist(), b[f"{f}_chars"].tolist())] for f in FIELDS]
+            for f, own, beside in zip(FIELDS, made, reversed(made)):
+                for k, r in enumerate(own):
+                    if r is not None:
+                        for o, x in zip(out, (path[k], idx[k], src[k], f, *r, beside[k][1] if beside[k] else None)):
+                            o.append(x)
+            yield pd.DataFrame(dict(zip(_COLUMNS, out))).astype({"idx": "int32", "at_limit": bool, "half": bool, "sentence": bool})
 
     return run
 
@@ -105,11 +111,11 @@ def _ready(value: str, body: str, at_limit: bool, model: Plausibility) -> tuple[
 
 
 def prepared(layers: DataFrame, model: Plausibility) -> DataFrame:
-    """(path, idx, source, field, at_limit, text, half, sentence, words) once per (path, idx, field)."""
+    """(path, idx, source, field, at_limit, text, half, sentence, words, other) once per (path, idx, field)."""
     rows = layers.where("path is not null and idx is not null").groupBy("path", "idx").agg(F.min(F.struct("source", *FIELDS)).alias("m")).select("path", "idx", "m.*")
     rows = with_limits(rows, field_limits(layers, FIELDS))
     sent = layers.sparkSession.sparkContext.broadcast(model)
-    return rows.transform(frames, _prepare(sent), "path string, idx int, source string, field string, at_limit boolean, text string, half boolean, sentence boolean, words array<string>")
+    return rows.transform(frames, _prepare(sent), "path string, idx int, source string, field string, at_limit boolean, text string, half boolean, sentence boolean, words array<string>, other string")
 
 
 def trie(ready: DataFrame) -> DataFrame:
@@ -151,15 +157,14 @@ def judged(layers: DataFrame, model: Plausibility) -> DataFrame:
     kinds = nodes.select(
         "sentence", F.col("prefix").alias("w"), "inner", "last", "on", "more",
         ((uses >= LEAST_USES) & (F.col("last") < END_SHARE * uses)).alias("no_end"),
-        ((uses >= LEAST_USES) & (F.col("last") + uses - F.col("last") - F.col("on") < END_SHARE * uses)).alias("goes_on"),
+        ((uses >= LEAST_USES) & (uses - F.col("on") < END_SHARE * uses)).alias("goes_on"),
     ).where((F.col("more") * FRAGMENT_SHARE_AT_LIMIT > uses) | F.col("no_end") | F.col("goes_on"))
     v = ready.where("size(words) > 0").withColumn("tail", F.element_at("words", -1)).withColumn("spaced", F.col("tail") == " ").withColumn("dotted", F.col("tail") == ".")
     v = v.withColumn("w", F.regexp_replace(F.when(F.col("spaced") | F.col("dotted"), F.element_at("words", F.when(F.size("words") > 1, -2).otherwise(-1))).otherwise(F.col("tail")), r"\+$", ""))
-    other = v.select("path", "idx", F.when(F.col("field") == FIELDS[0], FIELDS[1]).otherwise(FIELDS[0]).alias("field"), F.col("text").alias("other"))
     v = v.withColumn("before", F.expr("get(words, size(words) - 2)"))
     kinds = bounded(kinds, WORDS)
     fine = known_in_context(ready, kinds.select("sentence", "w")).withColumn("in_context", F.lit(True))
-    v = v.join(other, ["path", "idx", "field"], "left").join(kinds, ["sentence", "w"], "left").join(bounded(fine, WORDS), ["sentence", "before", "w"], "left")
+    v = v.join(kinds, ["sentence", "w"], "left").join(bounded(fine, WORDS), ["sentence", "before", "w"], "left")
     go_on = F.col("other").isNotNull() & (F.length("other") > F.length("text")) & F.col("other").startswith(F.col("text"))
     within = go_on & F.substring("other", F.length("text") + 1, 1).rlike(r"(?U)[\p{L}]") & F.col("text").rlike(r"(?U)\p{L}$")
     fragment = ~F.col("dotted") & ~F.col("spaced") & (F.col("inner") <= INNER_SHARE * F.col("more")) & (F.col("last") < share * F.col("more")) & F.col("in_context").isNull()
