@@ -242,9 +242,16 @@ def _refill(text: str, step: str, model: Plausibility) -> tuple[str, float] | No
     return (best[1], best[0]) if best else None
 
 
-def restore(text: str, model: Plausibility) -> tuple[str, list[str], float]:
+def restore(text: str, model: Plausibility, most_steps: int = MAX_STEPS) -> tuple[str, list[str], float]:
     """The cheapest reachable text, the steps to it, and how much cheaper it is than the text itself."""
     first = model.cost(text)
+    # bytes that are valid UTF-8 are hardly ever anything else: such an edge to a plausible text ends the search
+    if LOST not in text:
+        for shown in SHOWN:
+            for raw in _encoded(text, shown):
+                t, cut = _decoded(raw, "utf-8")
+                if t and not cut and t != text and model.worst(t) < PLAUSIBLE and (gain := first - model.cost(t) - STEP_COST) > SURE_GAIN:
+                    return t, [f"{shown}>utf-8"], gain
     best = (first, 0, text, [])
     heap = [best]
     seen, seen_bytes, expanded = {text}, set(), 0
@@ -253,7 +260,7 @@ def restore(text: str, model: Plausibility) -> tuple[str, list[str], float]:
         if depth and model.worst(t) < PLAUSIBLE:
             break  # the cheapest of all that is left is plausible throughout
         # undoing one of several wrong decodings may cost a little at first, but not much
-        if depth >= MAX_STEPS or cost > first + DETOUR:
+        if depth >= most_steps or cost > first + DETOUR:
             continue
         expanded += 1
         for step, n, cut in neighbours(t, seen_bytes):
@@ -315,10 +322,12 @@ def judge(text: str | None, model: Plausibility, at_limit: bool = False) -> tupl
     sure = lost or bool(_C1.search(text))
     work = text if lost else body
     form, why = fold(work)
-    # letters of another alphabet may be look-alikes or wrongly decoded; all else that is plausible throughout is right
-    if not sure and "script" not in why and not _JUMP.search(form) and model.worst(form) < PLAUSIBLE:
-        return False, text, ""
-    found, steps, gain = restore(work, model)
+    most_steps = 2 if lost else MAX_STEPS
+    if not sure and not _JUMP.search(form) and model.worst(form) < PLAUSIBLE:
+        if "script" not in why:
+            return False, text, ""
+        most_steps = 1  # plausible with look-alikes replaced; only a single wrong decoding explains it as well
+    found, steps, gain = restore(work, model, most_steps)
     first = model.cost(work)
     images = _WORDS.sub(lambda m: whole_image(m[0]) or m[0], form)
     plain = min(model.cost(form), model.cost(images) + STEP_COST)
