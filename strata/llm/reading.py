@@ -116,7 +116,7 @@ def _prose(batches):
 def fit(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> Level:
     graded = labels.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.avg("grade").alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # the bounded sample of labelled rows
-    rows = documents.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     texts = [(r["grade"], r["words"].split()) for r in rows.transform(frames, _prose, "doc_id bigint, grade double, words string").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator() if r["words"]]
     return Level(texts)
 
