@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
