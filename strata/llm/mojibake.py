@@ -288,7 +288,7 @@ def _known(m: re.Match, model: Plausibility) -> str:
     if found is None:
         return w
     left = [c for c in w if c != LOST]
-    if left and all(c.isupper() for c in left):
+    if len(left) > 1 and all(c.isupper() for c in left):
         return found.upper()
     return found[0].upper() + found[1:] if w[0].isupper() else found
 
