@@ -101,26 +101,42 @@ def words(text: str) -> list[str]:
 # ---------------------------------------------------------------------------------------------------------------------
 # what the sender wrote
 
-_ATTRIBUTION = re.compile(r"(?im)^(?:on|am|le|el|em|il)\b[^\n]{4,200}?(?:\n[^\n]{0,80}?)?(?:wrote|schrieb|écrit|a écrit|escribió|escreveu|ha scritto)[^\n]{0,40}:?\s*$|^-{2,}\s*(?:original message|forwarded message)[^\n]*$|^(?:>|&gt;)")
+_STARTS = "(?:on|am|le|el|em|il)"
+#: The line above a quote that names its writer; it may be wrapped once.
+_ATTRIBUTION = re.compile(rf"(?im)^{_STARTS}\b[^\n]{{4,200}}?(?:\n(?!{_STARTS}\b)[^\n]{{0,80}}?)?(?:wrote|schrieb|écrit|escribió|escreveu|ha scritto)[^\n]{{0,40}}:[^\S\n]*$")
+#: What follows such a mark is somebody else's message, without quote marks.
+_FORWARDED = re.compile(r"(?i)^-{2,}\s*(?:original message|forwarded message)")
 _RULE = re.compile(r"^\s*(?:[-*_=~#]{3,}|-- ?)\s*$")
-_BLOCKQUOTE = re.compile(r"(?is)<blockquote\b.*?(?:</blockquote\s*>|\Z)")
+_BLOCKQUOTE = re.compile(r"(?i)<(/?)blockquote\b[^>]*>")
+
+
+def _unquoted(markup: str) -> str:
+    """Mark-up without its quotes, which may hold others; an unclosed one reaches to the end."""
+    out, depth, at = [], 0, 0
+    for m in _BLOCKQUOTE.finditer(markup):
+        if depth == 0:
+            out.append(markup[at : m.start()])
+        depth = max(0, depth - 1) if m[1] else depth + 1
+        at = m.end()
+    if depth == 0:
+        out.append(markup[at:])
+    return "\n".join(out)
 
 
 def own_prose(message: str | None) -> str:
-    """The text that the sender wrote: the first body text without quotes, what they answer, signature and notices."""
+    """The text that the sender wrote, above, between and below quotes: the first body text without quoted lines and the
+    lines that name their writers, up to a signature, a notice or a message passed on."""
     found = [p for p in parts(message, markup=True) if not p[1]]
     if not found:
         return ""
     text = next((p[2] for p in found if p[0] == "plain" and p[2].strip()), None)
     if text is None:
-        text = reader_text(_BLOCKQUOTE.sub("\n", found[0][2])) if found[0][0] == "html" else found[0][2]
+        text = reader_text(_unquoted(found[0][2])) if found[0][0] == "html" else found[0][2]
     lines = []
     for line in text.split("\n"):
-        if _RULE.match(line):
+        if _RULE.match(line) or _FORWARDED.match(line):
             break
-        if line.lstrip().startswith((">", "|")):
+        if line.lstrip().startswith((">", "|", "&gt;")):
             continue
         lines.append(line)
-    text = "\n".join(lines)
-    m = _ATTRIBUTION.search(text)
-    return text[: m.start()] if m else text
+    return _ATTRIBUTION.sub("", "\n".join(lines))

@@ -53,6 +53,23 @@ def test_parts_odd():
     assert mail.words(own) == ["i", "wrote", "this"]
 
 
+@pytest.mark.parametrize("body, want", [
+    ("On Mon, 1 Jan, B wrote:\n> quoted\n> more\n\nI wrote below.\n-- \nsig", "i wrote below"),
+    ("Above.\n\nOn Mon, 1 Jan 2014 at 10:00, B\n<b@b.example> wrote:\n> one\nFirst answer.\n> two\n>> deep\nSecond answer.\n", "above first answer second answer"),
+    ("On Tuesday I left.\nOn Mon, 1 Jan, B wrote:\n> q\nOn Friday he wrote\nto me.", "on tuesday i left on friday he wrote to me"),
+    ("Mine.\n-----Original Message-----\nFrom: B\n\nnot mine\n", "mine"),
+    ("Mine.\n\n----- Forwarded message -----\nOn Mon, 1 Jan, B wrote:\nnot mine\n", "mine"),
+])
+def test_own_prose_around_quotes(body, want):
+    assert mail.words(mail.own_prose(message(body))) == want.split()
+    assert mail.words(mail.own_prose(message(body.replace("\n", "\r\n"), encoding="base64"))) == want.split()
+
+
+def test_own_prose_around_quotes_in_markup():
+    quote = "<p>On Mon, 1 Jan, B wrote:</p><blockquote>one<blockquote>deep</blockquote>two</blockquote>"
+    assert mail.words(mail.own_prose(message(f"<p>Above.</p>{quote}<p>Below.</p>{quote}<p>End.</p><blockquote>open", True))) == ["above", "below", "end"]
+
+
 def test_parts_like_the_standard_library():
     rng = random.Random(2)
     words = "alpha beta gamma olá déjà Straße".split()
