@@ -1,10 +1,10 @@
 """Evaluation texts leaking into training text.
 
-The words of every readable part are written once. All n-grams of the test items are counted over the whole corpus by
-an automaton; of each stretch of ``RUN`` words of an item that may occur the rarest n-gram becomes a seed, so that no
-copied stretch is without one. Seeds found in a part join it to items; the region around them is aligned with the item by
-Smith-Waterman over words (match 2, mismatch -1, gap -1), which scores edited and paraphrased copies, and in the same
-pass the longest exact run is measured.
+The words of every readable part are written once. All n-grams of the test items are looked up in the whole corpus
+by an automaton; those that occur are the seeds, however often they do, so that a copy is found by any ``NGRAM`` words in a
+row that it kept. Seeds found in a part join it to items; the region around them is aligned with the item by
+Smith-Waterman over words (match 2, mismatch -1, gap -1), which scores edited and paraphrased copies, and the longest
+exact run is measured. The regions of an item are aligned together.
 
 Items are a stated query set of bounded size: they go to the tasks in blocks of ``BLOCK_BYTES`` of text, so any number
 of them is handled. Documents are never shuffled or collected.
@@ -17,7 +17,6 @@ items are reported each; an empty table gives an empty result.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -31,8 +30,8 @@ RUN = 12
 NGRAM = 6
 #: Least alignment score of a copy that holds no exact run of RUN words, alone and as a share of the item's own.
 SCORE, SCORE_SHARE = 24, 0.5
-#: An n-gram of a stretch that never occurs whole is a seed for edited copies if it is in this share of the parts.
-RARE_SHARE, RARE_LEAST = 1e-4, 2
+#: Words of the regions that are aligned together with one item.
+CELLS = 1 << 16
 BLOCK_BYTES = 16 << 20
 
 _SCHEMA = "doc_id bigint, item_id bigint, part int, score int, run int, share double"
@@ -71,52 +70,87 @@ def _overlapping(a, text: str):
     return a.iter(f" {text} ")
 
 
-def _counter(grams):
+def _finder(grams):
     def run(batches):
-        a, total = _automaton(grams.value), Counter()
+        a, met = _automaton(grams.value), set()
         for b in batches:
             for t in b["words"]:
-                total.update({k for _, k in _overlapping(a, t)})
-        yield pd.DataFrame({"k": pd.Series(list(total), dtype="int32"), "n": pd.Series(list(total.values()), dtype="int64")})
+                met.update(k for _, k in _overlapping(a, t))
+        yield pd.DataFrame({"k": pd.Series(list(met), dtype="int32")})
 
     return run
 
 
-def seeds_of(items: list[tuple[int, list[str]]], counts: dict[str, int], rare: float = RARE_LEAST) -> dict[str, list[int]]:
-    """Seed n-gram -> positions of its items. A stretch of RUN words whose n-grams all occur may be copied as it is: its
-    rarest n-gram is a seed. Of any other stretch the rarest that occurs is one only if it is rare, for edited copies."""
+def seeds_of(items: list[tuple[int, list[str]]], occur: set[str]) -> dict[str, list[int]]:
+    """Seed n-gram -> positions of its items: every n-gram that occurs."""
     seeds: dict[str, set[int]] = {}
-    span = RUN - NGRAM + 1
     for at, (_, w) in enumerate(items):
-        grams = [" ".join(w[k : k + NGRAM]) for k in range(len(w) - NGRAM + 1)]
-        n = [counts.get(g, 0) for g in grams]
-        for k in range(max(1, len(grams) - span + 1) if grams else 0):
-            here = range(k, min(k + span, len(grams)))
-            best = min(here, key=lambda j: n[j] or float("inf"))
-            if n[best] and (n[best] <= rare or all(n[j] for j in here)):
-                seeds.setdefault(grams[best], set()).add(at)
+        for k in range(len(w) - NGRAM + 1):
+            g = " ".join(w[k : k + NGRAM])
+            if g in occur:
+                seeds.setdefault(g, set()).add(at)
     return {g: sorted(v) for g, v in seeds.items()}
 
 
-def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
-    """Best local alignment score and longest common run of two arrays of word numbers."""
-    n = len(doc)
-    steps = np.arange(n + 1)
-    h = np.zeros(n + 1, dtype=np.int64)
-    r = np.zeros(n + 1, dtype=np.int64)
-    score = run = 0
+def _table(docs: list[np.ndarray]) -> np.ndarray:
+    """One column per array, filled up with a number that equals nothing."""
+    t = np.full((max(map(len, docs)), len(docs)), -1, dtype=np.int32)
+    for k, d in enumerate(docs):
+        t[: len(d), k] = d
+    return t
+
+
+def _scores(item: np.ndarray, doc: np.ndarray, match: int = 2, other: int = -1) -> np.ndarray:
+    """Best local alignment score of each column; ``other`` for a changed or missing word of the item, -1 for one more."""
+    wide, n = doc.shape
+    kind = np.int16 if match * len(item) + wide + 8 < 1 << 15 else np.int32
+    # a cell at word j of the column is kept j higher, so that more words there cost nothing
+    steps = np.repeat(np.arange(wide + 1, dtype=kind)[:, None], n, axis=1)
+    h, d, t = steps.copy(), steps.copy(), np.empty((wide, n), dtype=kind)
+    best = np.zeros((wide + 1, n), dtype=kind)
     for w in item:
-        eq = doc == w
-        d = np.empty(n + 1, dtype=np.int64)
+        np.multiply(doc == w, kind(match - other), out=t)
+        t += h[:-1]
+        t += kind(other + 1)
+        h += kind(other)
+        np.maximum(t, h[1:], out=d[1:])
         d[0] = 0
-        d[1:] = np.maximum(h[:-1] + np.where(eq, 2, -1), h[1:] - 1)
-        np.maximum(d, 0, out=d)
-        h = np.maximum.accumulate(d + steps) - steps  # gaps along the row
-        nr = np.zeros(n + 1, dtype=np.int64)
-        nr[1:][eq] = r[:-1][eq] + 1
-        r = nr
-        score, run = max(score, int(h.max())), max(run, int(r.max()))
-    return score, run
+        np.maximum(d, steps, out=d)
+        np.maximum.accumulate(d, axis=0, out=h)
+        np.maximum(best, np.subtract(h, steps, out=d), out=best)
+    return best.max(axis=0)
+
+
+def _runs(item: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Longest common run of the item with each column."""
+    r = np.zeros((doc.shape[0] + 1, doc.shape[1]), dtype=np.int32)
+    best = r.copy()
+    for w in item:
+        r[1:] = (r[:-1] + 1) * (doc == w)
+        np.maximum(best, r, out=best)
+    return best.max(axis=0)
+
+
+def align(item: np.ndarray, docs: list[np.ndarray], least: int = 0) -> list[tuple[int, int]]:
+    """Best local alignment score and longest common run of an item with each of some arrays of word numbers, those
+    below 0 equal nothing; zeros where the score is below ``least``."""
+    same: dict[bytes, list[int]] = {}  # copies of a message give the same array
+    for k, d in enumerate(docs):
+        same.setdefault(d.tobytes(), []).append(k)
+    out = [(0, 0)] * len(docs)
+    order = sorted(same.values(), key=lambda v: -len(docs[v[0]]))  # those of like length together
+    at = 0
+    while at < len(order):
+        here = order[at : at + max(1, CELLS // max(1, len(docs[order[at][0]])))]
+        at += len(here)
+        doc = _table([docs[v[0]] for v in here])
+        score = _scores(item, doc)
+        high = np.flatnonzero(score >= least)
+        if len(high):
+            for k, s, r in zip(high, score[high].tolist(), _runs(item, np.ascontiguousarray(doc[:, high])).tolist()):
+                for x in here[k]:
+                    out[x] = (s, r)
+    return out
 
 
 def _matcher(sent):
@@ -130,7 +164,7 @@ def _matcher(sent):
                 numbers.setdefault(x, len(numbers))
         arrays = [np.array([numbers[x] for x in w], dtype=np.int32) for _, w in items]
         for b in batches:
-            out = []
+            regions: dict[int, list[tuple[int, int, np.ndarray]]] = {}
             for i, part, text in zip(b["doc_id"], b["part"], b["words"]):
                 hits: dict[int, list[int]] = {}
                 for end, k in _overlapping(a, text):
@@ -142,19 +176,21 @@ def _matcher(sent):
                 ends = np.cumsum([len(x) + 1 for x in w]).tolist()  # of each word with its blank, behind the first blank
                 doc = np.array([numbers.get(x, -1) for x in w], dtype=np.int32)
                 for o, at in hits.items():
-                    item = arrays[o]
-                    reach = len(item) + 8
+                    reach = len(arrays[o]) + 8
                     places = sorted({bisect_right(ends, e - 1) for e in at})
-                    best = (0, 0)
                     k = 0
                     while k < len(places):  # hits within reach of each other are one region
                         j = k
                         while j + 1 < len(places) and places[j + 1] - places[j] <= reach:
                             j += 1
-                        best = max(best, *[align(item, doc[max(0, places[k] - reach) : places[j] + reach])], key=lambda x: (x[1] >= RUN, x[0], x[1]))
+                        regions.setdefault(o, []).append((i, part, doc[max(0, places[k] - reach) : places[j] + reach]))
                         k = j + 1
-                    if best[1] >= RUN or best[0] >= max(SCORE, SCORE_SHARE * 2 * len(items[o][1])):
-                        out.append((i, items[o][0], part, best[0], best[1], best[0] / (2 * len(item))))
+            out = []
+            for o, of in regions.items():
+                size, best = len(arrays[o]), {}
+                for (i, part, _), (score, length) in zip(of, align(arrays[o], [d for *_, d in of], SCORE)):
+                    best[i, part] = max(best.get((i, part), (False, 0, 0)), (length >= RUN, score, length))
+                out += [(i, items[o][0], part, score, length, score / (2 * size)) for (i, part), (exact, score, length) in best.items() if exact or score >= max(SCORE, SCORE_SHARE * 2 * size)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "part", "score", "run", "share"]).astype({"doc_id": "int64", "item_id": "int64", "part": "int32", "score": "int32", "run": "int32", "share": "float64"})
 
     return run
@@ -167,7 +203,6 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     own = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-size // BLOCK_BYTES)
-    rare = max(RARE_LEAST, RARE_SHARE * parts.count())
     found = None
     for n in range(blocks):
         block = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n)
@@ -176,9 +211,9 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         if not grams:
             continue
         sent = spark.sparkContext.broadcast(grams)
-        counted = parts.select("words").transform(frames, _counter(sent), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-        counts = {grams[r["k"]]: r["n"] for r in counted.toLocalIterator()}  # at most one row per n-gram of the block
-        hit = parts.transform(frames, _matcher(spark.sparkContext.broadcast((held, seeds_of(held, counts, rare)))), _SCHEMA)
+        met = parts.select("words").transform(frames, _finder(sent), "k int").distinct()
+        occur = {grams[r["k"]] for r in met.toLocalIterator()}  # at most one row per n-gram of the block
+        hit = parts.transform(frames, _matcher(spark.sparkContext.broadcast((held, seeds_of(held, occur)))), _SCHEMA)
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         found = spark.createDataFrame([], _SCHEMA)

@@ -4,6 +4,7 @@ import base64
 import email
 import random
 
+import numpy as np
 import pytest
 
 from strata.llm import leakage, mail, mixing, reading
@@ -127,6 +128,33 @@ def test_edited_copies_score(spark):
     assert got["run"] == 9 and got["score"] >= 80
 
 
+def test_edited_copies_are_found_however_often_they_are_repeated(spark):
+    item = " ".join(f"w{k}" for k in range(60))
+    edited = " ".join("x" if k % 10 == 9 else f"w{k}" for k in range(60))
+    docs = [(k, message(edited), "s", None, 1, "", 1, 1.0) for k in range(5)]
+    got = leakage.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, "s", item, 1)], ITEM)).collect()
+    assert {r["doc_id"] for r in got} == set(range(5))
+    # a single seed that is common elsewhere is enough
+    one = " ".join("x" if k % 6 == 5 and k != 11 else f"w{k}" for k in range(60))
+    docs = [(9, message(one), "s", None, 1, "", 1, 1.0)] + [(k, message("w6 w7 w8 w9 w10 w11"), "s", None, 1, "", 1, 1.0) for k in range(5)]
+    got = leakage.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, "s", item, 1)], ITEM)).collect()
+    assert [r["doc_id"] for r in got] == [9]
+
+
+def test_align():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        item, docs = rng.integers(0, 5, rng.integers(1, 25)), [rng.integers(-1, 5, rng.integers(1, 40)) for _ in range(3)]
+        for doc, found in zip(docs, leakage.align(item, docs)):
+            h, r, score, run = {}, {}, 0, 0
+            for i, w in enumerate(item):
+                for j, x in enumerate(doc):
+                    h[i, j] = max(0, h.get((i - 1, j - 1), 0) + (2 if w == x else -1), h.get((i - 1, j), 0) - 1, h.get((i, j - 1), 0) - 1)
+                    r[i, j] = r.get((i - 1, j - 1), 0) + 1 if w == x else 0
+                    score, run = max(score, h[i, j]), max(run, r[i, j])
+            assert found == (score, run)
+
+
 def test_flow():
     patterns = {("a",): 100, ("b",): 50, ("a", "b"): 40}
     total, used = mixing.route(patterns, {"a": (0.5, 1), "b": (0.5, 2)})
