@@ -10,7 +10,7 @@ Items are a stated query set of bounded size: they go to the tasks in blocks of
 of them is handled. Documents are never shuffled or collected.
 
 Results for odd input: null texts and ids are left out; an item of fewer than ``NGRAM`` words gives no seed and no row;
-an item of fewer than ``RUN`` words can only be found by its score; repeated documents and items count once by id; equal
+an item of fewer than ``RUN`` words can only be found by its evidence; repeated documents and items count once by id; equal
 items are reported each; an empty table gives an empty result.
 """
 
@@ -28,8 +28,9 @@ from strata.session import frames, stored
 
 RUN = 12
 NGRAM = 6
-#: Least alignment score of a copy that holds no exact run of RUN words, alone and as a share of the item's own.
-SCORE, SCORE_SHARE = 24, 0.5
+#: A copy without an exact run of RUN words holds as much evidence as one: each kept word of the aligned region counts 1,
+#: each changed or missing one -2, each additional one -1. Of a short item half of its words are enough.
+KEPT, CHANGED = 1, -2
 #: Words of the regions that are aligned together with one item.
 CELLS = 1 << 16
 BLOCK_BYTES = 16 << 20
@@ -133,7 +134,7 @@ def _runs(item: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def align(item: np.ndarray, docs: list[np.ndarray], least: int = 0) -> list[tuple[int, int]]:
     """Best local alignment score and longest common run of an item with each of some arrays of word numbers, those
-    below 0 equal nothing; zeros where the score is below ``least``."""
+    below 0 equal nothing; zeros where no region holds the evidence ``least``."""
     same: dict[bytes, list[int]] = {}  # copies of a message give the same array
     for k, d in enumerate(docs):
         same.setdefault(d.tobytes(), []).append(k)
@@ -144,10 +145,10 @@ def align(item: np.ndarray, docs: list[np.ndarray], least: int = 0) -> list[tupl
         here = order[at : at + max(1, CELLS // max(1, len(docs[order[at][0]])))]
         at += len(here)
         doc = _table([docs[v[0]] for v in here])
-        score = _scores(item, doc)
-        high = np.flatnonzero(score >= least)
+        high = np.flatnonzero(_scores(item, doc, KEPT, CHANGED) >= least)
         if len(high):
-            for k, s, r in zip(high, score[high].tolist(), _runs(item, np.ascontiguousarray(doc[:, high])).tolist()):
+            doc = np.ascontiguousarray(doc[:, high])
+            for k, s, r in zip(high, _scores(item, doc).tolist(), _runs(item, doc).tolist()):
                 for x in here[k]:
                     out[x] = (s, r)
     return out
@@ -188,9 +189,10 @@ def _matcher(sent):
             out = []
             for o, of in regions.items():
                 size, best = len(arrays[o]), {}
-                for (i, part, _), (score, length) in zip(of, align(arrays[o], [d for *_, d in of], SCORE)):
-                    best[i, part] = max(best.get((i, part), (False, 0, 0)), (length >= RUN, score, length))
-                out += [(i, items[o][0], part, score, length, score / (2 * size)) for (i, part), (exact, score, length) in best.items() if exact or score >= max(SCORE, SCORE_SHARE * 2 * size)]
+                for (i, part, _), (score, length) in zip(of, align(arrays[o], [d for *_, d in of], min(RUN, -(-size // 2)))):
+                    if score:
+                        best[i, part] = max(best.get((i, part), (False, 0, 0)), (length >= RUN, score, length))
+                out += [(i, items[o][0], part, score, length, score / (2 * size)) for (i, part), (_, score, length) in best.items()]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "part", "score", "run", "share"]).astype({"doc_id": "int64", "item_id": "int64", "part": "int32", "score": "int32", "run": "int32", "share": "float64"})
 
     return run

@@ -141,6 +141,15 @@ def test_edited_copies_are_found_however_often_they_are_repeated(spark):
     assert [r["doc_id"] for r in got] == [9]
 
 
+def test_edited_excerpts_of_long_items_are_found(spark):
+    item = [f"w{k}" for k in range(178)]
+    edited = [f"w{k}" if k % 10 else "x" for k in range(61, 121)]
+    pattern = ["x" if k % 8 in (1, 5, 7) and k > 8 else f"w{k}" for k in range(178)]  # a sentence built alike
+    docs = [(k, message(" ".join(w)), "s", None, 1, "", 1, 1.0) for k, w in enumerate((edited, pattern, edited + pattern[121:]))]
+    got = leakage.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, "s", " ".join(item), 1)], ITEM)).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 2] and all(r["run"] < 12 for r in got)
+
+
 def test_align():
     rng = np.random.default_rng(1)
     for _ in range(40):
