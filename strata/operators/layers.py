@@ -79,7 +79,7 @@ def display_name() -> Column:
 
 def safe_name(name: Column, most: int = 40) -> Column:
     """Runs of anything but letters, digits, ``_ - . +`` as one underscore, none at the ends, at most ``most``."""
-    clean = F.regexp_replace(name, r"(?U)[^\w\-.+]+", "_")
+    clean = F.regexp_replace(name, r"[^\p{L}\p{N}_\-.+]+", "_")
     return F.coalesce(F.nullif(F.substring(F.regexp_replace(clean, "^_+|_+$", ""), 1, most), F.lit("")), F.lit("layer"))
 
 

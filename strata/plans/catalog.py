@@ -107,7 +107,12 @@ def nonempty_pixel_layers(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_L}, N AS (SELECT path, idx, coalesce(nullif(name_unicode, ''), nullif(layer_name, ''), '') AS name FROM L WHERE layer_type <> 'HIDDEN' AND regexp_full_match(coalesce(nullif(name_unicode, ''), nullif(layer_name, ''), ''), '[ -~]*'))
     SELECT path, idx, name, coalesce(nullif(regexp_replace(regexp_replace(name, '[^A-Za-z0-9_\\-.+]+', '_', 'g'), '^_+|_+$', '', 'g')[1:40], ''), 'layer') AS safe FROM N""")
 def safe_names(spark: SparkSession, d: str) -> DataFrame:
-    n = _layers(spark, d).where("layer_type <> 'HIDDEN'").select("path", "idx", layers.display_name().alias("name")).where(F.col("name").rlike("^[ -~]*$"))
+    return all_safe_names(spark, d).where(F.col("name").rlike("^[ -~]*$"))  # as in the SQL, whose classes are those of ASCII
+
+
+@query()
+def all_safe_names(spark: SparkSession, d: str) -> DataFrame:
+    n = _layers(spark, d).where("layer_type <> 'HIDDEN'").select("path", "idx", layers.display_name().alias("name"))
     return n.withColumn("safe", layers.safe_name(F.col("name")))
 
 

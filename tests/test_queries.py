@@ -53,5 +53,19 @@ def test_runs(spark, name):
         assert rows and all(r["same"] for r in rows)
 
 
+def test_safe_names_of_every_script(spark, duck):
+    """Against the rule in Python, whose letters and digits are those of Unicode."""
+    import re
+
+    def safe(name):
+        return re.sub(r"[^\w\-.+]+", "_", name).strip("_")[:40] or "layer"
+
+    rows = __spark_entry__.queries()["all_safe_names"](spark, DATA).collect()
+    keys = duck.execute("SELECT DISTINCT path, idx FROM layers WHERE path IS NOT NULL AND idx IS NOT NULL AND layer_type <> 'HIDDEN'").fetchall()
+    assert sorted((r["path"], r["idx"]) for r in rows) == sorted(keys)
+    assert [r["safe"] for r in rows] == [safe(r["name"]) for r in rows]
+    assert sum(not r["name"].isascii() for r in rows) > 100
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
