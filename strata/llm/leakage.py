@@ -1,23 +1,24 @@
 """Evaluation texts leaking into training text.
 
-The words of every readable part are written once. All n-grams of the test items are looked up in the whole corpus
-by an automaton; those that occur are the seeds, however often they do, so that a copy is found by any ``NGRAM`` words in a
-row that it kept. Seeds found in a part join it to items; the region around them is aligned with the item by
-Smith-Waterman over words (match 2, mismatch -1, gap -1), which scores edited and paraphrased copies, and the longest
-exact run is measured. The regions of an item are aligned together.
+The words of every readable part are written once. Words that no test item has are set apart; all n-grams of the items
+(``NGRAM`` words) are looked up in the whole corpus as numbers. A hit joins a stretch of text to an item on a diagonal
+(place in the text less place in the item). The hits of a narrow band of diagonals are chained: what they cover must
+outweigh the words between them by ``CHAIN``, and must be rare: each covered word counts -log2 of its share of all words
+of the corpus, ``SEED_BITS`` together, so that copies of a passage don't make its own seeds common. A chain of ``RUN``
+words needs no rarity. The region around the diagonal is aligned with the item by Smith-Waterman over words, which finds
+edited and paraphrased copies, and the longest exact run is measured. A region is at most four times as long as its
+item; the regions of an item are aligned together.
 
 Items are a stated query set of bounded size: they go to the tasks in blocks of ``BLOCK_BYTES`` of text, so any number
 of them is handled. Documents are never shuffled or collected.
 
 Results for odd input: null texts and ids are left out; an item of fewer than ``NGRAM`` words gives no seed and no row;
 an item of fewer than ``RUN`` words can only be found by its evidence; repeated documents and items count once by id; equal
-items are reported each; an empty table gives an empty result.
+items are reported each; an empty table, and a corpus in which no seed occurs, give an empty result.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,13 +28,24 @@ from strata.llm import mail
 from strata.session import frames, stored
 
 RUN = 12
-NGRAM = 6
+NGRAM = 3
+#: Rarity of what the seeds of a band cover, in bits, from which its region is aligned.
+SEED_BITS = 40.0
+#: Words that a chain of seeds in a band must cover, the words between them taken off; half of a short item is enough.
+CHAIN = 8
+#: More than the chains of one group can rise or fall.
+APART = 1 << 34
+#: Diagonals of a band; bands overlap by half.
+BAND = 8
+#: Words that are looked up at once.
+CHUNK = 1 << 20
 #: A copy without an exact run of RUN words holds as much evidence as one: each kept word of the aligned region counts 1,
 #: each changed or missing one -2, each additional one -1. Of a short item half of its words are enough.
 KEPT, CHANGED = 1, -2
 #: Words of the regions that are aligned together with one item.
 CELLS = 1 << 16
-BLOCK_BYTES = 16 << 20
+#: Fewer than 2^21 different words fit into a block, so that the code of an n-gram fits into 63 bits.
+BLOCK_BYTES = 8 << 20
 
 _SCHEMA = "doc_id bigint, item_id bigint, part int, score int, run int, share double"
 
@@ -56,41 +68,113 @@ def part_words(documents: DataFrame) -> DataFrame:
     return documents.where("doc_id is not null and text is not null").select("doc_id", "text").transform(frames, _parts, "doc_id bigint, part int, words string")
 
 
-def _automaton(grams):
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for k, g in enumerate(grams):
-        a.add_word(f" {g} ", k)
-    a.make_automaton()
-    return a
-
-
-def _overlapping(a, text: str):
-    """(end, value) of all hits; patterns start and end with a blank that neighbours share."""
-    return a.iter(f" {text} ")
+class Items:
+    """Test items as arrays of word numbers, and their n-grams as sorted codes with the places of each."""
 
-
-def _finder(grams):
+    def __init__(self, items: list[tuple[int, list[str]]]):
+        self.ids = [i for i, _ in items]
+        self.numbers: dict[str, int] = {}
+        for _, w in items:
+            for x in w:
+                self.numbers.setdefault(x, len(self.numbers))
+        self.arrays = [np.array([self.numbers[x] for x in w], dtype=np.int32) for _, w in items]
+        self.sizes = np.array([len(a) for a in self.arrays], dtype=np.int64)
+        codes = [self.codes(a) for a in self.arrays]
+        every = np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64)
+        owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, dtype=np.int64)
+        order = np.argsort(every, kind="stable")
+        self.grams, self.first, self.uses = np.unique(every[order], return_index=True, return_counts=True)
+        self.owner, self.place = owner[order].astype(np.int64), place[order].astype(np.int64)
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """The code of the n-gram at each place; -1 where a word is in no item."""
+        n, base = len(words) - NGRAM + 1, np.int64(max(1, len(self.numbers)))
+        if n <= 0:
+            return np.zeros(0, dtype=np.int64)
+        out, ok = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+        for k in range(NGRAM):
+            w = words[k : k + n]
+            out = out * base + w
+            ok &= w >= 0
+        return np.where(ok, out, -1)
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the text, item, place in the item) of each n-gram of the items that occurs."""
+        at, gram = [], []
+        for start in range(0, max(0, len(words) - NGRAM + 1), CHUNK):
+            c = self.codes(words[start : start + CHUNK + NGRAM - 1])
+            here = np.flatnonzero(c >= 0)
+            k = np.searchsorted(self.grams, c[here])
+            met = k < len(self.grams)
+            met[met] = self.grams[k[met]] == c[here][met]
+            at.append(here[met] + start)
+            gram.append(k[met])
+        if not at:
+            return (np.zeros(0, dtype=np.int64),) * 3
+        where, g = np.concatenate(at), np.concatenate(gram)
+        n = self.uses[g]
+        use = np.repeat(self.first[g] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(where, n), self.owner[use], self.place[use]
+
+
+def _numbered(texts, numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts as one array, each text followed by a -1, and where each begins."""
+    each = []
+    for t in texts:
+        w = [numbers.get(x, -1) for x in t.split(" ")]
+        w.append(-1)
+        each.append(np.array(w, dtype=np.int32))
+    starts = np.cumsum([0, *map(len, each)])
+    return (np.concatenate(each) if each else np.zeros(0, dtype=np.int32)), starts
+
+
+def _counter(sent):
     def run(batches):
-        a, met = _automaton(grams.value), set()
+        numbers = sent.value.numbers
+        counts, total = np.zeros(len(numbers), dtype=np.int64), 0
         for b in batches:
-            for t in b["words"]:
-                met.update(k for _, k in _overlapping(a, t))
-        yield pd.DataFrame({"k": pd.Series(list(met), dtype="int32")})
+            words, starts = _numbered(b["words"], numbers)
+            counts += np.bincount(words[words >= 0], minlength=len(numbers))
+            total += len(words) - len(b)
+        met = np.flatnonzero(counts)
+        yield pd.DataFrame({"k": np.append(met, -1).astype("int32"), "n": np.append(counts[met], total).astype("int64")})
 
     return run
 
 
-def seeds_of(items: list[tuple[int, list[str]]], occur: set[str]) -> dict[str, list[int]]:
-    """Seed n-gram -> positions of its items: every n-gram that occurs."""
-    seeds: dict[str, set[int]] = {}
-    for at, (_, w) in enumerate(items):
-        for k in range(len(w) - NGRAM + 1):
-            g = " ".join(w[k : k + NGRAM])
-            if g in occur:
-                seeds.setdefault(g, set()).add(at)
-    return {g: sorted(v) for g, v in seeds.items()}
+def regions(items: Items, words: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, item, from, to) of the stretches of the numbered texts that hold enough evidence of an item."""
+    at, item, place = items.hits(words)
+    if not len(at):
+        return []
+    text = np.searchsorted(starts, at, side="right") - 1
+    diagonal = at - place
+    total = np.concatenate([[0.0], np.cumsum(np.where(words >= 0, bits[words], 0.0))])
+    found = []
+    for shift in (0, BAND // 2):
+        band = (diagonal + shift) // BAND
+        order = np.lexsort((at, band, item, text))
+        t, i, d, p = text[order], item[order], band[order], at[order]
+        new = np.r_[True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (d[1:] != d[:-1])]
+        # what a hit covers beyond the one before it, less the words between the two
+        last = np.where(new, p, np.r_[0, p[:-1] + NGRAM])
+        begin, starting = np.maximum(p, last), np.flatnonzero(new)
+        gain, group = p + NGRAM - begin, np.cumsum(new) - 1
+        rise = np.cumsum(gain - np.maximum(p - last, 0))
+        low = np.minimum.accumulate(rise - gain - group * APART) + group * APART
+        chain = np.maximum.reduceat(rise - low, starting)
+        rare = np.bincount(group, total[p + NGRAM] - total[begin]) >= SEED_BITS
+        enough = (chain >= np.minimum(CHAIN, -(-items.sizes[i[starting]] // 2))) & (rare | (chain >= RUN))
+        first = starting[enough]
+        size = items.sizes[i[first]]
+        found.append(np.stack([t[first], i[first], (d[first] * BAND - shift) // size], axis=1))
+    out = []
+    for t, i, k in np.unique(np.concatenate(found), axis=0).tolist():
+        n = int(items.sizes[i])
+        a, b = max(int(starts[t]), (k - 1) * n), min(int(starts[t + 1]) - 1, (k + 3) * n + BAND)
+        out.append((t, i, a, b))
+    return out
 
 
 def _table(docs: list[np.ndarray]) -> np.ndarray:
@@ -154,45 +238,29 @@ def align(item: np.ndarray, docs: list[np.ndarray], least: int = 0) -> list[tupl
     return out
 
 
+def _bounded(batches):
+    """The rows of batches in frames of about ``CHUNK`` words; a text is never cut."""
+    for b in batches:
+        part = (b["words"].str.len().cumsum() // (6 * CHUNK)).to_numpy()
+        for k in np.unique(part):
+            yield b[part == k]
+
+
 def _matcher(sent):
     def run(batches):
-        items, seeds = sent.value
-        grams = list(seeds)
-        a, owners = _automaton(grams), [seeds[g] for g in grams]
-        numbers: dict[str, int] = {}
-        for _, w in items:
-            for x in w:
-                numbers.setdefault(x, len(numbers))
-        arrays = [np.array([numbers[x] for x in w], dtype=np.int32) for _, w in items]
-        for b in batches:
-            regions: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-            for i, part, text in zip(b["doc_id"], b["part"], b["words"]):
-                hits: dict[int, list[int]] = {}
-                for end, k in _overlapping(a, text):
-                    for o in owners[k]:
-                        hits.setdefault(o, []).append(end)
-                if not hits:
-                    continue
-                w = text.split(" ")
-                ends = np.cumsum([len(x) + 1 for x in w]).tolist()  # of each word with its blank, behind the first blank
-                doc = np.array([numbers.get(x, -1) for x in w], dtype=np.int32)
-                for o, at in hits.items():
-                    reach = len(arrays[o]) + 8
-                    places = sorted({bisect_right(ends, e - 1) for e in at})
-                    k = 0
-                    while k < len(places):  # hits within reach of each other are one region
-                        j = k
-                        while j + 1 < len(places) and places[j + 1] - places[j] <= reach:
-                            j += 1
-                        regions.setdefault(o, []).append((i, part, doc[max(0, places[k] - reach) : places[j] + reach]))
-                        k = j + 1
-            out = []
-            for o, of in regions.items():
-                size, best = len(arrays[o]), {}
-                for (i, part, _), (score, length) in zip(of, align(arrays[o], [d for *_, d in of], min(RUN, -(-size // 2)))):
+        items, bits = sent.value
+        for b in _bounded(batches):
+            words, starts = _numbered(b["words"], items.numbers)
+            of: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for t, i, x, y in regions(items, words, starts, bits):
+                of.setdefault(i, []).append((t, words[x:y]))
+            ids, part, out = b["doc_id"].to_numpy(), b["part"].to_numpy(), []
+            for i, here in of.items():
+                size, best = int(items.sizes[i]), {}
+                for (t, _), (score, length) in zip(here, align(items.arrays[i], [w for _, w in here], min(RUN, -(-size // 2)))):
                     if score:
-                        best[i, part] = max(best.get((i, part), (False, 0, 0)), (length >= RUN, score, length))
-                out += [(i, items[o][0], part, score, length, score / (2 * size)) for (i, part), (_, score, length) in best.items()]
+                        best[t] = max(best.get(t, (False, 0, 0)), (length >= RUN, score, length))
+                out += [(ids[t], items.ids[i], part[t], score, length, score / (2 * size)) for t, (_, score, length) in best.items()]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "part", "score", "run", "share"]).astype({"doc_id": "int64", "item_id": "int64", "part": "int32", "score": "int32", "run": "int32", "share": "float64"})
 
     return run
@@ -208,14 +276,16 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     found = None
     for n in range(blocks):
         block = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n)
-        held = sorted((r["item_id"], mail.words(r["text"])) for r in block.toLocalIterator())
-        grams = sorted({" ".join(w[k : k + NGRAM]) for _, w in held for k in range(len(w) - NGRAM + 1)})
-        if not grams:
+        held = Items(sorted((r["item_id"], mail.words(r["text"])) for r in block.toLocalIterator()))
+        if not len(held.grams):
             continue
-        sent = spark.sparkContext.broadcast(grams)
-        met = parts.select("words").transform(frames, _finder(sent), "k int").distinct()
-        occur = {grams[r["k"]] for r in met.toLocalIterator()}  # at most one row per n-gram of the block
-        hit = parts.transform(frames, _matcher(spark.sparkContext.broadcast((held, seeds_of(held, occur)))), _SCHEMA)
+        counts = parts.select("words").transform(frames, _counter(spark.sparkContext.broadcast(held)), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+        uses = {r["k"]: r["n"] for r in counts.toLocalIterator()}  # at most one row per word of the block
+        total = uses.pop(-1, 0)
+        bits = np.zeros(len(held.numbers))
+        for k, v in uses.items():
+            bits[k] = np.log2(total / v)
+        hit = parts.transform(frames, _matcher(spark.sparkContext.broadcast((held, bits))), _SCHEMA)
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         found = spark.createDataFrame([], _SCHEMA)

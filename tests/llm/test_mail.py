@@ -141,6 +141,26 @@ def test_edited_copies_are_found_however_often_they_are_repeated(spark):
     assert [r["doc_id"] for r in got] == [9]
 
 
+def test_clean_corpus_has_no_leaks(spark):
+    docs = [(1, message("nothing of it stands here"), "s", None, 1, "", 1, 1.0)]
+    for text in (" ".join(f"w{k}" for k in range(60)), "two words", ""):
+        assert leakage.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, "s", text, 1)], ITEM)).count() == 0
+
+
+@pytest.mark.parametrize("every, kept, least", [(4, 60, 0.9), (5, 60, 0.95), (6, 60, 1.0), (7, 25, 0.95), (8, 25, 1.0), (10, 25, 1.0), (5, 35, 0.95), (12, 25, 1.0)])
+def test_recall_of_edited_copies(spark, every, kept, least):
+    """Items of 60 words, the first ``kept`` copied into other text, one word in ``every`` changed."""
+    rng = random.Random(every)
+    words = [f"w{k}" for k in range(3000)]
+    items = [(k, "s", " ".join(rng.choices(words, k=60)), 1) for k in range(100)]
+    docs = []
+    for k, (_, _, text, _) in enumerate(items):
+        own = [rng.choice(words) if j % every == every - 1 else w for j, w in enumerate(text.split()[:kept])]
+        docs.append((k, message(" ".join(rng.choices(words, k=80) + own + rng.choices(words, k=80))), "s", None, 1, "", 1, 1.0))
+    got = leakage.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()
+    assert sum(r["doc_id"] == r["item_id"] for r in got) >= least * len(items) and all(r["doc_id"] == r["item_id"] for r in got)
+
+
 def test_edited_excerpts_of_long_items_are_found(spark):
     item = [f"w{k}" for k in range(178)]
     edited = [f"w{k}" if k % 10 else "x" for k in range(61, 121)]
