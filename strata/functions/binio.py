@@ -3,19 +3,41 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 
 class Short(ValueError):
     """The bytes end before a field does."""
 
 
+class Ranged:
+    """Bytes of a file that are read where they are asked for: ``read_at(n, offset)``, one block of ``block`` bytes kept.
+
+    ``fetched`` counts the bytes read.
+    """
+
+    def __init__(self, read_at: Callable[[int, int], bytes], size: int, block: int = 1 << 16):
+        self.read_at, self.size, self.block = read_at, size, block
+        self.at, self.held, self.fetched = 0, b"", 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        a, b, _ = part.indices(self.size)
+        if a < self.at or b > self.at + len(self.held):
+            self.at, self.held = a, self.read_at(max(b - a, min(self.block, self.size - a)), a)
+            self.fetched += len(self.held)
+        return self.held[a - self.at : b - self.at]
+
+
 class Reader:
     """A cursor over a slice; sub-readers can't leave their slice."""
 
     __slots__ = ("data", "end", "pos")
 
-    def __init__(self, data: bytes | memoryview, pos: int = 0, end: int | None = None):
-        self.data, self.pos, self.end = memoryview(data), pos, len(data) if end is None else end
+    def __init__(self, data: bytes | memoryview | Ranged, pos: int = 0, end: int | None = None):
+        self.data, self.pos, self.end = data if isinstance(data, Ranged) else memoryview(data), pos, len(data) if end is None else end
 
     def left(self) -> int:
         return self.end - self.pos
@@ -27,7 +49,7 @@ class Reader:
         return bytes(self.data[self.pos - n : self.pos])
 
     def skip(self, n: int) -> None:
-        self.take(n)
+        self.sub(n)
 
     def sub(self, n: int) -> Reader:
         if n < 0 or n > self.end - self.pos:

@@ -235,12 +235,12 @@ def _leaf(at: str, node: tuple) -> Iterator[dict]:
 
 
 def merge(o: dict, values: dict) -> dict:
-    """The object with new values for keys that it has; types stay, keys that it lacks raise."""
+    """The object with new values for keys that it has; types stay, keys that it lacks are passed over."""
     items = dict(enumerate(o["items"]))
     at = {k: n for n, ((k, _), _) in items.items()}
     for key, new in values.items():
         if key not in at:
-            raise ValueError(f"no key {key!r}")
+            continue
         (k, (kind, old)) = items[at[key]]
         items[at[key]] = (k, (kind, _merged(kind, old, new)))
     return o | {"items": [items[n] for n in sorted(items)]}

@@ -147,20 +147,24 @@ def units(text: str) -> int:
     return len(text.encode("utf-16-be", "surrogatepass")) // 2
 
 
-def fit(lengths: list[int], total: int) -> list[int]:
-    """Lengths that cover ``total``: cut at the end, the last takes what is left; runs beyond the end are dropped."""
+def fitted(lengths: list[int], total: int) -> list[tuple[int, int]]:
+    """(which, length) of the lengths that cover ``total``: those of 0 or less are passed over, what is beyond the end is
+    cut, the last takes what is left; without any, one of -1 takes all."""
     out, at = [], 0
-    for n in lengths:
-        if at >= total:
-            break
-        out.append(min(n, total - at))
-        at += out[-1]
+    for k, n in enumerate(lengths):
+        if n > 0 and at < total:
+            out.append((k, min(n, total - at)))
+            at += out[-1][1]
     if not out:
-        return [total]
-    out[-1] += total - sum(out)
+        return [(-1, total)]
+    out[-1] = (out[-1][0], out[-1][1] + total - at)
     return out
 
 
+def fit(lengths: list[int], total: int) -> list[int]:
+    return [n for _, n in fitted(lengths, total)]
+
+
 def _numbers(n: Node | None) -> list[float]:
     return [x.value for x in n.items if x.kind == "number"] if n is not None and n.kind == "array" else []
 
@@ -264,8 +268,24 @@ def _copy(data: bytes, node: Node, changes: list[tuple[int, int, bytes]]) -> byt
     return splice(data[node.start : node.end], [(a - node.start, b - node.start, n) for a, b, n in changes])
 
 
+def _with_fonts(data: bytes, styles: list[dict]) -> tuple[bytes, list[dict]]:
+    """Styles whose fonts are named, with the numbers of these, and the data with the fonts that it lacked; a list without
+    any font to start from leaves the fonts as they are."""
+    out = []
+    for s in styles:
+        if s.get("font"):
+            try:
+                data, n = add_font(data, s["font"])
+                s = s | {"font_no": n}
+            except ValueError:
+                pass
+        out.append(s)
+    return data, out
+
+
 def set_rich_text(data: bytes, text: str, runs: list[dict], paragraphs: list[dict] | None = None) -> bytes:
     """New text with style runs and paragraphs; run i starts from the old run i, further ones from the first."""
+    data, runs = _with_fonts(data, runs)
     root = parse(data)
     engine = root.get("EngineDict")
     text = _ended(text)
@@ -274,15 +294,15 @@ def set_rich_text(data: bytes, text: str, runs: list[dict], paragraphs: list[dic
     changes = [(body.start, body.end, string_bytes(text))]
     for holder, specs, styled in ((engine.get("StyleRun"), runs, True), (engine.get("ParagraphRun"), paragraphs or [{"length": total}], False)):
         old = holder.get("RunArray").items
-        lengths = fit([int(s["length"]) for s in specs], total)
+        chosen = fitted([int(s["length"]) for s in specs], total)
         kept = []
-        for k, spec in enumerate(specs[: len(lengths)]):
-            node = old[k] if k < len(old) else old[0]
+        for k, (which, _) in enumerate(chosen):
+            node, spec = old[k] if k < len(old) else old[0], specs[which] if which >= 0 else {}
             if styled:
                 kept.append(_copy(data, node, _style_changes(data, node, spec)))
             else:
                 kept.append(_copy(data, node, _justify(node, spec.get("justification"))))
-        changes += _runs(data, holder, kept, lengths)
+        changes += _runs(data, holder, kept, [n for _, n in chosen])
     return splice(data, changes)
 
 
@@ -297,6 +317,8 @@ def _justify(node: Node, value: int | None) -> list[tuple[int, int, bytes]]:
 
 
 def set_run_style(data: bytes, run: int, **style) -> bytes:
+    """New values of one run: font (by name) or font_no, size, color (r, g, b and a), tracking, kerning and so on."""
+    data, (style,) = _with_fonts(data, [style])
     arr = parse(data).get("EngineDict", "StyleRun", "RunArray")
     if not 0 <= run < len(arr.items):
         raise IndexError("run index out of range")
@@ -305,6 +327,8 @@ def set_run_style(data: bytes, run: int, **style) -> bytes:
 
 def set_justification(data: bytes, value: int, paragraph: int = -1) -> bytes:
     arr = parse(data).get("EngineDict", "ParagraphRun", "RunArray")
+    if paragraph >= len(arr.items):
+        raise IndexError("paragraph index out of range")
     nodes = arr.items if paragraph < 0 else arr.items[paragraph : paragraph + 1]
     return splice(data, [c for n in nodes for c in _justify(n, value)])
 
@@ -312,6 +336,8 @@ def set_justification(data: bytes, value: int, paragraph: int = -1) -> bytes:
 def add_font(data: bytes, name: str) -> tuple[bytes, int]:
     """The data with the font in its list, and the font's number."""
     fonts = parse(data).get("ResourceDict", "FontSet")
+    if fonts is None:
+        raise ValueError("no font to start from")
     for k, f in enumerate(fonts.items):
         if f.get("Name") is not None and f.get("Name").value == name:
             return data, k
@@ -323,17 +349,92 @@ def add_font(data: bytes, name: str) -> tuple[bytes, int]:
     return splice(data, [(last.end, last.end, gap + _copy(data, last, [(n.start, n.end, string_bytes(name))]))]), len(fonts.items)
 
 
+# ---------------------------------------------------------------------------------------------------------- re-emission
+
+
+def _scalar(data: bytes, n: Node) -> bytes:
+    """A scalar in the form it was written in; strings anew, which gives the same for what was well written."""
+    return data[n.start : n.end]
+
+
+def emit(data: bytes, root: Node | None = None) -> bytes:
+    """The tree written out in the indented form: one member per line, a tab per level, arrays of dicts over lines."""
+    out: list[bytes] = []
+
+    def value(n: Node, level: int | None) -> None:
+        tabs, end = (b" ", b"") if level is None else (b"\t" * level, b"\n")
+        if n.kind == "dict":
+            out.extend((end * (2 if level == 0 else 1), tabs, b"<<", end))
+            for key, v in n.items:
+                deeper = None if level is None else level + 1
+                out.extend((b" " if deeper is None else b"\t" * deeper, b"/", key.encode("latin-1")))
+                if v.kind != "dict":
+                    out.append(b" ")
+                value(v, deeper if v.kind == "dict" or (v.kind == "array" and v.items and v.items[0].kind == "dict") else None)
+                out.append(end)
+            out.extend((tabs, b">>"))
+        elif n.kind == "array":
+            out.append(b"[")
+            for v in n.items:
+                if level is None and v.kind != "dict":
+                    out.append(b" ")
+                value(v, level)
+            out.extend((b" ",) if level is None else (end, tabs))
+            out.append(b"]")
+        else:
+            out.append(_scalar(data, n))
+
+    root = parse(data) if root is None else root
+    if root is None or root.kind != "dict":
+        raise ValueError("no engine data")
+    value(root, 0)
+    return b"".join(out)
+
+
+def emit_compact(data: bytes) -> bytes:
+    """The members of document-level text data on one line, a blank in front of each token."""
+    tokens: list[bytes] = []
+
+    def members(n: Node) -> None:
+        for key, v in n.items:
+            tokens.append(b"/" + key.encode("latin-1"))
+            value(v)
+
+    def value(n: Node) -> None:
+        if n.kind == "dict":
+            tokens.append(b"<<")
+            members(n)
+            tokens.append(b">>")
+        elif n.kind == "array":
+            tokens.append(b"[")
+            for v in n.items:
+                value(v)
+            tokens.append(b"]")
+        else:
+            tokens.append(_scalar(data, n))
+
+    root = parse_bare(data)
+    if not root.items:
+        raise ValueError("no text data")
+    members(root)
+    return b"".join(b" " + t for t in tokens)
+
+
+# ----------------------------------------------------------------------------------------------------------------------
 # document-level text data: bodies are dicts whose /0 is the text; /5 and /6 hold the runs
 
 
+def _holds_runs(n: Node | None) -> bool:
+    return n is not None and n.kind == "dict" and (a := n.get("0")) is not None and a.kind == "array"
+
+
 def bodies(root: Node) -> list[Node]:
     out: list[Node] = []
 
     def walk(n: Node) -> None:
         if n.kind == "dict":
-            if (t := n.get("0")) is not None and t.kind == "string" and any((h := n.get(k)) is not None and h.kind == "dict" for k in ("5", "6")):
+            if (t := n.get("0")) is not None and t.kind == "string" and _holds_runs(n.get("5")) and _holds_runs(n.get("6")):
                 out.append(n)
-                return
             for _, v in n.items:
                 walk(v)
         elif n.kind == "array":
@@ -348,23 +449,29 @@ def body_texts(data: bytes) -> list[str]:
     return [b.get("0").value for b in bodies(parse_bare(data))]
 
 
-def set_body_text(data: bytes, index: int, text: str) -> bytes:
-    """New text of one body; its run lengths are fitted, the runs being objects with their length in /1 of an array."""
+def _cut_to(lengths: list[int], total: int) -> list[int]:
+    """Lengths above 0 that cover ``total``: the last gives way or takes what is left; without any, one takes all."""
+    out, left = [], total
+    for n in lengths:
+        if n > 0 and left > 0:
+            out.append(min(n, left))
+            left -= out[-1]
+    return [*out[:-1], out[-1] + left] if out else [total]
+
+
+def set_body_text(data: bytes, index: int, text: str, paragraphs: list[int] = (), styles: list[int] = ()) -> bytes:
+    """New text of one body, its runs of the given lengths: old runs in their order, then copies of the last one."""
     found = bodies(parse_bare(data))
     if not 0 <= index < len(found):
         raise IndexError("text index out of range")
     body, text = found[index], _ended(text)
     n = body.get("0")
     changes = [(n.start, n.end, string_bytes(text))]
-    for key in ("5", "6"):
-        holder = body.get(key)
-        arr = holder.get("0") if holder is not None else None
-        runs = [r for r in (arr.items if arr is not None and arr.kind == "array" else []) if r.kind == "dict" and r.get("1") is not None]
+    for key, wanted in (("5", paragraphs), ("6", styles)):
+        runs = [r for r in body.get(key, "0").items if r.kind == "dict" and r.get("1") is not None]
         if not runs:
             continue
-        lengths = fit([int(r.get("1").value) for r in runs], units(text))
-        for r, v in zip(runs, lengths):
-            changes.append((r.get("1").start, r.get("1").end, str(v).encode()))
-        if len(lengths) < len(runs):
-            changes.append((runs[len(lengths) - 1].end, runs[-1].end, b""))
+        made = [(runs[min(k, len(runs) - 1)], v) for k, v in enumerate(_cut_to([int(x) for x in wanted], units(text)))]
+        new = [_copy(data, r, [(r.get("1").start, r.get("1").end, str(v).encode())]) for r, v in made]
+        changes.append((runs[0].start, runs[-1].end, b" ".join(new)))
     return splice(data, changes)

@@ -8,13 +8,28 @@ from pyspark.sql import functions as F
 from strata.operators.layers import PIXEL_TYPES
 
 
+def last_states(states: DataFrame, pos: str = "pos") -> DataFrame:
+    """One state per (path, idx, comp_id): the one written last, by ``pos``; without that column any of those that are given,
+    the largest."""
+    keys = ["path", "idx", "comp_id"]
+    rest = [c for c in states.columns if c not in keys]
+    order = [pos, *[c for c in rest if c != pos]] if pos in rest else rest
+    return states.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_m")).select(*keys, *[F.col(f"_m.{c}").alias(c) for c in rest])
+
+
+def comp_map(states: DataFrame) -> DataFrame:
+    """(path, idx, comps): the states of each layer as a map by comp, the last one written of each."""
+    one = last_states(states)
+    return one.groupBy("path", "idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("comp_id", F.struct("enabled", "offset_x", "offset_y"))))).alias("comps"))
+
+
 def visibility(layers: DataFrame, comps: DataFrame, states: DataFrame) -> DataFrame:
     """(path, idx, comp_id, shown): the state in each comp; without one a layer keeps its own visibility.
 
     ``layers`` has (path, idx, visible), ``comps`` (path, comp_id), ``states`` (path, idx, comp_id, enabled).
     """
-    each = layers.select("path", "idx", "visible").join(comps.select("path", "comp_id"), "path")
-    return each.join(states, ["path", "idx", "comp_id"], "left").select("path", "idx", "comp_id", F.coalesce("enabled", "visible").alias("shown"))
+    each = layers.select("path", "idx", "visible").join(comps.select("path", "comp_id").distinct(), "path")
+    return each.join(last_states(states), ["path", "idx", "comp_id"], "left").select("path", "idx", "comp_id", F.coalesce("enabled", "visible").alias("shown"))
 
 
 def shown(layers: DataFrame, show: DataFrame) -> DataFrame:

@@ -97,9 +97,11 @@ def next_id(df: DataFrame) -> DataFrame:
     return df.groupBy("path").agg((F.greatest(F.coalesce(F.max("layer_id"), F.lit(0)), F.lit(0)) + 1).alias("next_id"))
 
 
-def type_from_blocks(blocks: DataFrame, keys: list[str], pos: str, block: str) -> DataFrame:
-    """Layer type by the last info block that names one; NORMAL without any."""
-    kind = F.when(F.col(block).isin(ADJUST_KEYS), "ADJUST").when(F.col(block).isin(FILL_KEYS), "FILL").when(F.col(block) == "TySh", "TEXT").when(F.col(block).isin("lsct", "lsdk"), "FOLDER")
+def type_from_blocks(blocks: DataFrame, keys: list[str], pos: str, block: str, data: str | None = None) -> DataFrame:
+    """Layer type by the last info block that names one; NORMAL without any. Section dividers say their kind in the first
+    four bytes of ``data``: 1 and 2 are folders, 3 is hidden, all else says nothing; without data they are folders."""
+    section = F.lit("FOLDER") if data is None else F.when(F.hex(F.substring(data, 1, 4)).isin("00000001", "00000002"), "FOLDER").when(F.hex(F.substring(data, 1, 4)) == "00000003", "HIDDEN")
+    kind = F.when(F.col(block).isin(ADJUST_KEYS), "ADJUST").when(F.col(block).isin(FILL_KEYS), "FILL").when(F.col(block) == "TySh", "TEXT").when(F.col(block).isin("lsct", "lsdk"), section)
     return blocks.groupBy(*keys).agg(F.coalesce(F.max_by(kind, F.when(kind.isNotNull(), F.col(pos))), F.lit("NORMAL")).alias("layer_type"))
 
 

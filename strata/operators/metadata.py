@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions import descriptor, engine_data
+from strata.operators.edits import shift_layers
 from strata.session import frames
 from strata.sources import document
 
@@ -91,17 +92,95 @@ def set_rich_text(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     return rewrite_blocks(blocks, edits, "TySh", change)
 
 
+def _style(e: dict) -> dict:
+    """An edit's fields as those of a run; r, g, b and a are one colour."""
+    color = [e.get(c) for c in "rgba"]
+    return {k: v for k, v in e.items() if k not in ("run", *"rgba")} | ({"color": tuple(c for c in color if c is not None)} if None not in color[:3] else {})
+
+
 def set_run_style(blocks: DataFrame, edits: DataFrame) -> DataFrame:
-    """``edits`` (path, idx, run, and any of size, tracking, kerning, auto_kerning, bold, italic, underline)."""
-    return rewrite_blocks(blocks, edits, "TySh", lambda d, e: document.edit_text_block(d, lambda x: engine_data.set_run_style(x, int(e["run"]), **{k: v for k, v in e.items() if k != "run"})))
+    """``edits`` (path, idx, run, and any of font, size, tracking, kerning, auto_kerning, bold, italic, underline and the
+    colour r, g, b, a); null leaves a value, a font that the layer lacks is appended to its fonts."""
+    return rewrite_blocks(blocks, edits, "TySh", lambda d, e: document.edit_text_block(d, lambda x: engine_data.set_run_style(x, int(e["run"]), **_style(e))))
 
 
 def set_justification(blocks: DataFrame, edits: DataFrame) -> DataFrame:
-    return rewrite_blocks(blocks, edits, "TySh", lambda d, e: document.edit_text_block(d, lambda x: engine_data.set_justification(x, int(e["justification"]))))
+    """``edits`` (path, idx, justification, and paragraph, where -1 and null mean all)."""
+    which = lambda e: -1 if e.get("paragraph") is None else int(e["paragraph"])
+    return rewrite_blocks(blocks, edits, "TySh", lambda d, e: document.edit_text_block(d, lambda x: engine_data.set_justification(x, int(e["justification"]), which(e))))
+
+
+def add_fonts(blocks: DataFrame, edits: DataFrame) -> DataFrame:
+    """``edits`` (path, idx, font): text layers with the font in their list."""
+    return rewrite_blocks(blocks, edits, "TySh", lambda d, e: document.edit_text_block(d, lambda x: engine_data.add_font(x, e["font"])[0]))
+
+
+def set_text_transform(blocks: DataFrame, edits: DataFrame) -> DataFrame:
+    """``edits`` (path, idx, and any of xx, xy, yx, yy, tx, ty); null leaves a value."""
+    return rewrite_blocks(blocks, edits, "TySh", document.set_text_transform)
+
+
+def set_text_bounds(blocks: DataFrame, edits: DataFrame) -> DataFrame:
+    """``edits`` (path, idx, left, top, right, bottom): new frames, the boxes of the letters clamped into them."""
+    return rewrite_blocks(blocks, edits, "TySh", lambda d, e: document.set_text_bounds(d, e["left"], e["top"], e["right"], e["bottom"]))
+
+
+def move_text(tables: dict[str, DataFrame], edits: DataFrame) -> dict[str, DataFrame]:
+    """``edits`` (path, idx, dx, dy): text layers shifted in the file: transform, rectangle, mask and what is around it."""
+    hit = edits.join(tables["info_blocks"].where("key = 'TySh'").select("path", "idx").distinct(), ["path", "idx"], "left_semi")
+    blocks = rewrite_blocks(tables["info_blocks"], hit, "TySh", lambda d, e: document.move_text_block(d, e["dx"], e["dy"]))
+    return tables | {"info_blocks": blocks, "layers": shift_layers(tables["layers"], hit)}
+
+
+#: What becomes of the document-level text data when a text layer is edited.
+KEEP, REMOVE, SYNC = "keep", "remove", "sync"
+
+
+def drop_text_data(blocks: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """Document blocks without text data, in all documents or in those of ``paths`` (path)."""
+    if paths is None:
+        return blocks.where("key is null or key <> 'Txt2'")
+    return blocks.join(paths.select("path").distinct().withColumn("key", F.lit("Txt2")), ["path", "key"], "left_anti").select(*blocks.columns)
+
+
+def follow_text(blocks: DataFrame, texts: DataFrame, edits: DataFrame, policy: str = SYNC) -> DataFrame:
+    """Document blocks after edits of text layers. ``texts`` has (path, idx, text_index); ``edits`` (path, idx, text, and
+    optionally the lengths of its paragraphs and styles as arrays ``paragraphs`` and ``styles``), where a null text stands
+    for an edit of style or place.
+
+    KEEP leaves the text data as it is, REMOVE drops it from the edited documents. SYNC writes new texts into it, and drops
+    it where it can't follow: style or place changed, no index, or an index that is out of range.
+    """
+    if policy == KEEP:
+        return blocks
+    if policy == REMOVE:
+        return drop_text_data(blocks, edits)
+    lists = [F.col(c) if c in edits.columns else F.array().cast("array<int>").alias(c) for c in ("paragraphs", "styles")]
+    named = edits.select("path", "idx", "text", *lists).join(texts.select("path", "idx", "text_index"), ["path", "idx"], "left")
+    per = named.groupBy("path").agg(F.max((F.col("text_index").isNull() | F.col("text").isNull()).cast("int")).alias("_lost"), F.array_sort(F.collect_list(F.struct("text_index", "text", "paragraphs", "styles"))).alias("_e"))
+    hit = blocks.where("key = 'Txt2'").join(per, "path")
+
+    def run(batches):
+        for b in batches:
+            keep, data = [], []
+            for raw, lost, es in zip(b["data"], b["_lost"], b["_e"]):
+                new = bytes(raw)
+                try:
+                    for e in es if not lost else ():
+                        new = engine_data.set_body_text(new, int(e["text_index"]), e["text"], list(e["paragraphs"] if e["paragraphs"] is not None else ()), list(e["styles"] if e["styles"] is not None else ()))
+                    keep.append(not lost)
+                except IndexError:
+                    keep.append(False)
+                data.append(new)
+            out = b.drop(columns=["_lost", "_e"]).assign(data=data, size=[len(x) for x in data])
+            yield out[keep]
+
+    new = hit.select(*blocks.columns, "_lost", "_e").transform(frames, run, blocks.schema)
+    return drop_text_data(blocks, per).unionByName(new)
 
 
 def set_descriptor(blocks: DataFrame, edits: DataFrame, key: str = "lfx2") -> DataFrame:
-    """``edits`` (path, idx, json): values merged into the descriptor of a block; keys it lacks raise."""
+    """``edits`` (path, idx, json): values merged into the descriptor of a block; keys that it lacks are passed over."""
 
     def change(d: bytes, e: dict) -> bytes:
         skip = descriptor.PREFIX[key]

@@ -1,19 +1,23 @@
 """One layered document: bytes to rows of tables, and rows back to the same bytes.
 
-``read`` parses the structure and leaves pixels as they are. Every section keeps what is needed to write it back byte
-for byte; a layer whose fields were edited (``dirty``) is written from its fields and info blocks.
+``read`` parses the structure and leaves pixels as they are; only what the wanted tables need is fetched and parsed. Every
+section keeps what is needed to write it back byte for byte; a layer whose fields were edited (``dirty``) is written from
+its fields and info blocks: name, id, fill opacity, label and folder kind replace what the blocks hold of them.
 """
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Callable, Collection
+
 from strata.functions import codec, descriptor, engine_data
-from strata.functions.binio import Reader, Short, Writer
+from strata.functions.binio import Ranged, Reader, Short, Writer
 from strata.operators.layers import ADJUST_KEYS, BLEND, FILL_KEYS
 
 #: Table -> columns with their Spark types.
 SCHEMAS = {
-    "documents": "path string, error string, version int, channels int, height int, width int, depth int, mode int, reserved binary, color_data binary, hres double, vres double, merged_alpha boolean, n_layers int, last_applied_comp int, global_mask binary, layer_pad binary, no_layers boolean, composite binary",
-    "layers": "path string, idx int, rect_top int, rect_left int, rect_bottom int, rect_right int, sig string, blend_key string, opacity int, clipping int, flag int, filler int, mask_raw binary, ranges_raw binary, name_raw binary, extra binary, dirty boolean, layer_type string, layer_id int, name_unicode string, fill_opacity int, sheet_color int, mask struct<rect_top:int,rect_left:int,rect_bottom:int,rect_right:int,default_color:int,flags:int,user_density:int,user_feather:double,vector_density:int,vector_feather:double,real_flags:int,real_background:int,real_top:int,real_left:int,real_bottom:int,real_right:int>, blend_ranges array<int>, info_keys array<string>",
+    "documents": "path string, error string, version int, channels int, height int, width int, depth int, mode int, reserved binary, color_data binary, hres double, vres double, merged_alpha boolean, n_layers int, last_applied_comp int, global_mask binary, global_layer_mask struct<overlay_color_space:int,color1:int,color2:int,color3:int,color4:int,opacity:int,kind:int>, layer_pad binary, no_layers boolean, composite binary",
+    "layers": "path string, idx int, rect_top int, rect_left int, rect_bottom int, rect_right int, sig string, blend_key string, blend_mode string, opacity int, clipping int, flag int, filler int, mask_raw binary, ranges_raw binary, name_raw binary, extra binary, dirty boolean, layer_type string, layer_id int, name_unicode string, fill_opacity int, sheet_color int, mask struct<rect_top:int,rect_left:int,rect_bottom:int,rect_right:int,default_color:int,flags:int,user_density:int,user_feather:double,vector_density:int,vector_feather:double,real_flags:int,real_background:int,real_top:int,real_left:int,real_bottom:int,real_right:int>, blend_ranges array<struct<source:int,dest:int>>, info_keys array<string>",
     "channels": "path string, idx int, ch_pos int, ch_id int, length int, compression int, data binary",
     "info_blocks": "path string, idx int, pos int, sig string, key string, size int, data binary",
     "descriptor_leaves": "path string, idx int, block string, jpath string, type string, v_long bigint, v_double double, v_bool boolean, v_string string, unit string, enum_type string, v_bytes binary",
@@ -27,7 +31,7 @@ SCHEMAS = {
     "grid": "path string, horizontal int, vertical int",
     "slices": "path string, n int, id int, group_id int, origin int, associated_layer_id int, type int, name string, url string, target string, message string, alt_tag string, cell_text string, is_cell_text_html boolean, left int, top int, right int, bottom int, horizontal_align int, vertical_align int, a int, r int, g int, b int",
     "comps": "path string, id int, name string, comment string, record_visibility boolean, record_position boolean, record_appearance boolean",
-    "layer_comp_states": "path string, idx int, comp_id int, enabled boolean, offset_x int, offset_y int",
+    "layer_comp_states": "path string, idx int, pos int, comp_id int, enabled boolean, offset_x int, offset_y int",
     "palette": "path string, n int, r int, g int, b int, a int",
     "document_blocks": "path string, pos int, sig string, key string, size int, data binary, padding binary",
     "txt2_texts": "path string, text_index int, text string",
@@ -37,8 +41,14 @@ SCHEMAS = {
 _MASK = ("rect_top", "rect_left", "rect_bottom", "rect_right", "default_color", "flags", "user_density", "user_feather", "vector_density", "vector_feather", "real_flags", "real_background", "real_top", "real_left", "real_bottom", "real_right")
 
 
-def read(path: str, data: bytes) -> dict[str, list[dict]]:
-    """Rows by table; a document that can't be parsed gives one row in documents with the error."""
+#: Tables that the info blocks of layers give, beside what they say of the layer itself.
+_FROM_BLOCKS = {"descriptor_leaves", "descriptors", "text_layers", "text_runs", "text_paragraphs", "text_fonts", "layer_comp_states"}
+
+
+def read(path: str, data: bytes | Ranged, want: Collection[str] | None = None, pixels: bool = True) -> dict[str, list[dict]]:
+    """Rows by table, of the ``want``-ed tables at least; a document that can't be parsed gives one row in documents with
+    the error. Without ``pixels`` the data of channels and the composite are null and are not fetched."""
+    want = set(SCHEMAS if want is None else want)
     out: dict[str, list[dict]] = {t: [] for t in SCHEMAS}
     doc = {"path": path, "error": None}
     out["documents"].append(doc)
@@ -46,8 +56,10 @@ def read(path: str, data: bytes) -> dict[str, list[dict]]:
         r = Reader(data)
         _header(r, doc)
         _resources(r.sub(r.u32()), path, doc, out)
-        _layer_section(r.sub(r.u32()), path, doc, out)
-        doc["composite"] = r.rest()
+        if want - {"resources", "guides", "grid", "slices", "comps", "palette", "thumbnails"}:
+            _layer_section(r.sub(r.u32()), path, doc, out, want, pixels)
+            if pixels and "documents" in want:
+                doc["composite"] = r.rest()
         _palette(path, doc, out)
     except (ValueError, IndexError, KeyError) as e:
         doc["error"] = f"{type(e).__name__}: {e}"
@@ -85,10 +97,10 @@ def _resources(r: Reader, path: str, doc: dict, out: dict) -> None:
 def _resource(number: int, data: bytes, path: str, doc: dict, out: dict) -> None:
     r = Reader(data)
     if number == 1005:
-        h = r.u32()
+        h = r.i32()
         r.skip(4)
-        v = r.u32()
-        doc["hres"], doc["vres"] = (h / 65536 if h else 72.0), (v / 65536 if v else 72.0)
+        v = r.i32()
+        doc["hres"], doc["vres"] = (h / 65536 if h > 0 else 72.0), (v / 65536 if v > 0 else 72.0)
     elif number == 1032:
         r.skip(4)
         out["grid"].append({"path": path, "horizontal": r.i32(), "vertical": r.i32()})
@@ -141,7 +153,7 @@ def _palette(path: str, doc: dict, out: dict) -> None:
     doc.pop("_transparent", None)
 
 
-def _layer_section(r: Reader, path: str, doc: dict, out: dict) -> None:
+def _layer_section(r: Reader, path: str, doc: dict, out: dict, want: set[str], pixels: bool) -> None:
     doc["no_layers"] = not r.left()
     if doc["no_layers"]:
         return
@@ -150,18 +162,22 @@ def _layer_section(r: Reader, path: str, doc: dict, out: dict) -> None:
         count = info.i16()
         doc["merged_alpha"], doc["n_layers"] = count < 0, abs(count)
         records = [_record(info, path, k, out) for k in range(abs(count))]
-        for layer, chans in records:
+        for layer, chans, _ in records:
             for pos, (ch, size) in enumerate(chans):
-                body = info.take(size)
-                out["channels"].append({"path": path, "idx": layer["idx"], "ch_pos": pos, "ch_id": ch, "length": size, "compression": int.from_bytes(body[:2], "big") if size >= 2 else None, "data": body[2:]})
+                if "channels" not in want:
+                    info.skip(size)
+                    continue
+                body = info.sub(size)
+                out["channels"].append({"path": path, "idx": layer["idx"], "ch_pos": pos, "ch_id": ch, "length": size, "compression": body.u16() if size >= 2 else None, "data": body.rest() if pixels else None})
         doc["layer_pad"] = info.rest()
-        for layer, _ in records:
+        for layer, _, blocks in records:
             out["layers"].append(layer)
-            _derive(layer, doc, out)
+            _derive(layer, blocks, doc, out, want)
     else:
         doc["layer_pad"] = info.rest()
     if r.left() >= 4:
         doc["global_mask"] = r.take(r.u32())
+        doc["global_layer_mask"] = _global_mask(doc["global_mask"])
     pos = 0
     while r.left() >= 12:
         sig, key, size = r.key(), r.key(), r.u32()
@@ -178,7 +194,20 @@ def _layer_section(r: Reader, path: str, doc: dict, out: dict) -> None:
         out["document_blocks"].append({"path": path, "pos": pos, "sig": None, "key": None, "size": r.left(), "data": r.rest(), "padding": b""})
 
 
-def _record(r: Reader, path: str, idx: int, out: dict) -> tuple[dict, list[tuple[int, int]]]:
+def _global_mask(raw: bytes) -> dict | None:
+    if len(raw) < 13:
+        return None
+    r = Reader(raw)
+    return {k: r.i16() for k in ("overlay_color_space", "color1", "color2", "color3", "color4", "opacity")} | {"kind": r.u8()}
+
+
+def _ranges(raw: bytes) -> list[dict]:
+    """Pairs of source and destination, that of the composite gray first."""
+    r = Reader(raw)
+    return [{"source": r.i32(), "dest": r.i32()} for _ in range(len(raw) // 8)]
+
+
+def _record(r: Reader, path: str, idx: int, out: dict) -> tuple[dict, list[tuple[int, int]], list[dict]]:
     layer = {"path": path, "idx": idx, "dirty": False}
     layer["rect_top"], layer["rect_left"], layer["rect_bottom"], layer["rect_right"] = (r.i32() for _ in range(4))
     chans = [(r.i16(), r.u32()) for _ in range(r.u16())]
@@ -190,19 +219,18 @@ def _record(r: Reader, path: str, idx: int, out: dict) -> tuple[dict, list[tuple
     layer["ranges_raw"] = x.take(x.u32())
     layer["name_raw"] = x.pascal(4)
     layer["mask"] = _mask(layer["mask_raw"])
-    layer["blend_ranges"] = list(layer["ranges_raw"])
-    keys, pos = [], 0
+    layer["blend_ranges"] = _ranges(layer["ranges_raw"])
+    blocks: list[dict] = []
     while x.left() >= 12:
         sig, key, size = x.key(), x.key(), x.u32()
         if sig not in ("8BIM", "8B64"):
             break
         data = x.take(min(size, x.left()))
-        keys.append(key)
-        out["info_blocks"].append({"path": path, "idx": idx, "pos": pos, "sig": sig, "key": key, "size": size, "data": data})
-        pos += 1
-    layer["info_keys"] = keys
+        blocks.append({"path": path, "idx": idx, "pos": len(blocks), "sig": sig, "key": key, "size": size, "data": data})
+    out["info_blocks"] += blocks
+    layer["info_keys"] = [b["key"] for b in blocks]
     layer["extra"] = bytes(x.data[start : x.end])
-    return layer, chans
+    return layer, chans, blocks
 
 
 def _mask(raw: bytes) -> dict | None:
@@ -239,20 +267,20 @@ def mask_bytes(m: dict) -> bytes:
     return w.bytes()
 
 
-def _derive(layer: dict, doc: dict, out: dict) -> None:
+def _derive(layer: dict, blocks: list[dict], doc: dict, out: dict, want: set[str]) -> None:
     path, idx = layer["path"], layer["idx"]
-    layer |= {"layer_type": "NORMAL", "layer_id": None, "name_unicode": None, "fill_opacity": 255, "sheet_color": 0}
-    for b in out["info_blocks"]:
-        if b["idx"] != idx or b["sig"] == "8B64":
+    layer |= {"layer_type": "NORMAL", "layer_id": None, "name_unicode": None, "fill_opacity": 255, "sheet_color": 0, "blend_mode": BLEND.get(layer["blend_key"], "INVALID")}
+    for b in blocks:
+        if b["sig"] == "8B64":
             continue
         try:
-            _block(b["key"], b["data"], layer, doc, out)
+            _block(b["key"], b["data"], layer, doc, out, want)
         except (ValueError, IndexError, KeyError, AttributeError):
             pass
     layer["path"], layer["idx"] = path, idx
 
 
-def _block(key: str, data: bytes, layer: dict, doc: dict, out: dict) -> None:
+def _block(key: str, data: bytes, layer: dict, doc: dict, out: dict, want: set[str]) -> None:
     at = {"path": layer["path"], "idx": layer["idx"]}
     r = Reader(data)
     if key in ADJUST_KEYS:
@@ -263,6 +291,9 @@ def _block(key: str, data: bytes, layer: dict, doc: dict, out: dict) -> None:
         kind = r.u32()
         if kind in (1, 2, 3):
             layer["layer_type"] = "HIDDEN" if kind == 3 else "FOLDER"
+        if len(data) >= 12:
+            r.skip(4)
+            layer["blend_mode"] = BLEND.get(r.key(), "INVALID")
     elif key == "luni":
         layer["name_unicode"] = r.unicode()
     elif key == "lyid":
@@ -273,10 +304,11 @@ def _block(key: str, data: bytes, layer: dict, doc: dict, out: dict) -> None:
         layer["sheet_color"] = r.u16()
     elif key == "TySh":
         layer["layer_type"] = "TEXT"
-        _text(r, at, doc, out)
-    elif key == "shmd":
+        if want & _FROM_BLOCKS:
+            _text(r, at, doc, out)
+    elif key == "shmd" and "layer_comp_states" in want:
         _metadata(r, at, layer, out)
-    if key in descriptor.PREFIX:
+    if key in descriptor.PREFIX and want & {"descriptors", "descriptor_leaves"}:
         o = descriptor.parse(data, descriptor.PREFIX[key])
         out["descriptors"].append(at | {"block": key, "json": descriptor.to_json(o)})
         out["descriptor_leaves"] += [at | {"block": key} | leaf for leaf in descriptor.leaves(o)]
@@ -295,7 +327,7 @@ def _metadata(r: Reader, at: dict, layer: dict, out: dict) -> None:
             p = descriptor.plain_object(c)
             for comp in p.get("compList") or []:
                 off = p.get("Ofst") or {}
-                out["layer_comp_states"].append(at | {"comp_id": comp, "enabled": p.get("enab", not layer["flag"] & 2), "offset_x": off.get("Hrzn", 0), "offset_y": off.get("Vrtc", 0)})
+                out["layer_comp_states"].append(at | {"pos": len(out["layer_comp_states"]), "comp_id": comp, "enabled": p.get("enab", not layer["flag"] & 2), "offset_x": off.get("Hrzn", 0), "offset_y": off.get("Vrtc", 0)})
 
 
 def _text(r: Reader, at: dict, doc: dict, out: dict) -> None:
@@ -328,11 +360,44 @@ def _text(r: Reader, at: dict, doc: dict, out: dict) -> None:
 # ---------------------------------------------------------------------------------------------------------------- write
 
 
+def _as_written(key: str, data: bytes, layer: dict) -> bytes:
+    """An info block with the layer's own value in it where that differs; a value of None leaves it as it is."""
+    r = Reader(data)
+    try:
+        if key == "luni" and layer.get("name_unicode") not in (None, r.unicode()):
+            return Writer().unicode(layer["name_unicode"], nul=False).bytes()
+        if key == "lyid" and layer.get("layer_id") not in (None, r.i32()):
+            return Writer().put("i", layer["layer_id"]).bytes()
+        if key == "iOpa" and layer.get("fill_opacity") not in (None, r.u8()):
+            return Writer().put("B3x", layer["fill_opacity"]).bytes()
+        if key == "lclr" and layer.get("sheet_color") not in (None, r.u16()):
+            return Writer().put("H", layer["sheet_color"]).raw(data[2:]).bytes()
+    except Short:
+        pass
+    return data
+
+
+def _lacking(keys: set[str], layer: dict) -> list[tuple[str, bytes]]:
+    """Info blocks for what the layer holds and none of its blocks says."""
+    kind = {"FOLDER": 1, "HIDDEN": 3}.get(layer.get("layer_type"))
+    w = {
+        "luni": (layer.get("name_unicode"), lambda v: Writer().unicode(v, nul=False)),
+        "lyid": (layer.get("layer_id"), lambda v: Writer().put("i", v)),
+        "iOpa": (layer.get("fill_opacity") if layer.get("fill_opacity") != 255 else None, lambda v: Writer().put("B3x", v)),
+        "lclr": (layer.get("sheet_color") or None, lambda v: Writer().put("H6x", v)),
+        "lsct": (kind if "lsdk" not in keys else None, lambda v: Writer().put("I", v) if v == 3 else Writer().put("I", v).raw("8BIM").raw(layer["blend_key"])),
+    }
+    return [(k, make(v).bytes()) for k, (v, make) in w.items() if k not in keys and v is not None]
+
+
 def extra_bytes(layer: dict, blocks: list[dict]) -> bytes:
     """The extra data of an edited layer from its mask, ranges, name and info blocks."""
-    w = Writer().block(mask_bytes(layer["mask"]) if layer.get("mask") else b"").block(layer.get("ranges_raw") or b"").pascal(layer.get("name_raw") or b"", 4)
+    mask, raw = layer.get("mask"), layer.get("mask_raw")
+    w = Writer().block(raw if raw is not None and _mask(raw) == mask else mask_bytes(mask) if mask else b"").block(layer.get("ranges_raw") or b"").pascal(layer.get("name_raw") or b"", 4)
     for b in blocks:
-        w.raw(b["sig"] or "8BIM").raw(b["key"]).block(b["data"])
+        w.raw(b["sig"] or "8BIM").raw(b["key"]).block(_as_written(b["key"], b["data"], layer) if b["sig"] != "8B64" else b["data"])
+    for key, data in _lacking({b["key"] for b in blocks}, layer):
+        w.raw("8BIM").raw(key).block(data)
     return w.bytes()
 
 
@@ -370,7 +435,7 @@ def write(doc: dict, layers: list[dict], channels: list[dict], resources: list[d
                 info.raw(c["data"])
     pad = doc.get("layer_pad")
     clean = not any(x.get("dirty") for x in ordered) and len(ordered) == (doc.get("n_layers") or 0)
-    info.raw(pad) if pad is not None and clean else info.pad(2)
+    info.raw(pad) if pad is not None and clean and (len(info.out) + len(pad)) % 2 == 0 else info.pad(2)
     section = Writer().block(info.bytes())
     if doc.get("global_mask") is not None or document_blocks:
         section.block(doc.get("global_mask") or b"")
@@ -389,8 +454,13 @@ def _luni(name: str) -> dict:
     return {"sig": "8BIM", "key": "luni", "data": Writer().unicode(name, nul=False).bytes()}
 
 
+def pascal_name(name: str) -> bytes:
+    """The short name: bytes of UTF-8, 255 at most."""
+    return name.encode("utf-8", "replace")[:255]
+
+
 def _base(idx: int, name: str, layer_id: int) -> tuple[dict, list[dict]]:
-    layer = {"idx": idx, "rect_top": 0, "rect_left": 0, "rect_bottom": 0, "rect_right": 0, "sig": "8BIM", "blend_key": "norm", "opacity": 255, "clipping": 0, "flag": 8, "filler": 0, "mask": None, "ranges_raw": b"", "name_raw": name.encode("latin-1", "replace"), "dirty": True}
+    layer = {"idx": idx, "rect_top": 0, "rect_left": 0, "rect_bottom": 0, "rect_right": 0, "sig": "8BIM", "blend_key": "norm", "opacity": 255, "clipping": 0, "flag": 8, "filler": 0, "mask": None, "ranges_raw": b"", "name_raw": pascal_name(name), "dirty": True}
     return layer, [_luni(name), {"sig": "8BIM", "key": "lyid", "data": Writer().put("i", layer_id).bytes()}]
 
 
@@ -429,35 +499,84 @@ def divider(idx: int, name: str, layer_id: int, kind: int) -> tuple[dict, list[d
     if kind != 3:
         w.raw("8BIM").raw("pass")
         layer["blend_key"] = "pass"
-    chans = [{"idx": idx, "ch_pos": k, "ch_id": ch, "compression": 0, "data": b""} for k, ch in enumerate((-1, 0, 1, 2))]
+    chans = [{"idx": idx, "ch_pos": k, "ch_id": ch, "compression": codec.RLE, "data": b""} for k, ch in enumerate((-1, 0, 1, 2))]
     return layer, chans, _numbered(idx, [*blocks, {"sig": "8BIM", "key": "lsct", "data": w.bytes()}])
 
 
-#: Bytes in front of the descriptor of a text block.
-TEXT_PREFIX = 56
+#: Bytes in front of the descriptor of a text block, and the numbers of the transform in them.
+TEXT_PREFIX, TRANSFORM = 56, ("xx", "xy", "yx", "yy", "tx", "ty")
 
 
-def edit_text_block(data: bytes, change) -> bytes:
-    """A text block with its engine data replaced by ``change(engine_data)``; the text in the descriptor follows."""
+def change_text_block(data: bytes, change: Callable[[bytes, dict[str, tuple]], bytes]) -> bytes:
+    """A text block taken apart into the bytes in front, the items of its descriptor by key, which ``change`` may replace,
+    and what follows; ``change`` returns the bytes in front."""
     r = Reader(data)
     head = r.take(TEXT_PREFIX)
     o = descriptor.parse_object(r)
     tail = r.rest()
-    items = []
-    new = change(next(n[1] for (k, _), n in o["items"] if k == "EngineData"))
-    text = engine_data.read_text(engine_data.parse(new))["text"]
-    for key, node in o["items"]:
-        if key[0] == "EngineData":
-            node = (node[0], new)
-        elif key[0] == "Txt ":
-            node = (node[0], text + "\0" * node[1].endswith("\0"))
-        items.append((key, node))
-    return head + descriptor.serialize(o | {"items": items}) + tail
+    items = {key[0]: node for key, node in o["items"]}
+    head = change(head, items)
+    return head + descriptor.serialize(o | {"items": [(key, items[key[0]]) for key, _ in o["items"]]}) + tail
+
+
+def edit_text_block(data: bytes, change: Callable[[bytes], bytes]) -> bytes:
+    """A text block with its engine data replaced by ``change(engine_data)``; the text in the descriptor follows."""
+
+    def run(head: bytes, items: dict[str, tuple]) -> bytes:
+        if "EngineData" not in items:
+            raise ValueError("text layer has no engine data")
+        new = change(items["EngineData"][1])
+        items["EngineData"] = (items["EngineData"][0], new)
+        if "Txt " in items:
+            kind, old = items["Txt "]
+            items["Txt "] = (kind, engine_data.read_text(engine_data.parse(new))["text"] + "\0" * old.endswith("\0"))
+        return head
+
+    return change_text_block(data, run)
+
+
+def set_text_transform(data: bytes, matrix: dict[str, float | None]) -> bytes:
+    """A text block with new values of its transform; those that are None stay."""
+
+    def run(head: bytes, items: dict[str, tuple]) -> bytes:
+        old = struct.unpack(">6d", head[2:50])
+        return head[:2] + struct.pack(">6d", *[o if matrix.get(k) is None else matrix[k] for k, o in zip(TRANSFORM, old)]) + head[50:]
+
+    return change_text_block(data, run)
+
+
+def move_text_block(data: bytes, dx: float, dy: float) -> bytes:
+    xx, xy, yx, yy, tx, ty = struct.unpack(">6d", data[2:50])
+    return set_text_transform(data, {"tx": tx + dx, "ty": ty + dy})
+
+
+def set_text_bounds(data: bytes, left: float, top: float, right: float, bottom: float) -> bytes:
+    """A text block with a new frame; the box of its letters is clamped into it."""
+    sides = {"Left": left, "Top ": top, "Rght": right, "Btom": bottom}
+
+    def side(node: tuple, v: float) -> tuple:
+        return (node[0], (node[1][0], float(v))) if node[0] == "UntF" else (node[0], float(v))
+
+    def number(node: tuple) -> float:
+        return node[1][1] if node[0] == "UntF" else node[1]
+
+    def box(node: tuple, clamp: bool) -> tuple:
+        kind, o = node
+        low = {"Left": max, "Top ": max, "Rght": min, "Btom": min}
+        return (kind, o | {"items": [(k, side(n, low[k[0]](number(n), sides[k[0]]) if clamp else sides[k[0]]) if k[0] in sides else n) for k, n in o["items"]]})
+
+    def run(head: bytes, items: dict[str, tuple]) -> bytes:
+        if "bounds" not in items:
+            raise ValueError("text layer has no bounds")
+        items["bounds"] = box(items["bounds"], False)
+        if "boundingBox" in items:
+            items["boundingBox"] = box(items["boundingBox"], True)
+        return head
+
+    return change_text_block(data, run)
 
 
 def known_blend(key: str) -> str:
     if len(key) != 4 or key not in BLEND:
         raise ValueError("unknown blend key")
     return key
-
-

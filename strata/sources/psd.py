@@ -1,8 +1,11 @@
 """Layered documents as Spark tables and files.
 
-* ``spark.read.format("psd").option("table", "layers").load(folder_or_glob)``: a Python data source over files that all
-  executors can open; files are packed into partitions by size, equality on ``path`` is pushed down to the file list.
-* :func:`tables` parses a ``BINARY`` column, such as the ``content`` of ``binaryFile`` on any Hadoop file system.
+* ``spark.read.format("psd").option("table", "layers").load(folder)``: a Python data source over any file system that
+  the path names (local, or by its URI); files are packed into partitions by size, equality on ``path`` is pushed down to
+  the file list. Of each file only the ranges that the table needs are read; ``.option("pixels", "false")`` leaves out
+  the data of channels and composites.
+* :func:`tables` parses a ``BINARY`` column, such as the ``content`` of ``binaryFile`` on any Hadoop file system;
+  :func:`all_tables` parses it once for several tables.
 * :func:`assemble` builds the bytes of documents from tables; ``df.write.format("psd").save(folder)`` writes rows of
   (path, content) as files, renamed into place when all tasks are done.
 
@@ -11,19 +14,20 @@ A file that can't be parsed gives a row in ``documents`` with the error, and no
 
 from __future__ import annotations
 
-import glob
 import os
+import urllib.parse
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, StructField, StructType, _parse_datatype_string
 
+from strata.functions.binio import Ranged
+from strata.session import frames, stored
 from strata.sources import document
-from strata.session import frames
 
 PARTITION_BYTES = 64 << 20
 
@@ -65,13 +69,10 @@ class PsdReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        at = self.options["path"].removeprefix("file://")
-        found = sorted(p for p in (glob.glob(os.path.join(at, "**", "*"), recursive=True) if os.path.isdir(at) else glob.glob(at)) if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_")))
-        if self.only is not None:
-            found = [p for p in found if p == self.only]
         out, size = [], PARTITION_BYTES
-        for p in found:
-            n = os.path.getsize(p)
+        for p, n in sorted(_listed(self.options["path"])):
+            if self.only is not None and p != self.only:
+                continue
             if size + n > PARTITION_BYTES:
                 out.append([])
                 size = 0
@@ -80,14 +81,45 @@ class PsdReader(DataSourceReader):
         return [Files(x) for x in out] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        names = self.schema.fieldNames()
+        names, wanted = self.schema.fieldNames(), self.options.get("table", "documents")
+        pixels = str(self.options.get("pixels", "true")).lower() != "false"
         for p in partition.paths:
-            with open(p, "rb") as f:
-                rows = document.read(p, f.read())[self.options.get("table", "documents")]
+            with _opened(p) as f:
+                rows = document.read(p, Ranged(lambda n, at: f.read_at(n, at), f.size()), {wanted}, pixels)[wanted]
             for r in rows:
                 yield _tuple(r, names, self.schema)
 
 
+def _on(path: str):
+    """(file system, path within it) of a path or URI; "memory" of paths is what the URI says before them."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def _listed(path: str) -> Iterator[tuple[str, int]]:
+    """(path, size) of the files of a folder, a file or a pattern; hidden ones are left out. URIs keep what is in front of their paths."""
+    import fnmatch
+
+    from pyarrow import fs
+
+    path = path.removeprefix("file://")
+    magic = next((k for k, c in enumerate(path) if c in "*?["), None)
+    top = path if magic is None else path[: path.rfind("/", 0, magic)] or "/"
+    on, at = _on(top)
+    front = top[: len(top) - len(at)] if "://" in top and top.endswith(at) else ""
+    info = on.get_file_info(at)
+    found = on.get_file_info(fs.FileSelector(at, recursive=True)) if info.type == fs.FileType.Directory else [info]
+    for f in found:
+        if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")) and (magic is None or fnmatch.fnmatch(front + f.path, path)):
+            yield front + f.path, f.size
+
+
+def _opened(path: str):
+    on, at = _on(path)
+    return on.open_input_file(at)
+
+
 def _tuple(row: dict, names: list[str], schema: StructType) -> tuple:
     return tuple(_value(row.get(n), schema[n].dataType) for n in names)
 
@@ -99,7 +131,11 @@ def _value(v, kind):
 
 
 class PsdWriter(DataSourceWriter):
-    """Files under a hidden name per task, renamed at commit; a task that is tried again writes others."""
+    """Files under a hidden name per task, renamed at commit; a task that is tried again writes others.
+
+    A file is named after its path with everything but letters, digits and ``. - _`` escaped, so that different paths
+    give different files; a path that comes twice fails the write.
+    """
 
     def __init__(self, options: dict):
         self.folder = options["path"].removeprefix("file://")
@@ -108,17 +144,20 @@ class PsdWriter(DataSourceWriter):
         os.makedirs(self.folder, exist_ok=True)
         files = []
         for r in rows:
-            name = r["path"].replace("/", "_")
-            hidden = os.path.join(self.folder, f".{name}.{uuid.uuid4().hex}")
+            name = urllib.parse.quote(r["path"], safe="")
+            hidden = os.path.join(self.folder, f".{uuid.uuid4().hex}")
             with open(hidden, "wb") as f:
                 f.write(r["content"])
             files.append((hidden, os.path.join(self.folder, name)))
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            for hidden, name in m.files if m else ():
-                os.replace(hidden, name)
+        files = [f for m in messages if m for f in m.files]
+        if len({name for _, name in files}) < len(files):
+            self.abort(messages)
+            raise ValueError("two rows have the same path")
+        for hidden, name in files:
+            os.replace(hidden, name)
 
     def abort(self, messages: list[Written | None]) -> None:
         for m in messages:
@@ -132,21 +171,65 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def tables(files: DataFrame, table: str, path: str = "path", content: str = "content") -> DataFrame:
+def _rows_of(table: str) -> StructType:
+    return _parse_datatype_string(document.SCHEMAS[table])
+
+
+def _arrow(schema: StructType):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
+def tables(files: DataFrame, table: str, path: str = "path", content: str = "content", pixels: bool = True) -> DataFrame:
     """One table of the documents in a binary column."""
-    schema = _parse_datatype_string(document.SCHEMAS[table])
-    names = schema.fieldNames()
+    schema = _rows_of(table)
 
     def run(batches):
+        import pyarrow as pa
+
+        form = _arrow(schema)
         for b in batches:
-            rows = [r for p, c in zip(b["p"], b["c"]) if c is not None for r in document.read(p, bytes(c))[table]]
-            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+            for p, c in zip(b["p"].to_pylist(), b["c"]):
+                rows = document.read(p, memoryview(c.as_buffer()), {table}, pixels)[table] if c.is_valid else []
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, form)
+
+    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInArrow(run, schema)
+
+
+def parsed(files: DataFrame, names: Iterable[str], path: str = "path", content: str = "content", pixels: bool = True) -> DataFrame:
+    """(path, one array of rows per table): each document parsed once."""
+    names = list(names)
+    schema = StructType([StructField("path", _rows_of("documents")["path"].dataType), *[StructField(t, ArrayType(StructType(_rows_of(t).fields[1:]))) for t in names]])
+
+    def run(batches):
+        import pyarrow as pa
+
+        form = _arrow(schema)
+        for b in batches:
+            for p, c in zip(b["p"].to_pylist(), b["c"]):
+                if c.is_valid:
+                    rows = document.read(p, memoryview(c.as_buffer()), names, pixels)
+                    yield pa.RecordBatch.from_pylist([{"path": p} | {t: rows[t] for t in names}], form)
+
+    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInArrow(run, schema)
+
+
+#: What a document is written from, and what belongs to a layer of it.
+WHOLE = ("documents", "layers", "channels", "resources", "document_blocks", "info_blocks")
 
-    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).transform(frames, run, schema)
+
+def all_tables(files: DataFrame, names: Iterable[str] = WHOLE, **columns) -> dict[str, DataFrame]:
+    """Several tables of the documents in a binary column, which is parsed once and kept in a columnar table: each table
+    reads its own column of that."""
+    names = list(names)
+    held = stored(parsed(files, names, **columns))
+    return {t: held.select("path", F.explode(t).alias("_x")).select("path", "_x.*") for t in names}
 
 
 _PARTS = {
-    "layers": ["idx", "rect_top", "rect_left", "rect_bottom", "rect_right", "sig", "blend_key", "opacity", "clipping", "flag", "filler", "ranges_raw", "name_raw", "extra", "dirty", "mask"],
+    "layers": ["idx", "rect_top", "rect_left", "rect_bottom", "rect_right", "sig", "blend_key", "opacity", "clipping", "flag", "filler", "mask_raw", "ranges_raw", "name_raw", "extra", "dirty", "mask", "layer_type", "layer_id", "name_unicode", "fill_opacity", "sheet_color"],
     "channels": ["idx", "ch_pos", "ch_id", "compression", "data"],
     "resources": ["pos", "sig", "id", "name", "data"],
     "document_blocks": ["pos", "sig", "key", "size", "data", "padding"],
@@ -154,42 +237,32 @@ _PARTS = {
 }
 
 
-def _plain(v):
-    if isinstance(v, Row):
-        return {k: _plain(x) for k, x in v.asDict().items()}
-    if isinstance(v, dict):
-        return {k: _plain(x) for k, x in v.items()}
-    if isinstance(v, (bytearray, memoryview)):
-        return bytes(v)
-    if isinstance(v, float):  # numbers beside nulls come as floats
-        return None if v != v else int(v) if v.is_integer() else v
-    return v.item() if hasattr(v, "item") else v
-
-
 def _build(batches):
+    import pyarrow as pa
+
     for b in batches:
-        out = []
-        for r in b.to_dict("records"):
-            doc = {k: (None if not isinstance(v, (dict, list, bytes, bytearray)) and pd.isna(v) else _plain(v)) for k, v in r["doc"].items()}
-            for k in ("channels", "height", "width", "depth", "mode", "version", "n_layers"):
-                doc[k] = int(doc[k]) if doc.get(k) is not None else None
-            parts = {t: [_plain(x) for x in (r[t] if r[t] is not None else [])] for t in _PARTS}
-            out.append(document.write(doc, **parts))
-        yield pd.DataFrame({"path": b["path"], "content": out})
+        for r in b.to_pylist():
+            content = document.write(r["documents"], **{t: r[t] or [] for t in _PARTS})
+            yield pa.RecordBatch.from_pylist([{"path": r["path"], "content": content}], pa.schema([("path", pa.string()), ("content", pa.binary())]))
 
 
 def assemble(documents: DataFrame, layers: DataFrame, channels: DataFrame, resources: DataFrame, document_blocks: DataFrame, info_blocks: DataFrame | None = None) -> DataFrame:
-    """(path, content): the bytes of each document. A document is one row here; the format bounds its size."""
-    given = {"layers": layers, "channels": channels, "resources": resources, "document_blocks": document_blocks}
-    d = documents.where("error is null").select("path", F.struct(*[c for c in documents.columns if c not in ("path", "error")]).alias("doc"))
-    for t, cols in _PARTS.items():
-        df = given.get(t) if t != "info_blocks" else info_blocks
-        if df is None:
-            d = d.withColumn(t, F.lit(None).cast("array<struct<idx:int,pos:int,sig:string,key:string,data:binary>>"))
-        else:
-            own = [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in cols]
-            d = d.join(df.groupBy("path").agg(F.collect_list(F.struct(*own)).alias(t)), "path", "left")
-    return d.transform(frames, _build, "path string, content binary")
+    """(path, content): the bytes of each document. A document is one row here; the format bounds its size. The rows of all
+    tables meet in one shuffle."""
+    schemas = {t: _rows_of(t) for t in _PARTS}
+    if info_blocks is None and "dirty" in layers.columns:
+        layers = layers.withColumn("dirty", F.when(F.col("dirty"), F.raise_error(F.lit("an edited layer needs its info blocks"))).otherwise(F.col("dirty")))
+    d = documents.where("error is null")
+    pieces = d.select("path", F.struct(*[c for c in d.columns if c not in ("path", "error")]).alias("documents"))
+    for t, df in (("layers", layers), ("channels", channels), ("resources", resources), ("document_blocks", document_blocks), ("info_blocks", info_blocks)):
+        if df is not None:
+            own = [(F.col(c) if c in df.columns else F.lit(None)).cast(schemas[t][c].dataType).alias(c) for c in _PARTS[t]]
+            pieces = pieces.unionByName(df.select("path", F.struct(*own).alias(t)), allowMissingColumns=True)
+    given = [t for t in _PARTS if t in pieces.columns]
+    whole = pieces.groupBy("path").agg(F.first("documents", ignorenulls=True).alias("documents"), *[F.collect_list(t).alias(t) for t in given]).where("documents is not null")
+    for t in set(_PARTS) - set(given):
+        whole = whole.withColumn(t, F.lit(None).cast(ArrayType(StructType([schemas[t][c] for c in _PARTS[t]]))))
+    return whole.mapInArrow(_build, "path string, content binary")
 
 
 # --------------------------------------------------------------------------------------------------------------- images
@@ -197,10 +270,10 @@ def assemble(documents: DataFrame, layers: DataFrame, channels: DataFrame, resou
 _IMAGE = "path string, idx int, width int, height int, bgra binary"
 
 
-def _planes(chans, depth: int, width: int, height: int, ids) -> dict:
+def _planes(chans, depth: int, mode: int, width: int, height: int, ids) -> dict:
     from strata.functions import codec, image
 
-    return {c["ch_id"]: image.samples(codec.decode_plane(c["compression"], bytes(c["data"]), width, height, depth), width, height, depth) for c in chans if c["ch_id"] in ids and c["compression"] is not None}
+    return {c["ch_id"]: image.samples(codec.decode_plane(c["compression"], bytes(c["data"]), width, height, depth), width, height, depth, mode == 4) for c in chans if c["ch_id"] in ids and c["compression"] is not None}
 
 
 def _images(mode: str):
@@ -225,12 +298,10 @@ def _images(mode: str):
                     if plane is not None:
                         out.append((r["path"], r["idx"], rect[3] - rect[1], rect[2] - rect[0], np.stack([plane] * 3 + [np.full_like(plane, 255)], axis=2).tobytes()))
                     continue
-                planes = _planes(r["chans"], int(r["depth"]), ri - l, bo - t, range(-1, 4))
+                planes = _planes(r["chans"], int(r["depth"]), int(r["mode"]), ri - l, bo - t, range(-1, 4))
                 if not planes:
                     continue
-                raw = r["color_data"]
-                palette = np.frombuffer(bytes(raw)[:768], dtype=np.uint8).reshape(3, 256).T if r["mode"] == 2 and raw is not None and len(raw) >= 768 else None
-                px = image.to_bgra(planes, int(r["mode"]), palette)
+                px = image.to_bgra(planes, int(r["mode"]), _palette_of(int(r["mode"]), r["color_data"]), int(r["depth"]))
                 if mode == "masked" and plane is not None and -1 in planes:
                     px = image.masked(px, (t, l, bo, ri), plane, rect, int(m["default_color"]))
                 out.append((r["path"], r["idx"], ri - l, bo - t, px.tobytes()))
@@ -250,6 +321,20 @@ def layer_images(documents: DataFrame, layers: DataFrame, channels: DataFrame, m
     return l.join(chans, ["path", "idx"]).join(d, "path").transform(frames, _images(mode), _IMAGE)
 
 
+def layer_images_by_id(documents: DataFrame, layers: DataFrame, channels: DataFrame, ids: DataFrame, mode: str = "masked") -> DataFrame:
+    """``ids`` (path, layer_id): the pictures of the lowest layers with these ids; an id that is not there gives none."""
+    from strata.operators.layers import first_by_id
+
+    named = first_by_id(layers).join(ids.select("path", "layer_id").distinct(), ["path", "layer_id"])
+    return layer_images(documents, layers.join(named.select("path", "idx"), ["path", "idx"], "left_semi"), channels, mode)
+
+
+def _palette_of(mode: int, raw):
+    import numpy as np
+
+    return np.frombuffer(bytes(raw)[:768], dtype=np.uint8).reshape(3, 256).T if mode == 2 and raw is not None and len(raw) >= 768 else None
+
+
 def _merged(batches):
     from strata.functions import codec, image
 
@@ -257,16 +342,16 @@ def _merged(batches):
         out = []
         for r in b.to_dict("records"):
             w, h, depth, mode, n = (int(r[k]) for k in ("width", "height", "depth", "mode", "channels"))
-            planes = [image.samples(p, w, h, depth) for p in codec.composite_planes(bytes(r["composite"]), n, w, h, depth)]
+            planes = [image.samples(p, w, h, depth, mode == 4) for p in codec.composite_planes(bytes(r["composite"]), n, w, h, depth)]
             colors = {0: 1, 1: 1, 2: 1, 8: 1, 4: 4}.get(mode, 3)
             named = dict(enumerate(planes[:colors])) | ({-1: planes[colors]} if n > colors else {})
-            out.append((r["path"], -1, w, h, image.to_bgra(named, mode).tobytes()))
+            out.append((r["path"], -1, w, h, image.to_bgra(named, mode, _palette_of(mode, r["color_data"]), depth).tobytes()))
         yield pd.DataFrame(out, columns=["path", "idx", "width", "height", "bgra"]).astype({"idx": "int32", "width": "int32", "height": "int32"})
 
 
 def merged_images(documents: DataFrame) -> DataFrame:
     """The stored composite of each document."""
-    return documents.where("error is null and length(composite) > 2").select("path", "width", "height", "depth", "mode", "channels", "composite").transform(frames, _merged, _IMAGE)
+    return documents.where("error is null and length(composite) > 2").select("path", "width", "height", "depth", "mode", "channels", "color_data", "composite").transform(frames, _merged, _IMAGE)
 
 
 def _fold(batches):
@@ -302,6 +387,11 @@ def _channel_rows(batches):
         yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in ("path", "idx", "ch_pos", "ch_id", "length", "compression", "data")})
 
 
+def channel_rows(pictures: DataFrame, schema: StructType) -> DataFrame:
+    """Channels of ``pictures`` (path, idx, width, height, bgra): alpha, red, green and blue, packed."""
+    return pictures.select("path", "idx", "width", "height", "bgra").transform(frames, _channel_rows, schema)
+
+
 def set_layer_pixels(layers: DataFrame, channels: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``new`` (path, idx, width, height, bgra): layers and channels with these pictures; mask channels are kept behind
     them, the upper left corner stays."""
@@ -309,7 +399,7 @@ def set_layer_pixels(layers: DataFrame, channels: DataFrame, new: DataFrame) ->
     l = layers.join(size, ["path", "idx"], "left")
     hit = F.col("_w").isNotNull()
     l = l.withColumn("rect_right", F.when(hit, F.col("rect_left") + F.col("_w")).otherwise(F.col("rect_right"))).withColumn("rect_bottom", F.when(hit, F.col("rect_top") + F.col("_h")).otherwise(F.col("rect_bottom")))
-    made = new.select("path", "idx", "width", "height", "bgra").transform(frames, _channel_rows, channels.schema)
+    made = channel_rows(new, channels.schema)
     kept = channels.join(size.select("path", "idx"), ["path", "idx"], "left_anti").select(*channels.columns)
     masks = channels.where("ch_id < -1").join(size.select("path", "idx"), ["path", "idx"], "left_semi").withColumn("ch_pos", F.col("ch_pos") + 4).select(*channels.columns)
     return l.select(*layers.columns), kept.unionByName(masks).unionByName(made)
@@ -353,17 +443,45 @@ def set_composite(documents: DataFrame, new: DataFrame) -> DataFrame:
     return d.withColumn("composite", F.coalesce("_c", "composite")).withColumn("channels", F.when(F.col("_c").isNotNull(), 3).otherwise(F.col("channels"))).select(*documents.columns)
 
 
+def set_merged(documents: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` (path, bgra): documents whose merged image is this picture, as raw planes: red, green, blue, and alpha where the
+    document has a fourth channel. Only 8-bit RGB documents take one, of their own size; others raise."""
+
+    def run(batches):
+        for b in batches:
+            data = []
+            for px, w, h, n, depth, mode in zip(b["bgra"], b["width"], b["height"], b["channels"], b["depth"], b["mode"]):
+                px = bytes(px)
+                if depth != 8 or mode != 3 or len(px) != 4 * w * h:
+                    raise ValueError("the picture does not fit the document")
+                data.append(b"\0\0" + b"".join(px[c::4] for c in (2, 1, 0, 3)[: min(4, max(3, n))]))
+            yield pd.DataFrame({"path": b["path"], "_c": data})
+
+    made = documents.select("path", "width", "height", "channels", "depth", "mode").join(new.select("path", "bgra"), "path").transform(frames, run, "path string, _c binary")
+    d = documents.join(made, "path", "left").withColumn("composite", F.coalesce("_c", "composite"))
+    return d.withColumn("channels", F.when(F.col("_c").isNotNull(), F.least(F.greatest("channels", F.lit(3)), F.lit(4))).otherwise(F.col("channels"))).select(*documents.columns)
+
+
+def export_bmp(images: DataFrame) -> DataFrame:
+    """(path, content): images as BMP files, named after their document and layer."""
+    return _exported(images, "bmp")
+
+
 def export_png(images: DataFrame) -> DataFrame:
     """(path, content): images as PNG files, named after their document and layer."""
+    return _exported(images, "png")
+
 
+def _exported(images: DataFrame, kind: str) -> DataFrame:
     def run(batches):
         import numpy as np
 
         from strata.functions import image
 
+        write = {"png": image.png, "bmp": image.bmp}[kind]
         for b in batches:
-            name = [f"{p}.{'merged' if i < 0 else f'{i:04d}'}.png" for p, i in zip(b["path"], b["idx"])]
-            data = [image.png(np.frombuffer(bytes(x), dtype=np.uint8).reshape(h, w, 4)) for x, w, h in zip(b["bgra"], b["width"], b["height"])]
+            name = [f"{p}.{'merged' if i < 0 else f'{i:04d}'}.{kind}" for p, i in zip(b["path"], b["idx"])]
+            data = [write(np.frombuffer(bytes(x), dtype=np.uint8).reshape(h, w, 4)) for x, w, h in zip(b["bgra"], b["width"], b["height"])]
             yield pd.DataFrame({"path": name, "content": data})
 
     return images.transform(frames, run, "path string, content binary")

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import codec, descriptor, engine_data, image
-from strata.functions.binio import Writer
+from strata.functions.binio import Ranged, Writer
+from strata.operators import edits
 from strata.sources import document, psd
 from strata.streaming import documents as streaming
 
@@ -68,8 +69,7 @@ def test_descriptor():
     assert {x["jpath"] for x in descriptor.leaves(o)} >= {"Opct", "list[1]", "sub.Rd"}
     m = descriptor.merge(o, {"Opct": 55, "sub ": {"Rd  ": 1}})
     assert descriptor.plain_object(m)["Opct"] == {"value": 55.0, "unit": "#Prc"} and descriptor.plain_object(descriptor.parse(descriptor.serialize(m))) == descriptor.plain_object(m)
-    with pytest.raises(ValueError):
-        descriptor.merge(o, {"none": 1})
+    assert descriptor.merge(o, {"none": 1}) == o  # keys that it lacks are passed over
     broken = descriptor.parse(raw.replace(b"doub", b"????", 1))
     assert not broken["whole"] and descriptor.item(broken, "Opct") is not None
 
@@ -99,10 +99,18 @@ def test_engine_data():
     data, number = engine_data.add_font(engine(), "Three")
     assert number == 2 and read_engine(data)["fonts"][2] == "Three" and engine_data.add_font(engine(), "One")[1] == 0
     assert engine_data.number_bytes(0.5) == b".5" and engine_data.number_bytes(12.0) == b"12.0" and engine_data.number_bytes(-0.25) == b"-.25"
-    bare = b"/0 << /1 [ << /0 " + engine_data.string_bytes("abc\r") + b" /5 << /0 [ << /1 4 >> ] >> >> << /0 " + engine_data.string_bytes("z\r") + b" /6 << >> >> ] >>"
+    bare = b"/0 << /1 [ << /0 " + engine_data.string_bytes("abc\r") + b" /5 << /0 [ << /1 4 >> ] >> /6 << /0 [ << /2 1 /1 2 >> << /2 2 /1 2 >> ] >> >> << /0 " + engine_data.string_bytes("z\r") + b" /5 << /0 [ ] >> /6 << /0 [ ] >> >> << /0 " + engine_data.string_bytes("no body") + b" /6 << >> >> ] >>"
     assert engine_data.body_texts(bare) == ["abc\r", "z\r"]
     assert engine_data.body_texts(engine_data.set_body_text(bare, 0, "longer")) == ["longer\r", "z\r"]
     assert b"/1 7" in engine_data.set_body_text(bare, 0, "longer")
+    styled = engine_data.set_body_text(bare, 0, "longer", [], [1, 0, 2, 9])
+    assert b"[ << /2 1 /1 1 >> << /2 2 /1 2 >> << /2 2 /1 4 >> ]" in styled or b"[<< /2 1 /1 1 >> << /2 2 /1 2 >> << /2 2 /1 4 >> ]" in styled
+    assert engine_data.emit_compact(b" " + bare) == b" " + bare
+    assert engine_data.fit([3, 0, -2, 2], 11) == [3, 8] and engine_data.fit([0], 4) == [4]
+    named = read_engine(engine_data.set_run_style(engine(), 0, font="Four", color=(0.5, 0, 1)))
+    assert named["fonts"] == ["One", "Two()", "Four"] and named["runs"][0]["font"] == "Four" and named["runs"][0]["b"] == 1
+    indented = engine_data.emit(engine())
+    assert engine_data.emit(indented) == indented and read_engine(indented) == t and indented.startswith(b"\n\n<<\n\t/EngineDict\n\t<<\n\t\t/Editor\n")
 
 
 def sample() -> bytes:
@@ -127,7 +135,7 @@ def sample() -> bytes:
     b.append({"idx": 4, "pos": 2, "sig": "8BIM", "key": "TySh", "data": struct.pack(">h6dhi", 1, 1.0, 0.0, 0.0, 1.0, 3.0, 4.0, 50, 16) + descriptor.serialize(o) + b"tail"})
     add(l, c, b)
     res = [{"pos": 0, "id": 1005, "name": b"", "data": struct.pack(">IHHIHH", 144 << 16, 1, 1, 144 << 16, 1, 1)}, {"pos": 1, "id": 1032, "name": b"odd", "data": struct.pack(">IiiIiB", 1, 576, 576, 1, 320, 1)}, {"pos": 2, "id": 1060, "name": b"", "data": b"<x/>"}]
-    txt2 = b"/0 << /0 " + engine_data.string_bytes("AAAA\r") + b" /5 << >> >>"
+    txt2 = b"/0 << /0 " + engine_data.string_bytes("AAAA\r") + b" /5 << /0 [ ] >> /6 << /0 [ ] >> >>"
     trailing = [{"pos": 0, "sig": "8BIM", "key": "Txt2", "size": len(txt2), "data": txt2, "padding": None}, {"pos": 1, "sig": "8B64", "key": "lnk2", "size": 3, "data": b"abc", "padding": b"\0"}]
     doc = document.blank(16, 12) | {"n_layers": 5, "merged_alpha": True, "global_mask": b"\0" * 14}
     return document.write(doc, ls, cs, res, trailing, bs)
@@ -312,3 +320,87 @@ def test_metadata_blocks():
     assert [(p["n"], p["r"], p["g"], p["a"]) for p in t["palette"]] == [(0, 0, 5, 255), (1, 1, 5, 0), (2, 2, 5, 255)]
     assert t["layers"][0]["layer_type"] == "FILL" and t["layers"][0]["info_keys"][-1] == "lsct"
     assert {d["block"] for d in t["descriptors"]} == {"SoCo"}
+
+
+# ---------------------------------------------------------------------------------------------------- edits that are saved
+
+
+def saved(spark, change, data: bytes | None = None) -> dict[str, list[dict]]:
+    """The tables of a document after an edit of its tables, written and read again."""
+    t = psd.all_tables(spark.createDataFrame([("x", data or sample())], "path string, content binary"))
+    out = psd.assemble(**change(t)).first()["content"]
+    return document.read("x", bytes(out))
+
+
+def raw_layers(t: dict[str, list[dict]]) -> dict[int, tuple]:
+    """Extra data and channels of each layer by its id."""
+    chans: dict[int, list] = {}
+    for c in t["channels"]:
+        chans.setdefault(c["idx"], []).append((c["ch_id"], c["compression"], c["data"]))
+    return {x["layer_id"]: (x["extra"], chans[x["idx"]]) for x in t["layers"]}
+
+
+def test_untouched_layers_stay_as_they_are(spark):
+    before = raw_layers(document.read("x", sample()))
+    at = lambda **k: spark.createDataFrame([{"path": "x", **k}])
+    gone = saved(spark, lambda t: edits.in_documents(t, edits.delete, F.col("idx") == 0))
+    assert [x["layer_id"] for x in gone["layers"]] == [2, 3, 4, 5] and raw_layers(gone) == {k: v for k, v in before.items() if k != 1}
+    moved = saved(spark, lambda t: edits.in_documents(t, edits.move, at(**{"from": 0, "to": 2})))
+    assert [x["layer_id"] for x in moved["layers"]] == [2, 3, 1, 4, 5] and raw_layers(moved) == before
+    twice = saved(spark, lambda t: edits.in_documents(t, edits.duplicate, at(idx=2)))
+    assert [x["layer_id"] for x in twice["layers"]] == [1, 2, 3, 6, 4, 5]
+    new = raw_layers(twice)
+    copy = new.pop(6)
+    assert new == before and copy[1] == before[3][1] and twice["layers"][3]["mask"] == twice["layers"][2]["mask"] and twice["layers"][3]["fill_opacity"] == 128
+    folder = saved(spark, lambda t: edits.in_documents(t, edits.add_folder, at(first=0, count=1, name="née")))
+    assert [x["layer_type"] for x in folder["layers"]] == ["HIDDEN", "NORMAL", "FOLDER", "HIDDEN", "NORMAL", "FOLDER", "TEXT"]
+    assert folder["layers"][2]["name_unicode"] == "née" and folder["layers"][2]["blend_mode"] == "PASS_THROUGH" and {k: v for k, v in raw_layers(folder).items() if k in before} == before
+    named = saved(spark, lambda t: t | {"layers": edits.set_columns(t["layers"], F.col("idx") == 2, name_unicode=F.lit("new"), fill_opacity=F.lit(99), opacity=F.lit(-3))})
+    x = named["layers"][2]
+    assert (x["name_unicode"], x["name_raw"], x["fill_opacity"], x["opacity"], x["info_keys"]) == ("new", b"new", 99, 0, document.read("x", sample())["layers"][2]["info_keys"])
+    assert {k: v for k, v in raw_layers(named).items() if k != 3} == {k: v for k, v in before.items() if k != 3}
+    with pytest.raises(Exception, match="info blocks"):
+        saved(spark, lambda t: {k: v for k, v in t.items() if k != "info_blocks"} | {"layers": edits.set_columns(t["layers"], F.col("idx") == 2, opacity=F.lit(1))})
+    with pytest.raises(Exception, match="without a mask"):
+        saved(spark, lambda t: t | {"layers": edits.set_mask(t["layers"], density=F.lit(1), where=F.col("idx") == 0, strict=True)})
+
+
+def test_only_the_wanted_ranges_are_read(spark, tmp_path):
+    big = document.write(document.blank(600, 500) | {"n_layers": 1}, *[[x] if isinstance(x, dict) else x for x in document.image_layer(0, "noise", 1, np.random.default_rng(1).integers(0, 256, 600 * 500 * 4, dtype=np.uint8).tobytes(), 600, 500)][:2], [], [], [])
+    r = Ranged(lambda n, at: big[at : at + n], len(big), 512)
+    assert document.read("x", r, {"layers"})["layers"][0]["rect_right"] == 600 and r.fetched < 4096 < len(big)
+    assert document.read("x", Ranged(lambda n, at: big[at : at + n], len(big))) == document.read("x", big)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.psd").write_bytes(big)
+    psd.register(spark)
+    for where in (str(tmp_path), f"file://{tmp_path}", f"{tmp_path}/sub/*.psd"):
+        assert spark.read.format("psd").option("table", "layers").load(where).first()["name_unicode"] is None
+    lean = spark.read.format("psd").option("table", "channels").option("pixels", "false").load(str(tmp_path))
+    assert {(c["ch_id"], c["compression"], c["data"]) for c in lean.collect()} == {(k, 1, None) for k in range(-1, 3)}
+
+
+def test_names_of_files_do_not_clash(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b_c", b"1"), ("a_b/c", b"2"), ("é", b"3")], "path string, content binary")
+    psd.register(spark)
+    rows.write.format("psd").mode("append").save(str(tmp_path / "out"))
+    assert sorted(p.read_bytes() for p in (tmp_path / "out").iterdir()) == [b"1", b"2", b"3"]
+    with pytest.raises(Exception, match="same path"):
+        rows.union(rows).write.format("psd").mode("append").save(str(tmp_path / "again"))
+    assert list((tmp_path / "again").iterdir()) == []
+
+
+def test_indexed_and_float_composites(spark):
+    table = bytes(range(256)) + bytes(255 - k for k in range(256)) + bytes(256)
+    doc = {"version": 1, "channels": 1, "height": 1, "width": 2, "depth": 8, "mode": 2, "color_data": table, "n_layers": 0, "no_layers": True, "composite": b"\0\0" + bytes((3, 200))}
+    ink = struct.pack(">8f", *([0.5] * 2 + [0.0] * 2 + [1.0] * 2 + [0.25] * 2))
+    cmyk = doc | {"channels": 4, "depth": 32, "mode": 4, "color_data": b"", "composite": b"\0\0" + ink}
+    files = spark.createDataFrame([("i", document.write(doc, [], [], [], [])), ("k", document.write(cmyk, [], [], [], []))], "path string, content binary")
+    px = {r["path"]: bytes(r["bgra"]) for r in psd.merged_images(psd.tables(files, "documents")).collect()}
+    assert px["i"] == bytes((0, 252, 3, 255, 0, 55, 200, 255))
+    assert px["k"] == bytes((0, 191, 96, 255)) * 2
+
+
+def test_section_dividers_override_the_blend_mode():
+    l, c, b = document.divider(0, "f", 1, 2)
+    t = document.read("x", document.write(document.blank(4, 4) | {"n_layers": 1}, [l | {"blend_key": "norm"}], c, [], [], b))
+    assert (t["layers"][0]["blend_key"], t["layers"][0]["blend_mode"], t["layers"][0]["layer_type"]) == ("norm", "PASS_THROUGH", "FOLDER")
