@@ -61,6 +61,9 @@ class Reader:
         return self.take(self.left())
 
     def _one(self, form: str, n: int):
+        if self.pos + n <= self.end and type(self.data) is memoryview:
+            self.pos += n
+            return struct.unpack_from(form, self.data, self.pos - n)[0]
         return struct.unpack(form, self.take(n))[0]
 
     def u8(self) -> int:

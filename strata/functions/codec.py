@@ -66,14 +66,26 @@ def pack_row(row: bytes) -> bytes:
 def pack_plane(plane: bytes, width: int, height: int, sample: int = 1) -> bytes:
     """A plane as row lengths followed by packed rows."""
     w = width * sample
-    rows = [pack_row(plane[k * w : (k + 1) * w]) for k in range(height)]
+    made: dict[bytes, bytes] = {}  # rows of one colour and empty rows come many times
+    rows = []
+    for k in range(height):
+        row = bytes(plane[k * w : (k + 1) * w])
+        packed = made.get(row)
+        if packed is None:
+            packed = made[row] = pack_row(row)
+        rows.append(packed)
     return struct.pack(f">{height}H", *map(len, rows)) + b"".join(rows)
 
 
 def unpack_rows(data: bytes, lengths: list[int], width: int) -> bytes:
     out, at = [], 0
+    made: dict[bytes, bytes] = {}
     for n in lengths:
-        out.append(unpack_row(data[at : at + n], width))
+        row = bytes(data[at : at + n])
+        plain = made.get(row)
+        if plain is None:
+            plain = made[row] = unpack_row(row, width)
+        out.append(plain)
         at += n
     return b"".join(out)
 
