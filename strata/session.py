@@ -44,6 +44,12 @@ def frames(df: DataFrame, kernel: Callable[[Iterator], Iterator], schema) -> Dat
     return df.mapInPandas(run, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the session has for shuffles, which adaptive execution leaves alone: for kernels whose
+    work is large beside their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once per application; needed where they don't share the driver's Python path."""
     sc = spark.sparkContext
