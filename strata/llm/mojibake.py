@@ -2,13 +2,18 @@
 
 A text is a node of a graph; its edges encode it with one codec and decode the bytes with another, or unescape it.
 A best-first search with a set of visited texts and byte strings expands the node of the lowest cost first; the cost is
-a character plausibility (bigram model of the whole corpus) plus a price for each step. A text is garbled if a
-cheaper one is reached by the margin, if it holds control characters that only a wrong decoding leaves, or if a
-replacement character stands where the text was not merely cut.
-
-Results for odd input: null and empty texts and texts of plain ASCII are never garbled; a text that is too implausible
-but leads nowhere is garbled only by the signs above, and is returned as it is; ties go to the shorter path, then to
-the text that sorts first. Very long texts are searched whole.
+a character plausibility (bigram model of the whole corpus) plus a price for each step. It ends when the cheapest node
+left is plausible throughout, or when none is left that is not a detour: a node may be worse than the text itself by
+``DETOUR``, or by ``DETOUR_SHARE`` for each of its characters. A text is garbled if a cheaper one is reached by the
+margin, if it holds control characters that only a wrong decoding leaves, or if a replacement character stands where
+the text was not merely cut.
+
+Each different value is judged once, in a table of different values; the decisions are joined to the rows.
+
+Results for odd input: null and empty texts and texts of plain ASCII without escapes are never garbled; a text that is
+too implausible but leads nowhere is garbled only by the signs above, and is returned as it is; ties go to the shorter
+path, then to the text that sorts first. Very long texts are searched whole. A search that reaches ``MAX_NODES`` nodes
+gives the best text so far and says so in ``finished``.
 """
 
 from __future__ import annotations
@@ -19,12 +24,15 @@ import html
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
+from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strata.llm.confusables import fold, whole_image
-from strata.session import bounded, frames, stored
+from strata.session import bounded, frames, spread, stored
 
 #: Codecs that text is wrongly shown in, and codecs that it was written in.
 SHOWN = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp866", "koi8_r", "gbk", "cp932", "euc_jp", "cp949", "big5", "cp1250", "mac_cyrillic")
@@ -52,12 +60,13 @@ CUT_COST = 18.0
 #: Mean cost per character around any character beyond ASCII below which a text is plausible throughout.
 PLAUSIBLE = 4.6
 ALONE = 3.5
-MAX_STEPS = 4
-#: How much worse than the text itself a node on the way may be.
-DETOUR = 15.0
+#: Steps to a plausible text; texts with look-alikes allow one.
+MAX_STEPS = 6
+#: How much worse than the text itself a node on the way may be, at least and for each of its characters.
+DETOUR, DETOUR_SHARE = 15.0, 0.5
 LOST = "\ufffd"
-#: Nodes expanded at most; the search ends before that when nothing cheaper is left to try.
-MAX_NODES = 40
+#: Nodes that one search expands; a search that needs more is reported.
+MAX_NODES = 1000
 
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 _ESCAPE = re.compile(r"&(#\d+|#x[0-9a-fA-F]+|[a-zA-Z]\w+);|(?:%[0-9A-Fa-f]{2}){2,}|\\u[0-9a-fA-F]{4}|=[0-9A-F]{2}=[0-9A-F]{2}")
@@ -121,22 +130,26 @@ class Plausibility:
     def folded(text: str) -> str:
         return " " + re.sub(r"\d", "0", text.lower()) + " "
 
-    def cost(self, text: str) -> float:
-        t = self.folded(text)
-        bi, uni, back, unseen = self.bi, self.uni, self.back, self.unseen
-        total = 0.0
-        for a, b in zip(t, t[1:]):
-            v = bi.get(a + b)
-            total += v if v is not None else uni.get(b, unseen) + back
-        return total + (0.0 if text.isascii() else CASE_COST * len(_JUMP.findall(text)))
+    def _each(self, t: str) -> list[float]:
+        """The cost of each character of a folded text behind the one before it."""
+        v = list(map(self.bi.get, map(add, t, t[1:])))
+        if None in v:
+            uni, back, unseen = self.uni, self.back, self.unseen
+            v = [x if x is not None else uni.get(b, unseen) + back for x, b in zip(v, t[1:])]
+        return v
 
+    def cost(self, text: str) -> float:
+        return sum(self._each(self.folded(text))) + (0.0 if text.isascii() else CASE_COST * len(_JUMP.findall(text)))
 
     def worst(self, text: str) -> float:
         """The highest cost near a character beyond ASCII: the mean of three in a row, or of one less ``ALONE``."""
         t = self.folded(text)
-        bi, uni, back, unseen = self.bi, self.uni, self.back, self.unseen
-        v = [x if (x := bi.get(a + b)) is not None else uni.get(b, unseen) + back for a, b in zip(t, t[1:])]
-        return max((max(sum(v[max(0, k - 1) : k + 2]) / len(v[max(0, k - 1) : k + 2]), v[k] - ALONE) for k, c in enumerate(t[1:]) if c > "\x7f"), default=0.0)
+        v, high = self._each(t), 0.0
+        for k, c in enumerate(t[1:]):
+            if c > "\x7f":
+                near = v[k - 1 if k else 0 : k + 2]
+                high = max(high, sum(near) / len(near), v[k] - ALONE)
+        return high
 
 
 def consistent(text: str) -> bool:
@@ -242,40 +255,42 @@ def _refill(text: str, step: str, model: Plausibility) -> tuple[str, float] | No
     return (best[1], best[0]) if best else None
 
 
-def restore(text: str, model: Plausibility, most_steps: int = MAX_STEPS) -> tuple[str, list[str], float]:
-    """The cheapest reachable text, the steps to it, and how much cheaper it is than the text itself."""
+def search(text: str, model: Plausibility, most_steps: int = MAX_STEPS) -> tuple[str, list[str], float, bool]:
+    """The cheapest text found, the steps to it, how much cheaper it is than the text itself, and whether the search was
+    finished."""
     first = model.cost(text)
-    # bytes that are valid UTF-8 are hardly ever anything else: such an edge to a plausible text ends the search
-    if LOST not in text:
-        for shown in SHOWN:
-            for raw in _encoded(text, shown):
-                t, cut = _decoded(raw, "utf-8")
-                if t and not cut and t != text and model.worst(t) < PLAUSIBLE and (gain := first - model.cost(t) - STEP_COST) > SURE_GAIN:
-                    return t, [f"{shown}>utf-8"], gain
-    best = (first, 0, text, [])
+    best = (first, 0, text, [], 0.0)
     heap = [best]
     seen, seen_bytes, expanded = {text}, set(), 0
-    while heap and expanded < MAX_NODES:
-        cost, depth, t, steps = heapq.heappop(heap)
-        if depth and model.worst(t) < PLAUSIBLE:
-            break  # the cheapest of all that is left is plausible throughout
-        # undoing one of several wrong decodings may cost a little at first, but not much
-        if depth >= most_steps or cost > first + DETOUR:
+    detour = first + max(DETOUR, DETOUR_SHARE * len(text))
+    finished = True
+    while heap:
+        cost, depth, t, steps, paid = heapq.heappop(heap)
+        if cost > detour or (depth and not _ESCAPE.search(t) and model.worst(t) < PLAUSIBLE):
+            break  # the cheapest of all that is left is plausible throughout, or all of it is a detour
+        if depth >= most_steps:
             continue
+        if expanded == MAX_NODES:
+            finished = False
+            break
         expanded += 1
         for step, n, cut in neighbours(t, seen_bytes):
             if n in seen:
                 continue
             seen.add(n)
-            c = model.cost(n) + STEP_COST * (depth + 1) + CUT_COST * min(cut, 1) + (ODD_STEP_COST if depth and not step.endswith("utf-8") else 0.0)
-            node = (c, depth + 1, n, [*steps, step])
+            price = paid + STEP_COST + CUT_COST * min(cut, 1) + (ODD_STEP_COST if depth and not step.endswith(("utf-8", "unescape")) else 0.0)
+            node = (model.cost(n) + price, depth + 1, n, [*steps, step], price)
             if node[:3] < best[:3]:
                 best = node
-            if not n.isascii():
+            if not n.isascii() or _ESCAPE.search(n):
                 heapq.heappush(heap, node)
     if LOST in text and len(best[3]) == 1 and (again := _refill(text, best[3][0], model)) and again[1] < best[0]:
-        best = (again[1] + STEP_COST, 1, again[0], best[3])
-    return best[2], best[3], first - best[0]
+        best = (again[1] + STEP_COST, 1, again[0], best[3], STEP_COST)
+    return best[2], best[3], first - best[0], finished
+
+
+def restore(text: str, model: Plausibility, most_steps: int = MAX_STEPS) -> tuple[str, list[str], float]:
+    return search(text, model, most_steps)[:3]
 
 
 def _known(m: re.Match, model: Plausibility) -> str:
@@ -314,20 +329,25 @@ def judge(text: str | None, model: Plausibility, at_limit: bool = False) -> tupl
 
     ``at_limit`` says that the value is as long as its field allows, so that a lost character at its end was cut.
     """
+    return decide(text, model, at_limit)[:3]
+
+
+def decide(text: str | None, model: Plausibility, at_limit: bool = False) -> tuple[bool, str | None, str, bool]:
+    """:func:`judge`, and whether its search was finished."""
     if not suspicious(text):
-        return False, text, ""
+        return False, text, "", True
     body = text.rstrip(LOST)
     tail = text[len(body) :]
     lost = LOST in body or bool(tail and not at_limit and _lost_letter(body, tail, model))
     sure = lost or bool(_C1.search(text))
     work = text if lost else body
     form, why = fold(work)
-    most_steps = 2 if lost else MAX_STEPS
-    if not sure and not _JUMP.search(form) and model.worst(form) < PLAUSIBLE:
+    most_steps, escaped = MAX_STEPS, bool(_ESCAPE.search(work))
+    if not sure and not escaped and not _JUMP.search(form) and model.worst(form) < PLAUSIBLE:
         if "script" not in why:
-            return False, text, ""
+            return False, text, "", True
         most_steps = 1  # plausible with look-alikes replaced; only a single wrong decoding explains it as well
-    found, steps, gain = restore(work, model, most_steps)
+    found, steps, gain, finished = search(work, model, most_steps)
     first = model.cost(work)
     images = _WORDS.sub(lambda m: whole_image(m[0]) or m[0], form)
     plain = min(model.cost(form), model.cost(images) + STEP_COST)
@@ -338,18 +358,20 @@ def judge(text: str | None, model: Plausibility, at_limit: bool = False) -> tupl
         beyond = [w for w in _WORDS.findall(found.lower()) if not w.isascii()]
         if steps and beyond and all(w in model.words for w in beyond):
             gain += KNOWN_WORDS
+    elif escaped:
+        gain = gain if not found.isascii() else 0.0  # an escape of plain ASCII is no wrong decoding
     elif not _BARE.search(work) and not _MONEY_LETTER.search(work) and (consistent(work) or _APOSTROPHE.sub("", work).isascii()):
         margin = SURE_GAIN  # symbols that stand where they belong
-    if len(steps) > 1 and not all(x.endswith("utf-8") for x in steps):
+    if len(steps) > 1 and not all(x.endswith(("utf-8", "unescape")) for x in steps):
         margin = max(margin, 1.6 * SURE_GAIN)  # a chain of other codecs can lead anywhere
     if lost:
         filled = fill(work, model)
-        if LOST not in filled and (not steps or model.cost(filled) + STEP_COST < first - gain):
+        if LOST not in filled and model.worst(filled) < BELIEVABLE and (not steps or model.cost(filled) + STEP_COST < first - gain):
             found, steps = filled, ["fill"]
-        return True, found, " ".join(steps)
+        return True, found, " ".join(steps), finished
     if steps and gain > margin and (gain > SURE_GAIN or model.worst(found) < BELIEVABLE) and (sure or consistent(fold(found.rstrip(LOST))[0] or "")):
-        return True, found, " ".join(steps)
-    return sure, text, ""
+        return True, found, " ".join(steps), finished
+    return sure, text, "", finished
 
 
 def _lost_letter(body: str, tail: str, model: Plausibility) -> bool:
@@ -372,8 +394,10 @@ def suspicious(text: str | None) -> bool:
 
 #: Decisions that a task remembers; long values are not kept beside others.
 CACHED, SHORT = 50_000, 300
-#: A pair of characters is kept in the model if it makes up this share of all pairs, which bounds the model's size.
-LEAST_SHARE = 1e-6
+#: Pairs of characters and words beyond ASCII in the model, the commonest ones; sf0.1 has 3 thousand and 1.5 thousand.
+PAIRS, KNOWN = 1 << 20, 1 << 17
+#: Up to so many different garbled values are sent to all tasks; more are joined by shuffle.
+GARBLED = 100_000
 
 
 def _count_bigrams(batches):
@@ -395,22 +419,33 @@ def _count_bigrams(batches):
 
 
 def plausibility(df: DataFrame, fields: list[str]) -> Plausibility:
-    """The bigram model and the words beyond ASCII of all values of ``fields``; counted in the partitions, summed, and
-    bounded by ``LEAST_SHARE``."""
-    counts = df.select(*fields).transform(frames, _count_bigrams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-    counts = stored(counts)
-    total = counts.where("length(g) = 2").agg(F.sum("n")).first()[0] or 0
-    # the share bounds what comes to the driver to 1 / LEAST_SHARE pairs
-    kept = counts.where(F.col("n") >= total * LEAST_SHARE)
-    held = [(r["g"], float(r["n"])) for r in kept.select("g", "n").toLocalIterator()]
-    return Plausibility({g: n for g, n in held if g[0] != "\x01" and len(g) == 2}, {g[1:]: n for g, n in held if g[0] == "\x01" and len(g) > 2})
+    """The bigram model and the words beyond ASCII of all values of ``fields``; counted in the partitions and summed. The
+    ``PAIRS`` commonest pairs and the ``KNOWN`` commonest words come to the driver; a pair or word beyond them costs what
+    one costs that was never seen, at every size of the corpus."""
+    counts = stored(df.select(*fields).transform(frames, _count_bigrams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n")))
+    word = F.col("g").startswith("\x01") & (F.length("g") > 2)
+    top = lambda d, k: {r["g"]: float(r["n"]) for r in d.orderBy(F.desc("n"), "g").limit(k).toLocalIterator()}
+    pairs, words = top(counts.where(~word & (F.length("g") == 2) & ~F.col("g").startswith("\x01")), PAIRS), top(counts.where(word), KNOWN)
+    return Plausibility(pairs, {g[1:]: n for g, n in words.items()})
+
+
+#: A limit has at least so many different values, and so many times as many as each of the ``BELOW`` lengths below it on
+#: average; of longer ones there are so many times fewer.
+LEAST_PILE, PILE, BELOW = 4, 2.0, 8
 
 
 def field_limits(df: DataFrame, fields: list[str], source: str = "source") -> DataFrame:
-    """(source, <field>_bytes, <field>_chars): the longest value of each field of each source, lost ends apart."""
-    own = [F.rtrim(F.col(f), F.lit(LOST)) for f in fields]
-    aggs = [a for f, c in zip(fields, own) for a in (F.max(F.octet_length(c)).alias(f"{f}_bytes"), F.max(F.char_length(c)).alias(f"{f}_chars"))]
-    return df.groupBy(F.col(source).alias("source")).agg(*aggs)
+    """(source, <field>_bytes, <field>_chars): the length at which the different values of a field of a source pile up at
+    the upper end, in bytes and in characters; null where they don't. Lost ends are left out of the lengths."""
+    each = df.select(F.col(source).alias("source"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.rtrim(F.col(f), F.lit(LOST)).alias("v")) for f in fields])).alias("x")).select("source", "x.*").where("v is not null").distinct()
+    kinds = F.array(F.struct(F.lit("bytes").alias("kind"), F.octet_length("v").alias("size")), F.struct(F.lit("chars").alias("kind"), F.char_length("v").alias("size")))
+    # a histogram per source and field, with as many rows as there are lengths
+    n = each.select("source", "field", F.explode(kinds).alias("x")).groupBy("source", "field", "x.kind", "x.size").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("source", "field", "kind").orderBy("size")
+    below = F.coalesce(F.sum("n").over(w.rangeBetween(-BELOW, -1)), F.lit(0)) / BELOW
+    longer = F.coalesce(F.sum("n").over(w.rangeBetween(1, Window.unboundedFollowing)), F.lit(0))
+    piles = n.select("*", below.alias("below"), longer.alias("longer")).where((F.col("n") >= LEAST_PILE) & (F.col("n") >= PILE * F.col("below")) & (PILE * F.col("longer") <= F.col("n")))
+    return piles.groupBy("source").agg(*[F.max(F.when((F.col("field") == f) & (F.col("kind") == k), F.col("size"))).alias(f"{f}_{k}") for f in fields for k in ("bytes", "chars")])
 
 
 def with_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
@@ -419,49 +454,42 @@ def with_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
     return rows.join(limits, rows["source"].eqNullSafe(limits["_source"]), "left").drop("_source")
 
 
-def judged(df: DataFrame, fields: list[str], model: Plausibility, keep_all: bool = False) -> DataFrame:
-    """(path, idx, source, field, value, garbled, restored, steps) of each value that is garbled, or of all values.
+def each_field(rows: DataFrame, fields: list[str], *more: Callable[[str], Column]) -> DataFrame:
+    """One row per field: field, value and ``more`` columns made of the field's name, beside the other columns."""
+    rest = [c for c in rows.columns if c not in fields and not any(c in (f"{f}_bytes", f"{f}_chars") for f in fields)]
+    one = lambda f: F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), *[m(f) for m in more])
+    return rows.select(*rest, F.explode(F.array(*map(one, fields))).alias("_x")).select(*rest, "_x.*")
 
-    The decision on a value is taken once per partition and size-bounded cache, not once per row.
-    """
-    limits = field_limits(df, fields)
+
+def _cut(field: str) -> Column:
+    """Whether the field's value ends in a lost character where its bytes reach the limit."""
+    v = F.col(field)
+    return F.coalesce(v.endswith(LOST) & (F.octet_length(F.rtrim(v, F.lit(LOST))) >= F.col(f"{field}_bytes") - 3), F.lit(False)).alias("cut")
+
+
+#: What a value must hold to need a decision: anything beyond ASCII, or an escape.
+_ASK = r"[^\x09-\x7e]|&#?\w+;|%[0-9A-Fa-f]|\\u|=[0-9A-F]"
+
+
+def judged(df: DataFrame, fields: list[str], model: Plausibility) -> DataFrame:
+    """(path, idx, source, field, value, restored, steps, finished) of each value that is garbled; each different value is
+    judged once."""
+    rows = with_limits(df.select("path", "idx", "source", *fields), field_limits(df, fields))
+    rows = each_field(rows, fields, _cut).where(F.col("value").rlike(_ASK))
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pandas as pd
 
-        m, cache = sent.value, {}
+        m = sent.value
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            src, path, idx = b["source"].tolist(), b["path"].tolist(), b["idx"].tolist()
-            for f in fields:
-                top = b[f"{f}_bytes"].tolist()
-                for k, v in enumerate(b[f].tolist()):
-                    if v is None:
-                        continue
-                    if v.isascii() and not _ESCAPE.search(v):
-                        if keep_all:
-                            for o, x in zip(out, (path[k], idx[k], src[k], f, v, False, v, "")):
-                                o.append(x)
-                        continue
-                    cut = v.endswith(LOST) and top[k] is not None and len(v.rstrip(LOST).encode("utf-8", "replace")) >= top[k] - 3
-                    r = cache.get((v, cut))
-                    if r is None:
-                        if len(cache) > CACHED:
-                            cache.clear()
-                        r = judge(v, m, cut)
-                        if len(v) <= SHORT:
-                            cache[v, cut] = r
-                    if r[0] or keep_all:
-                        for o, x in zip(out, (path[k], idx[k], src[k], f, v, *r)):
-                            o.append(x)
-            yield pd.DataFrame(dict(zip(("path", "idx", "source", "field", "value", "garbled", "restored", "steps"), out))).astype({"idx": "Int32", "garbled": bool})
-
-    rows = df.select("path", "idx", "source", *fields)
-    if not keep_all:
-        rows = rows.where(" or ".join(f"{f} rlike '[^\\\\x09-\\\\x7e]|&#?\\\\w+;|%[0-9A-Fa-f]|\\\\\\\\u|=[0-9A-F]'" for f in fields))
-    rows = with_limits(rows, limits)
-    return rows.transform(frames, run, "path string, idx int, source string, field string, value string, garbled boolean, restored string, steps string")
+            made = [decide(v, m, c) for v, c in zip(b["value"], b["cut"])]
+            hit = [x[0] for x in made]
+            b = b.assign(restored=[x[1] for x in made], steps=[x[2] for x in made], finished=[x[3] for x in made])
+            yield b[hit]
+
+    each = spread(rows.select("value", "cut").distinct()).transform(frames, run, "value string, cut boolean, restored string, steps string, finished boolean")
+    return rows.join(bounded(stored(each), GARBLED), ["value", "cut"]).select("path", "idx", "source", "field", "value", "restored", "steps", "finished")
 
 
 def garbled(df: DataFrame, fields: list[str] = ("layer_name", "name_unicode"), model: Plausibility | None = None) -> DataFrame:
@@ -469,4 +497,4 @@ def garbled(df: DataFrame, fields: list[str] = ("layer_name", "name_unicode"), m
     fields = list(fields)
     df = df.where("path is not null and idx is not null")
     found = judged(df, fields, model or plausibility(df, fields))
-    return found.groupBy("path", "idx", "field").agg(F.min(F.struct("source", "value", "restored", "steps")).alias("m")).select("path", "idx", "field", "m.*")
+    return found.groupBy("path", "idx", "field").agg(F.min(F.struct("source", "value", "restored", "steps", "finished")).alias("m")).select("path", "idx", "field", "m.*")

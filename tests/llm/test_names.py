@@ -59,6 +59,37 @@ def test_leaves_correct_text(model, text):
     assert mojibake.judge(text, model)[:2] == (False, text)
 
 
+def test_escapes(model):
+    """Escapes in plain ASCII are searched too; those of plain ASCII are no wrong decoding."""
+    for bad in ("t&#237;tulo bot&atilde;o", "t%C3%ADtulo bot%C3%A3o", "t=C3=ADtulo bot=C3=A3o", "\\u0074\\u00edtulo bot\\u00e3o", "t&amp;#237;tulo bot&amp;#227;o"):
+        assert mojibake.judge(bad, model)[:2] == (True, "título botão"), bad
+    for fine in ("logo &amp; menu", "menu 100%", "a=1", "layer %20 copy"):
+        assert not mojibake.judge(fine, model)[0], fine
+
+
+@pytest.mark.parametrize("shown, written", [("cp1252", "utf-8"), ("latin-1", "utf-8"), ("cp437", "utf-8"), ("mac_roman", "utf-8"), ("cp1251", "utf-8"), ("mac_roman", "cp1252"), ("cp1252", "cp932"), ("gbk", "utf-8")])
+def test_restores_unseen_names(model, shown, written):
+    """Names that the model has not seen, of words that it has."""
+    pool = KANA if written == "cp932" or shown == "gbk" else ACCENTS if written == "cp1252" else [*ACCENTS, *CYRILLIC]
+    rng, right, n = random.Random(11), 0, 0
+    for _ in range(120):
+        name = " ".join(rng.choices(pool, k=rng.randint(2, 5)))
+        try:
+            bad = name.encode(written).decode(shown)
+        except UnicodeDecodeError:
+            continue
+        if bad != name:
+            n += 1
+            right += mojibake.judge(bad, model)[1] == name
+    assert n > 5 and right >= 0.95 * n
+
+
+def test_double_decoding_is_undone(model):
+    for name in ("coração edição", "папка слой", "レイヤー ボタン"):
+        twice = name.encode().decode("latin-1").encode().decode("latin-1")
+        assert mojibake.judge(twice, model)[:2] == (True, name)
+
+
 def test_lost_characters(model):
     garbled, restored, _ = mojibake.judge("t�tulo bot�o", model)
     assert garbled and restored == "título botão"
