@@ -1,9 +1,15 @@
 """Visually identical text with different characters: one consistent form.
 
 ``fold`` removes invisible characters, turns other blanks into spaces, full- and half-width forms into plain ones,
-composes accents, voicing marks and jamo, and gives each word one script: the resolved script sets of its letters are
-intersected, and where the intersection is empty the look-alike letters of the other script are replaced. A word wholly
-in look-alikes of another script is replaced where the corpus knows the other spelling far better (``whole_words``).
+composes accents, voicing marks and jamo, and gives each word one script. The script set of a letter is the scripts that
+it has itself; a word whose sets intersect is in one script. Where they don't, each set is widened by the scripts of the
+letter's look-alikes, the widened sets are intersected, and the look-alikes of the script that fits best are taken. A
+word wholly in look-alikes of another script is replaced where the corpus knows the other spelling far better
+(``lookalike.whole_words``). Letters of scripts without case that stand in one token with others, as Chinese or Japanese
+do, form words of their own.
+
+Look-alikes are those of :class:`Shapes`: the pairs below, and, from :func:`shapes`, all classes of the public confusables
+data that the session's Unicode library holds.
 
 Results for odd input: null stays null, empty stays empty; carriage returns, line feeds, emoji with their joiners and
 selectors, and symbols stay; words whose foreign letters have no look-alike stay; a tie between two scripts goes to the
@@ -12,6 +18,7 @@ one with more letters that only it has, then more letters, then Latin.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata as ud
 
@@ -22,18 +29,107 @@ ARMENIAN = "օo սu հh ցg զq ոn աw յj Օo Տs Լl"
 _TO_LATIN = {n: {p[0]: p[1] for p in t.split()} for n, t in (("CYRILLIC", CYRILLIC), ("GREEK", GREEK), ("ARMENIAN", ARMENIAN))}
 #: Letters that everyday Cyrillic lacks: they pass for Latin ones, but nobody means them in place of Latin ones.
 _RARE = set("ԁһіјӏԛѕѵԝѐїӓӧԌІЈӀԚЅѴԜҮЇЀӒӦ")
-_FROM_LATIN: dict[str, dict[str, str]] = {n: {b: a for a, b in reversed(t.items()) if a not in _RARE} for n, t in _TO_LATIN.items() if n != "ARMENIAN"}
-_BETWEEN = {("CYRILLIC", "LATIN"): _TO_LATIN["CYRILLIC"], ("GREEK", "LATIN"): _TO_LATIN["GREEK"], ("ARMENIAN", "LATIN"): _TO_LATIN["ARMENIAN"], ("LATIN", "CYRILLIC"): _FROM_LATIN["CYRILLIC"], ("LATIN", "GREEK"): _FROM_LATIN["GREEK"]}
-for _x, _y in (("CYRILLIC", "GREEK"), ("GREEK", "CYRILLIC")):
-    _BETWEEN[_x, _y] = {a: _FROM_LATIN[_y][b] for a, b in _TO_LATIN[_x].items() if b in _FROM_LATIN[_y]}
+#: Scripts that a word may be brought to, and their everyday letters.
+_TARGETS = {"LATIN": re.compile("[A-Za-z]"), "CYRILLIC": re.compile("[\u0410-\u044f\u0401\u0451]"), "GREEK": re.compile("[\u0391-\u03a9\u03b1-\u03c9]")}
+
+
+@functools.cache
+def scripts(c: str) -> frozenset[str]:
+    """The scripts of a letter, as its name gives them; none for letters of no script, such as mathematical ones."""
+    name = ud.name(c, "")
+    if name.startswith("KATAKANA-HIRAGANA"):
+        return frozenset(("KATAKANA", "HIRAGANA"))
+    first, _, rest = name.partition(" ")
+    known = re.search("LETTER|SYLLAB|IDEOGRAPH|LIGATURE", rest) and first not in ("MATHEMATICAL", "FULLWIDTH", "HALFWIDTH", "MODIFIER")
+    return frozenset((first,)) if known else frozenset()
+
+
+class Shapes:
+    """Letters and their look-alikes by script; ``classes`` are further groups of letters that look the same."""
+
+    def __init__(self, classes: list[str] = ()):
+        self.image: dict[str, dict[str, str]] = {}
+        for script, pairs in _TO_LATIN.items():
+            for a, b in pairs.items():
+                self._add(a, "LATIN", b)
+                if script in _TARGETS and a not in _RARE:
+                    self._add(b, script, a)
+        for script, other in (("CYRILLIC", "GREEK"), ("GREEK", "CYRILLIC")):
+            for a, b in _TO_LATIN[script].items():
+                if (c := self.image.get(b, {}).get(other)) is not None:
+                    self._add(a, other, c)
+        for group in classes:
+            for target, usual in _TARGETS.items():
+                ends = [c for c in group if usual.match(c) and c not in _RARE]
+                for c in group:
+                    same = [e for e in ends if e.isupper() == c.isupper() and e.islower() == c.islower()] or ([] if c.isupper() or c.islower() else [e for e in ends if e.islower()])
+                    if same and scripts(c) and target not in scripts(c):
+                        self._add(c, target, same[0])
+                    elif same and target == "LATIN" and "\u0250" <= c <= "\u02af":
+                        self._add(c, "PLAIN", same[0])  # a phonetic letter for a plain one
+
+    def _add(self, c: str, script: str, image: str) -> None:
+        self.image.setdefault(c, {}).setdefault(script, image)
+
+    def one_script(self, word: str) -> str:
+        """The word with its look-alikes in the script that all its letters can have; itself if it has one script or if
+        there is none."""
+        letters = [c for c in word if ud.category(c)[0] == "L"]
+        letters = [c for c in letters if scripts(c)]  # those of no script go with any
+        own = [scripts(c) for c in letters]
+        if not letters or frozenset.intersection(*own):
+            return self._plain(word)
+        wide = [frozenset(o | self.image.get(c, {}).keys()) for c, o in zip(letters, own)]
+        best = None
+        for target in sorted(frozenset.intersection(*wide) & frozenset().union(*own)):
+            here = [c for c, o in zip(letters, own) if target in o]
+            only = sum(1 for c in here if not any(s in self.image.get(c, ()) for o in own for s in o if s != target))
+            score = (only, len(here), target == "LATIN")
+            if best is None or score > best[0]:
+                best = (score, "".join(self.image[c][target] if ud.category(c)[0] == "L" and scripts(c) and target not in scripts(c) else c for c in word))
+        return self._plain(best[1]) if best else word
+
+    def _plain(self, word: str) -> str:
+        """Phonetic letters of a Latin word that are used as plain ones."""
+        if word.isascii() or not _PHONETIC.search(word) or _PHONETIC.sub("", word).isascii() is False:
+            return word
+        if len(_PHONETIC.findall(word)) * 2 > len(word):  # mostly phonetic: a transcription
+            return word
+        return _PHONETIC.sub(lambda m: self.image.get(m[0], {}).get("PLAIN", m[0]), word)
+
+    def whole_image(self, word: str) -> str | None:
+        """The Latin image of a word wholly in the look-alikes of one other script, or None."""
+        if not word or not (common := frozenset.intersection(*map(scripts, word))) or "LATIN" in common:
+            return None
+        out = [self.image.get(c, {}).get("LATIN") for c in word]
+        return None if None in out else "".join(out)
+
+
+#: The pairs above alone.
+BASE = Shapes()
+
+
+def shapes(spark) -> Shapes:
+    """All look-alike letters of the public confusables data, as the Unicode library of the session's JVM gives them."""
+    letters = [chr(c) for c in range(0x41, 0x20000) if ud.category(chr(c))[0] == "L" and ud.bidirectional(chr(c)) == "L" and not _CJK.match(chr(c))]
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    groups: dict[str, list[str]] = {}
+    for c, form in zip(letters, checker.getSkeleton("\n".join(letters)).split("\n")):
+        groups.setdefault(form, []).append(c)
+    return Shapes(["".join(g) for g in groups.values() if len(g) > 1])
+
 
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff9-\ufffb\U000e0000-\U000e0fff]")
 _BLANK = re.compile("[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WIDE = re.compile("[\uff01-\uff9f\uffa1-\uffef]+")
 #: Anything that may need work: a text without these is its own form.
-SIGNS = re.compile("[\u00a0\u00ad\u0300-\u052f\u0530-\u058f\u0591-\u065f\u0670-\u0711\u0900-\u1fff\u2000-\u200f\u2028-\u202f\u205f-\u206f\u20d0-\u20ff\u2126-\u212b\u3000\u302a-\u302f\u3099-\u309c\u3130-\u318f\ufe00-\ufe0f\ufe20-\ufe2f\ufeff-\uffef\ufff9-\ufffb\U00010000-\U0010ffff]")
-_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
-_FOREIGN = re.compile("[\u0370-\u058f\u1f00-\u1fff]")
+SIGNS = re.compile("[\u00a0\u00ad\u0250-\u02af\u0300-\u052f\u0530-\u058f\u0591-\u065f\u0670-\u0711\u0900-\u1fff\u2000-\u200f\u2028-\u202f\u205f-\u206f\u20d0-\u20ff\u2100-\u2188\u2c00-\u2cff\u3000\u302a-\u302f\u3099-\u309c\u3130-\u318f\ua4d0-\ua4ff\ua640-\ua69f\uab30-\uabbf\ufb00-\ufb06\ufe00-\ufe0f\ufe20-\ufe2f\ufeff-\uffef\ufff9-\ufffb\U00010000-\U0010ffff]")
+_CJK = re.compile("[\u1100-\u11ff\u3005\u3040-\u318f\u31a0-\u31ff\u3400-\u9fff\ua960-\ua97f\uac00-\ud7ff\uf900-\ufaff]")
+_WORD = re.compile("(?:(?![\u1100-\u11ff\u3005\u3040-\u318f\u31a0-\u31ff\u3400-\u9fff\ua960-\ua97f\uac00-\ud7ff\uf900-\ufaff])[^\\W\\d_]|(?<=\\w)[\u0300-\u036f])+")
+_STYLED = re.compile("[\u2100-\u2188\ufb00-\ufb06\U0001d400-\U0001d7ff\U0001ee00-\U0001eeff]")
+_PHONETIC = re.compile("[\u0250-\u02af]")
+#: Letters that may be look-alikes of others: all alphabets but the plain Latin one.
+_FOREIGN = re.compile("[\u0250-\u02af\u0370-\u058f\u10a0-\u10ff\u13a0-\u1aff\u1c80-\u1c8f\u1d00-\u1dbf\u1f00-\u1fff\u2c00-\u2dff\ua4d0-\ua4ff\ua500-\ua69f\uab30-\uabbf\U00010000-\U0001ffff]")
 _KANA_MARK = re.compile("([\u3041-\u30ff])([\u309b\u309c])")
 
 
@@ -61,51 +157,28 @@ def _joins(text: str, k: int) -> bool:
     return False
 
 
-def _script(c: str) -> str:
-    o = ord(c)
-    if o < 0x250 or 0x1E00 <= o <= 0x1EFF:
-        return "LATIN"
-    if 0x370 <= o <= 0x3FF or 0x1F00 <= o <= 0x1FFF:
-        return "GREEK"
-    if 0x400 <= o <= 0x52F:
-        return "CYRILLIC"
-    if 0x530 <= o <= 0x58F:
-        return "ARMENIAN"
-    return "OTHER"
-
-
-def _one_script(word: str) -> str:
-    """The word with its look-alikes in the script that all its letters can have; itself if there is none."""
-    scripts = [_script(c) for c in word if ud.category(c)[0] == "L"]
-    own = {s: scripts.count(s) for s in dict.fromkeys(scripts)}
-    if len(own) < 2:
-        return word
-    best = None
-    for target in own:
-        if target == "OTHER" or "OTHER" in own:
-            continue
-        tables = {s: _BETWEEN.get((s, target), {}) for s in own if s != target}
-        if all(s == target or c in tables[s] for c, s in zip(word, map(_script, word)) if ud.category(c)[0] == "L"):
-            only = sum(1 for c in word if _script(c) == target and not any(c in _BETWEEN.get((target, s), ()) for s in own if s != target))
-            score = (only, own[target], target == "LATIN")
-            if best is None or score > best[0]:
-                best = (score, "".join(tables.get(_script(c), {}).get(c, c) for c in word))
-    return best[1] if best else word
+def whole_image(word: str) -> str | None:
+    """The Latin image of a word of three letters and more wholly in Cyrillic or Greek look-alikes, or None."""
+    return BASE.whole_image(word) if len(word) >= 3 and not scripts(word[0]).isdisjoint(("CYRILLIC", "GREEK")) else None
 
 
-def whole_image(word: str) -> str | None:
-    """The Latin image of a word wholly in Cyrillic or Greek look-alikes, or None."""
-    if len(word) < 3:
-        return None
-    for s in ("CYRILLIC", "GREEK"):
-        if all(c in _TO_LATIN[s] for c in word):
-            return "".join(_TO_LATIN[s][c] for c in word)
-    return None
+@functools.cache
+def _plain_letters(c: str) -> str:
+    """What a letter in another style, a ligature or a letter-like number is written with; symbols stay."""
+    kind = ud.decomposition(c)
+    if (kind.startswith("<font>") and ud.category(c)[0] == "L") or (kind.startswith("<compat>") and (ud.category(c) == "Nl" or "\ufb00" <= c <= "\ufb06")):
+        return ud.normalize("NFKC", c)
+    return c
 
 
-def plain(text: str) -> tuple[str, set[str]]:
-    """The form before scripts, and what was changed: invisible, blank, width, marks."""
+def plain(text: str, styles: bool = False) -> tuple[str, set[str]]:
+    """The form before scripts, and what was changed: invisible, blank, width, marks, and with ``styles`` style."""
     why: set[str] = set()
+    if styles and _STYLED.search(text):
+        plainer = _STYLED.sub(lambda m: _plain_letters(m[0]), text)
+        if plainer != text:
+            why.add("style")
+            text = plainer
     if _INVISIBLE.search(text):
         kept = [c for k, c in enumerate(text) if not _INVISIBLE.match(c) or _joins(text, k)]
         if len(kept) < len(text):
@@ -134,19 +207,17 @@ def plain(text: str) -> tuple[str, set[str]]:
     return text, why
 
 
-def fold(text: str | None, whole_words: dict[str, str] | None = None) -> tuple[str | None, list[str]]:
+def fold(text: str | None, known: Shapes = BASE, styles: bool = False) -> tuple[str | None, list[str]]:
     """The one form of a text, and the sorted kinds of what was changed."""
     if not text or not SIGNS.search(text):
         return text, []
-    text, why = plain(text)
+    text, why = plain(text, styles)
     if _FOREIGN.search(text):
         def word(m: re.Match) -> str:
             w = m[0]
             if not _FOREIGN.search(w):
                 return w
-            v = _one_script(w)
-            if v == w and whole_words:
-                v = whole_words.get(w, w)
+            v = known.one_script(w)
             if v != w:
                 why.add("script")
             return v

@@ -1,7 +1,10 @@
 """Visually identical text on DataFrames: the one form of each value and what was changed.
 
-The form of a value is :func:`strata.llm.confusables.fold`. Words wholly in look-alike letters of another script need
-the corpus: the image is taken where it is, in letters of either case, ``TIMES`` as frequent as the spelling found. Values that are garbled by a wrong encoding are left as they are and are no cases.
+The form of a value is :func:`strata.llm.confusables.fold` with all classes of look-alikes; each different value is folded
+once. Words wholly in look-alike letters of another script need the corpus: the image is taken where it is, in letters
+of either case, ``TIMES`` as frequent as the spelling found; a word of one or two letters, which says little, only in a
+value that has Latin words and no other word of that script. Values that are garbled by a wrong encoding are left as
+they are and are no cases.
 
 Results for odd input: null and empty values have themselves as form; rows without path or idx are left out of the
 cases; a value that is delivered twice counts once per (path, idx, field); an empty table gives an empty result.
@@ -15,95 +18,74 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.confusables import SIGNS, fold, whole_image
-from strata.llm.mojibake import CACHED, SHORT, Plausibility, judge
-from strata.session import bounded, frames
+from strata.llm.confusables import Shapes, fold, scripts, shapes
+from strata.llm.mojibake import Plausibility, judge
+from strata.session import bounded, frames, spread, stored
 
 TIMES = 20
-#: Up to so many words are sent to all tasks; more are joined by shuffle.
+#: Up to so many words, or changed values, are sent to all tasks; more are joined by shuffle.
 WORDS = 100_000
-#: Letters with look-alikes in another script, for the count of images.
-_IMAGE = r"\\b[a-zA-Z]{3,}\\b"
-_WHOLE = r"(?U)(?<![\\p{L}\\p{M}])[\\u0370-\\u03ff\\u0400-\\u058f]{3,}(?![\\p{L}\\p{M}])"
+_LATIN = r"(?<![\\p{L}\\p{M}])[a-zA-Z]+(?![\\p{L}\\p{M}])"
+_RUN = re.compile(r"[^\W\d_]+")
 
 
-_PAIRS = [(a, image[0]) for a in map(chr, range(0x370, 0x590)) if (image := whole_image(a * 3))]
+def _candidates(text: str, known: Shapes) -> list[dict[str, str]]:
+    """Words of a folded text that are wholly in look-alikes of another script, with their Latin images."""
+    words = _RUN.findall(text)
+    found = [(w, image) for w in dict.fromkeys(words) if not w.isascii() and (image := known.whole_image(w))]
+    if any(len(w) < 3 for w, _ in found):
+        latin = any(w.isascii() for w in words)
+        whole = {w for w, _ in found}
+        proper = frozenset().union(*(scripts(c) for w in words if w not in whole for c in w))
+        found = [(w, image) for w, image in found if len(w) > 2 or (latin and proper.isdisjoint(scripts(w[0])))]
+    return [{"word": w, "to": image} for w, image in found]
 
 
-def _words(df: DataFrame, column: str, pattern: str) -> DataFrame:
-    return df.select(F.explode(F.expr(f"regexp_extract_all({column}, '{pattern}', 0)")).alias("w"))
-
-
-def _images(batches):
-    for b in batches:
-        image = b["w"].map(whole_image).str.lower()
-        keep = image.notna()
-        yield pd.DataFrame({"w": b["w"][keep], "image": image[keep], "n": b["n"][keep]})
-
-
-def whole_words(values: DataFrame, column: str = "value") -> DataFrame:
-    """(w, image): words wholly in look-alikes, and the word in small letters that the corpus knows them by."""
-    v = values.where(f"{column} is not null")
-    found = _words(v.where(F.col(column).rlike("[\\u0370-\\u03ff\\u0400-\\u058f]{3}")), column, _WHOLE).groupBy("w").agg(F.count("*").alias("n"))
-    found = found.transform(frames, _images, "w string, image string, n bigint")
-    known = _words(v, column, _IMAGE).select(F.lower("w").alias("w")).join(found.select(F.col("image").alias("w")).distinct(), "w", "left_semi").groupBy(F.col("w").alias("image")).agg(F.count("*").alias("m"))
-    return found.join(known, "image").where(F.col("m") >= TIMES * F.col("n")).select("w", "image")
-
-
-def _fold_kernel(model: Plausibility, cases_only: bool):
+def _fold_kernel(sent):
     def run(batches):
-        m, cache = model.value, {}
+        model, known = sent.value
         for b in batches:
             out = []
             for v in b["value"]:
-                if v is None or not SIGNS.search(v):
-                    out.append((v, "", []))
-                    continue
-                r = cache.get(v)
-                if r is None:
-                    if len(cache) > CACHED:
-                        cache.clear()
-                    form, why = fold(v)
-                    whole = _candidates(form)
-                    if (why or whole) and judge(v, m)[0]:
-                        form, why, whole = v, [], []
-                    r = (form, " ".join(why), whole)
-                    if len(v) <= SHORT:
-                        cache[v] = r
-                out.append(r)
-            b = b.assign(form=[x[0] for x in out], why=[x[1] for x in out], whole=[x[2] for x in out])
-            yield b[(b["why"] != "") | (b["whole"].map(len) > 0)] if cases_only else b
+                form, why = fold(v, known, True)
+                whole = _candidates(form, known)
+                out.append((v, form, " ".join(why), whole) if (why or whole) and not judge(v, model)[0] else None)
+            yield pd.DataFrame([x for x in out if x], columns=["value", "form", "why", "whole"])
 
     return run
 
 
-def _candidates(text: str) -> list[str]:
-    return [w for w in re.findall(r"[Ͱ-ϿЀ-֏]{3,}", text) if whole_image(w)]
+def whole_words(values: DataFrame, found: DataFrame) -> DataFrame:
+    """(word): words of ``found`` (word, image, n) whose image the different ``values`` (value) know far better."""
+    latin = values.select(F.explode(F.expr(f"regexp_extract_all(value, '{_LATIN}', 0)")).alias("w")).select(F.lower("w").alias("image"))
+    known = latin.join(bounded(found.select("image").distinct(), WORDS), "image", "left_semi").groupBy("image").agg(F.count("*").alias("m"))
+    return found.join(known, "image").where(F.col("m") >= TIMES * F.col("n")).select("word")
 
 
-def one_form(values: DataFrame, model: Plausibility, cases_only: bool = False) -> DataFrame:
-    """(path, idx, field, value, form, why) for (path, idx, field, value); why is empty where nothing was changed."""
-    sent = values.sparkSession.sparkContext.broadcast(model)
-    v = values.select("path", "idx", "field", "value")
-    rows = v.where(F.col("value").rlike("[^\\x00-\\x7e]")) if cases_only else v
-    schema = "path string, idx int, field string, value string, form string, why string, whole array<string>"
-    folded = rows.transform(frames, _fold_kernel(sent, cases_only), schema)
-    sure = folded.where("size(whole) = 0 or whole is null").select("path", "idx", "field", "value", "form", "why")
+def changed(values: DataFrame, model: Plausibility, known: Shapes | None = None) -> DataFrame:
+    """(value, form, why) of each different value (value) whose form is another."""
+    spark = values.sparkSession
+    sent = spark.sparkContext.broadcast((model, known or shapes(spark)))
+    each = values.where("value <> ''").select("value").distinct()
+    folded = stored(spread(each.where(F.col("value").rlike("[^\\x00-\\x7e]"))).transform(frames, _fold_kernel(sent), "value string, form string, why string, whole array<struct<word:string,to:string>>"))
     open_ = folded.where("size(whole) > 0")
-    words = whole_words(values)
-    key = ["path", "idx", "field", "value"]
-    each = open_.withColumn("word", F.explode("whole")).withColumn("w", F.col("word"))
-    image = F.translate("word", "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS))
-    hit = each.join(bounded(words, WORDS), "w", "left").groupBy(*key).agg(F.first("form").alias("form"), F.first("why").alias("why"), F.collect_set(F.when(F.col("image").isNotNull(), F.struct("word", image.alias("to")))).alias("subs"))
-    done = hit.select(
-        *key,
+    uses = open_.select(F.explode("whole").alias("x")).groupBy(F.col("x.word").alias("word"), F.lower("x.to").alias("image")).agg(F.count("*").alias("n"))
+    words = bounded(stored(whole_words(each, uses)), WORDS)
+    hit = open_.select("value", "form", "why", F.explode("whole").alias("x")).join(words.withColumnRenamed("word", "_w"), F.col("x.word") == F.col("_w"), "left")
+    subs = hit.groupBy("value").agg(F.first("form").alias("form"), F.first("why").alias("why"), F.collect_set(F.when(F.col("_w").isNotNull(), F.col("x"))).alias("subs"))
+    done = subs.select(
+        "value",
         F.expr("aggregate(subs, form, (t, s) -> regexp_replace(t, concat('(?<![\\\\p{L}\\\\p{M}])', s.word, '(?![\\\\p{L}\\\\p{M}])'), s.to))").alias("form"),
         F.concat_ws(" ", F.nullif("why", F.lit("")), F.when(F.size("subs") > 0, "script")).alias("why"),
     )
-    done = sure.unionByName(done)
-    return done.where("why <> ''") if cases_only else done
+    return folded.where("size(whole) = 0 or whole is null").select("value", "form", "why").unionByName(done).where("why <> ''")
 
 
+def one_form(values: DataFrame, model: Plausibility) -> DataFrame:
+    """(path, idx, field, value, form, why) for (path, idx, field, value); why is empty where nothing was changed."""
+    new = bounded(stored(changed(values.select("value"), model)), WORDS)
+    rows = values.select("path", "idx", "field", "value").join(new, "value", "left")
+    return rows.select("path", "idx", "field", "value", F.coalesce("form", "value").alias("form"), F.coalesce("why", F.lit("")).alias("why"))
 
 
 def values_of(layers: DataFrame, text_layers: DataFrame) -> DataFrame:
@@ -115,5 +97,6 @@ def values_of(layers: DataFrame, text_layers: DataFrame) -> DataFrame:
 
 def disguised(layers: DataFrame, text_layers: DataFrame, model: Plausibility) -> DataFrame:
     """(path, idx, field, value, form, why) once per disguised value."""
-    found = one_form(values_of(layers, text_layers), model, cases_only=True)
+    values = values_of(layers, text_layers)
+    found = values.join(bounded(stored(changed(values.select("value"), model)), WORDS), "value")
     return found.groupBy("path", "idx", "field").agg(F.min(F.struct("value", "form", "why")).alias("m")).select("path", "idx", "field", "m.*")

@@ -122,6 +122,21 @@ def test_fold(text, form, why):
     assert confusables.fold(text) == (form, why)
 
 
+@pytest.mark.parametrize("text,form", [("l\u0251yer", "layer"), ("\u13deayer", "Layer"), ("\U0001d400\U0001d401", "AB"), ("\ufb01le", "file"), ("\u2173", "iv"), ("l\u0430yer\u30c6", "layer\u30c6"), ("\u2460\u339c", "\u2460\u339c"), ("\u03a9mega", "\u03a9mega"), ("\u02a4\u026a\u0259", "\u02a4\u026a\u0259"), ("\u05e9\u05dc\u05d5\u05dd", "\u05e9\u05dc\u05d5\u05dd"), ("\uff2c\u0430yer", "Layer")])
+def test_fold_with_all_shapes(spark, text, form):
+    known = confusables.shapes(spark)
+    assert confusables.fold(text, known, True)[0] == form
+    assert confusables.fold(form, known, True)[0] == form
+
+
+def test_every_letter_with_a_look_alike_is_found_within_a_word(spark):
+    """Each look-alike of an everyday Latin letter, put into Latin words in its place."""
+    known = confusables.shapes(spark)
+    alike = [(c, i["LATIN"]) for c, i in known.image.items() if "LATIN" in i and i["LATIN"].isascii() and "LATIN" not in confusables.scripts(c)]
+    right = sum(confusables.fold(f"wrd{c}q", known)[0] == f"wrd{b}q" for c, b in alike)
+    assert len(alike) > 150 and right >= 0.99 * len(alike)
+
+
 def test_fold_is_stable():
     rng = random.Random(4)
     chars = "abe\u0301\u200b\u3000\uff21\uff76\uff9e\u0430\u0435\u03bf\ub80c\u1105\u11ab\U0001f469\u200d\ufe0f\r"
@@ -134,7 +149,8 @@ def test_fold_is_stable():
 def test_disguised_rows(spark):
     good = names()
     texts = spark.createDataFrame([("t", 0, "a line\r", "x"), ("t", 0, "a line\r", "y"), ("t", 1, None, ""), ("t", 2, "", ""), ("t", 3, "\U0001f469\u200d\U0001f3a8\r", ""), (None, 4, "\u200b", ""), ("t", 5, "x\u200b" * 20_000, "")], "path string, idx int, text string, value string")
-    whole = "".join({"c": "с", "o": "о", "p": "р", "y": "у"}[c] for c in "copy")
+    swap = {"c": "с", "o": "о", "p": "р", "y": "у", "e": "е", "x": "х"}
+    whole = "".join(swap[c] for c in "copy")
     bad = "promoção edição".encode().decode("cp1252")
     df = layers(spark, [*good, f"logo {whole}", bad, "b\u0430nner", None])
     m = mojibake.plausibility(df, ["layer_name", "name_unicode"])
