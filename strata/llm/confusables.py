@@ -40,15 +40,20 @@ def scripts(c: str) -> frozenset[str]:
     if name.startswith("KATAKANA-HIRAGANA"):
         return frozenset(("KATAKANA", "HIRAGANA"))
     first, _, rest = name.partition(" ")
-    known = re.search("LETTER|SYLLAB|IDEOGRAPH|LIGATURE", rest) and first not in ("MATHEMATICAL", "FULLWIDTH", "HALFWIDTH", "MODIFIER")
+    known = re.search("LETTER|SYLLAB|IDEOGRAPH|LIGATURE|SIGMA|SYMBOL", rest) and first not in ("MATHEMATICAL", "FULLWIDTH", "HALFWIDTH", "MODIFIER")
     return frozenset((first,)) if known else frozenset()
 
 
+#: Words whose form a table of shapes remembers.
+REMEMBERED = 100_000
+
+
 class Shapes:
     """Letters and their look-alikes by script; ``classes`` are further groups of letters that look the same."""
 
     def __init__(self, classes: list[str] = ()):
         self.image: dict[str, dict[str, str]] = {}
+        self.seen: dict[str, str] = {}
         for script, pairs in _TO_LATIN.items():
             for a, b in pairs.items():
                 self._add(a, "LATIN", b)
@@ -72,6 +77,17 @@ class Shapes:
         self.image.setdefault(c, {}).setdefault(script, image)
 
     def one_script(self, word: str) -> str:
+        """:meth:`_one_script`, remembered for short words."""
+        form = self.seen.get(word)
+        if form is None:
+            form = self._one_script(word)
+            if len(word) <= 40:
+                if len(self.seen) >= REMEMBERED:
+                    self.seen.clear()
+                self.seen[word] = form
+        return form
+
+    def _one_script(self, word: str) -> str:
         """The word with its look-alikes in the script that all its letters can have; itself if it has one script or if
         there is none."""
         letters = [c for c in word if ud.category(c)[0] == "L"]
@@ -99,7 +115,7 @@ class Shapes:
 
     def whole_image(self, word: str) -> str | None:
         """The Latin image of a word wholly in the look-alikes of one other script, or None."""
-        if not word or not (common := frozenset.intersection(*map(scripts, word))) or "LATIN" in common:
+        if not word or "LATIN" not in self.image.get(word[0], ()) or not (common := frozenset.intersection(*map(scripts, word))) or "LATIN" in common:
             return None
         out = [self.image.get(c, {}).get("LATIN") for c in word]
         return None if None in out else "".join(out)
@@ -123,13 +139,13 @@ _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180
 _BLANK = re.compile("[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WIDE = re.compile("[\uff01-\uff9f\uffa1-\uffef]+")
 #: Anything that may need work: a text without these is its own form.
-SIGNS = re.compile("[\u00a0\u00ad\u0250-\u02af\u0300-\u052f\u0530-\u058f\u0591-\u065f\u0670-\u0711\u0900-\u1fff\u2000-\u200f\u2028-\u202f\u205f-\u206f\u20d0-\u20ff\u2100-\u2188\u2c00-\u2cff\u3000\u302a-\u302f\u3099-\u309c\u3130-\u318f\ua4d0-\ua4ff\ua640-\ua69f\uab30-\uabbf\ufb00-\ufb06\ufe00-\ufe0f\ufe20-\ufe2f\ufeff-\uffef\ufff9-\ufffb\U00010000-\U0010ffff]")
+SIGNS = re.compile("[\u00a0\u00ad\u0250-\u02af\u0300-\u052f\u0530-\u058f\u0591-\u065f\u0670-\u0711\u0900-\u1fff\u2000-\u200f\u2028-\u202f\u205f-\u206f\u20d0-\u20ff\u2100-\u2188\u2c00-\u2dff\u3000\u302a-\u302f\u3099-\u309c\u3130-\u318f\ua4d0-\ua4ff\ua640-\ua69f\uab30-\uabbf\ufb00-\ufb06\ufe00-\ufe0f\ufe20-\ufe2f\ufeff-\uffef\ufff9-\ufffb\U00010000-\U0010ffff]")
 _CJK = re.compile("[\u1100-\u11ff\u3005\u3040-\u318f\u31a0-\u31ff\u3400-\u9fff\ua960-\ua97f\uac00-\ud7ff\uf900-\ufaff]")
 _WORD = re.compile("(?:(?![\u1100-\u11ff\u3005\u3040-\u318f\u31a0-\u31ff\u3400-\u9fff\ua960-\ua97f\uac00-\ud7ff\uf900-\ufaff])[^\\W\\d_]|(?<=\\w)[\u0300-\u036f])+")
 _STYLED = re.compile("[\u2100-\u2188\ufb00-\ufb06\U0001d400-\U0001d7ff\U0001ee00-\U0001eeff]")
 _PHONETIC = re.compile("[\u0250-\u02af]")
 #: Letters that may be look-alikes of others: all alphabets but the plain Latin one.
-_FOREIGN = re.compile("[\u0250-\u02af\u0370-\u058f\u10a0-\u10ff\u13a0-\u1aff\u1c80-\u1c8f\u1d00-\u1dbf\u1f00-\u1fff\u2c00-\u2dff\ua4d0-\ua4ff\ua500-\ua69f\uab30-\uabbf\U00010000-\U0001ffff]")
+_FOREIGN = re.compile("[\u0250-\u02af\u0370-\u058f\u0d00-\u0d7f\u1000-\u10ff\u13a0-\u1aff\u1c80-\u1c8f\u1d00-\u1dbf\u1f00-\u1fff\u2c00-\u2dff\ua4d0-\ua4ff\ua500-\ua69f\uab30-\uabbf\U00010000-\U0001ffff]")
 _KANA_MARK = re.compile("([\u3041-\u30ff])([\u309b\u309c])")
 
 
