@@ -4,8 +4,9 @@ Kinds and their common units: lengths in pixels of their file, angles in degrees
 dots per inch. A unit stands in the unit column, or in the text column (alone or behind a number, with a point or a
 comma before the decimals), or nowhere. Where it stands nowhere it is assigned: for each quantity name, the log of the
 values with known units gives the expected distribution, each candidate unit is a component of it shifted by the log of
-its conversion factor, EM over log-scale bins fits the weights of the components, and the unit of the highest posterior
-is taken. A posterior below ``CERTAIN`` is flagged as uncertain.
+its conversion factor, EM over log-scale bins fits the weights of the components and the distribution, and the unit of
+the highest posterior is taken. A name without any known unit takes the model of all names that end like it. A posterior
+below ``CERTAIN`` is flagged as uncertain.
 
 Results for odd input: a null, NaN or infinite number, and a text without a number, give a null value; an unknown unit
 word counts as no unit; zero and negative numbers have no log and keep the assignment of weight alone; a leaf id that
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.session import bounded
+from strata.session import bounded, stored
 
 #: Unit -> (kind, factor to the common unit; lengths to inches, pixels apart).
 UNITS = {
@@ -105,23 +106,38 @@ def _once(leaves: DataFrame) -> DataFrame:
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Weights and log-scale distribution of one quantity name; one row per candidate unit."""
+    """Weights and log-scale distribution of one quantity name; one row per candidate unit. The distribution starts from the
+    values with known units, and takes the others in by their posteriors."""
     kind = pdf["kind"].iloc[0]
     known, free = pdf[pdf["known"]], pdf[~pdf["known"]]
     x, n = known["bin"].to_numpy(float) * BIN, known["n"].to_numpy(float)
-    mu = float((x * n).sum() / n.sum())
-    sd = max(float(np.sqrt((((x - mu) ** 2) * n).sum() / n.sum())), BIN)
+    y, m = free["bin"].to_numpy(float) * BIN, free["n"].to_numpy(float)
     units = CANDIDATES[kind]
     shift = np.array([0.0 if UNITS[u][1] is None else math.log(UNITS[u][1] * (DEFAULT_DPI if kind == "length" else 1)) for u in units])
+    moved = y[:, None] + shift[None, :]
     w = np.full(len(units), 1 / len(units))
-    y, m = free["bin"].to_numpy(float) * BIN, free["n"].to_numpy(float)
-    if m.sum():
-        like = np.exp(-0.5 * ((y[:, None] + shift[None, :] - mu) / sd) ** 2) + 1e-300
-        for _ in range(EM_ROUNDS):
-            post = w * like
-            post /= post.sum(axis=1, keepdims=True)
-            w = ((post * m[:, None]).sum(axis=0) + 1) / (m.sum() + len(units))
-    return pd.DataFrame({"jpath": pdf["jpath"].iloc[0], "kind": kind, "cand": units, "weight": w, "mu": mu, "sd": sd})
+    share = np.zeros_like(moved)
+    for _ in range(EM_ROUNDS if m.sum() else 1):
+        total = n.sum() + share.sum()
+        mu = float(((x * n).sum() + (moved * share).sum()) / total)
+        sd = max(float(np.sqrt(((((x - mu) ** 2) * n).sum() + (((moved - mu) ** 2) * share).sum()) / total)), BIN)
+        post = w * (np.exp(-0.5 * ((moved - mu) / sd) ** 2) + 1e-300)
+        post /= post.sum(axis=1, keepdims=True)
+        share = post * m[:, None]
+        w = (share.sum(axis=0) + 1) / (m.sum() + len(units))
+    return pd.DataFrame({"name": pdf["name"].iloc[0], "kind": kind, "cand": units, "weight": w, "mu": mu, "sd": sd})
+
+
+def _models(q: DataFrame, per: Column) -> DataFrame:
+    """(name, k, c): kind and candidates of each quantity name, and of each last part of names, for those that have no value
+    with a unit of their own."""
+    names = F.array(F.col("jpath"), F.concat(F.lit("*."), F.substring_index("jpath", ".", -1)))
+    bins = q.where((per > 0) & F.col("jpath").isNotNull()).groupBy("jpath", "kind", F.floor(F.log(per) / BIN).alias("bin")).agg(F.count("*").alias("n"))
+    bins = bins.select(F.explode(names).alias("name"), "kind", "bin", "n").groupBy("name", "kind", "bin").agg(F.sum("n").alias("n"))
+    of = bins.where("kind is not null").groupBy("name", "kind").agg(F.sum("n").alias("s")).groupBy("name").agg(F.max_by("kind", F.struct("s", "kind")).alias("k"))
+    hist = bins.join(of, "name").where("kind is null or kind = k").select("name", F.col("k").alias("kind"), F.col("kind").isNotNull().alias("known"), "bin", "n")
+    model = hist.groupBy("name").applyInPandas(_fit, "name string, kind string, cand string, weight double, mu double, sd double")
+    return model.groupBy("name").agg(F.first("kind").alias("k"), F.array_sort(F.collect_list(F.struct("cand", "weight", "mu", "sd"))).alias("c"))
 
 
 def common_units(leaves: DataFrame, headers: DataFrame) -> DataFrame:
@@ -134,6 +150,7 @@ def common_units(leaves: DataFrame, headers: DataFrame) -> DataFrame:
         F.coalesce(_finite(F.col("val").cast("double")), number_in(text)).alias("num"),
         F.when(_lookup(said, 0).isNotNull(), said).alias("said"),
     ).withColumn("kind", _lookup(F.col("said"), 0)).join(resolutions(headers).select("path", "dpi"), "path", "left")
+    q = stored(q)  # read for the models and for the result
     dpi = F.coalesce("dpi", F.lit(DEFAULT_DPI))
 
     def value(unit: Column) -> Column:
@@ -142,32 +159,26 @@ def common_units(leaves: DataFrame, headers: DataFrame) -> DataFrame:
         return F.when(_lookup(unit, 0) == "length", length).otherwise(F.col("num") * f)
 
     q = q.withColumn("v", value(F.col("said")))
-    # expected distribution and candidates of each quantity name, from a histogram of the logs; a file's dots per inch
-    # are taken out of the unassigned values, which makes the components fixed offsets
+    # a file's dots per inch are taken out of the unassigned values, which makes the components fixed offsets
     per = F.when(F.col("said").isNull(), F.col("num") * dpi / DEFAULT_DPI).otherwise(F.col("v"))
-    bins = q.where(per > 0).groupBy("jpath", "kind", F.floor(F.log(per) / BIN).alias("bin")).agg(F.count("*").alias("n"))
-    of = bins.where("kind is not null").groupBy("jpath", "kind").agg(F.sum("n").alias("s")).groupBy("jpath").agg(F.max_by("kind", "s").alias("k"))
-    hist = bins.join(bounded(of), "jpath").where("kind is null or kind = k").select("jpath", F.col("k").alias("kind"), F.col("kind").isNotNull().alias("known"), "bin", "n")
-    model = hist.groupBy("jpath").applyInPandas(_fit, "jpath string, kind string, cand string, weight double, mu double, sd double")
-    cands = model.groupBy("jpath").agg(F.first("kind").alias("k"), F.collect_list(F.struct("cand", "weight", "mu", "sd")).alias("c"))
-    q = q.join(bounded(cands), "jpath", "left")
+    models = stored(_models(q, per))
+    free = q.where("said is null and num is not null")
+    own = free.join(bounded(models.withColumnRenamed("name", "jpath")), "jpath", "left")
+    pooled = models.select(F.col("name").alias("_last"), F.col("k").alias("_k"), F.col("c").alias("_c")).where("_last like '*.%'")
+    own = own.withColumn("_last", F.concat(F.lit("*."), F.substring_index("jpath", ".", -1))).join(bounded(pooled), "_last", "left")
+    own = own.withColumn("k", F.coalesce("k", "_k")).withColumn("c", F.coalesce("c", "_c"))
 
     shift = lambda c: F.coalesce(F.log(_lookup(c["cand"], 1) * F.when(F.col("k") == "length", dpi).otherwise(1.0)), F.lit(0.0))
     z = lambda c: F.when(F.col("num") > 0, (F.log("num") + shift(c) - c["mu"]) / c["sd"]).otherwise(0.0)
     score = F.transform("c", lambda c: F.struct((c["weight"] * F.exp(-0.5 * z(c) * z(c)) + 1e-300).alias("p"), c["cand"].alias("u")))
-    free = F.col("said").isNull() & F.col("num").isNotNull() & F.col("c").isNotNull()
-    q = q.withColumn("best", F.when(free, F.array_max(score))).withColumn("total", F.when(free, F.aggregate(score, F.lit(0.0), lambda a, s: a + s["p"])))
-    post = F.when(F.col("said").isNotNull(), 1.0).otherwise(F.col("best.p") / F.col("total"))
-    kind = F.coalesce("kind", "k")
-    return q.withColumn("used", F.coalesce("said", "best.u")).select(
-        "leaf_id", "path", "idx", "jpath", "source",
-        F.when(F.col("used").isNotNull(), kind).alias("kind"),
-        "num", F.col("used").alias("unit_used"),
-        F.coalesce("v", value(F.col("used"))).alias("value"),
-        F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])[F.when(F.col("used").isNotNull(), kind)].alias("common_unit"),
-        (F.col("said").isNotNull() & F.col("num").isNotNull()).alias("stated"),
-        post.alias("posterior"),
-        (F.coalesce(post, F.lit(0.0)) < CERTAIN).alias("uncertain"),
+    own = own.withColumn("best", F.array_max(score)).withColumn("used", F.col("best.u")).withColumn("posterior", F.col("best.p") / F.aggregate(score, F.lit(0.0), lambda a, s: a + s["p"]))
+    key = ["leaf_id", "path", "idx", "jpath", "source", "num", "dpi"]
+    rest = q.where("said is not null or num is null").select(*key, "kind", F.col("said").alias("used"), F.when(F.col("said").isNotNull(), 1.0).alias("posterior"), (F.col("said").isNotNull() & F.col("num").isNotNull()).alias("stated"))
+    every = rest.unionByName(own.select(*key, F.when(F.col("used").isNotNull(), F.col("k")).alias("kind"), "used", "posterior", F.lit(False).alias("stated")))
+    return every.select(
+        "leaf_id", "path", "idx", "jpath", "source", "kind", "num", F.col("used").alias("unit_used"), value(F.col("used")).alias("value"),
+        F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])[F.col("kind")].alias("common_unit"),
+        "stated", "posterior", (F.coalesce("posterior", F.lit(0.0)) < CERTAIN).alias("uncertain"),
     )
 
 
