@@ -4,7 +4,9 @@ Each node names its parent within its tree key. Nodes are cut into blocks of con
 size is split over tasks. In a block, a weighted disjoint-set forest (parent link of weight 1, path compression) gives
 every node its local root and its distance to it; a link that closes on its own root is a loop. What leaves a block is
 a link from a local root to a node elsewhere. These links are merged in two wider levels (256 blocks, then the whole
-tree) by the same forest with the distances as weights. Only nodes that another block points to take part in that.
+tree) by the same forest with the distances as weights. Only nodes that another block points to take part in that, and
+in the last level only those that another 256 blocks point to. Paths are made by walking the parents of each node; they
+leave the kernels in frames of ``HELD`` ids, however deep a tree is.
 
 Results for odd input: rows without tree key or id are left out; a repeated (key, id) counts once, the first row by
 ``order`` wins, then the smallest parent; a parent of -1 or null is the top level; a parent that is not there ends the
@@ -21,13 +23,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.session import frames
+from strata.session import frames, stored
 
 #: Ids per block, and blocks per block of the next level.
 BLOCK = 1 << 16
 FANOUT = 256
+#: Ids of paths that a kernel holds before it hands them on.
+HELD = 1 << 20
 
-_SCHEMA = "path string, idx int, root int, dist int, out int, cycle_idx int, chain array<int>"
+#: ``low`` is the smallest id on the way from a node to its local root.
+_SCHEMA = "path string, idx int, root int, dist int, out int, cycle_idx int, low int, chain array<int>"
 
 
 def forest(ids: list[int], links: list[int | None], weights: list[int]) -> tuple[dict[int, int], list[int], list[int], dict[int, int]]:
@@ -84,10 +89,53 @@ def _complete(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.D
         yield rest
 
 
+class _Rows:
+    """Rows of the schema, handed on in frames that hold at most about ``HELD`` ids of paths."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.cols: list[list] = [[] for _ in range(8)]
+        self.held = 0
+
+    def add(self, *row) -> bool:
+        for c, v in zip(self.cols, row):
+            c.append(v)
+        self.held += len(row[-1] or ())
+        return self.held >= HELD
+
+    def frame(self) -> pd.DataFrame:
+        names = ["path", "idx", "root", "dist", "out", "cycle_idx", "low", "chain"]
+        made = pd.DataFrame({n: pd.Series(c, dtype=object) if n in ("path", "chain") else pd.array(c, dtype="Int32") for n, c in zip(names, self.cols)})
+        self.clear()
+        return made
+
+
+def _lowest(ids: list[int], ups: list[int | None], own: list[int]) -> list[int]:
+    """The smallest of ``own`` on the way of each node up to the end, ``ups`` being positions; no loops."""
+    low: list[int | None] = [None] * len(ids)
+    for k in range(len(ids)):
+        way, x = [], k
+        while x is not None and low[x] is None:
+            way.append(x)
+            x = ups[x]
+        least = None if x is None else low[x]
+        for y in reversed(way):
+            least = own[y] if least is None else min(least, own[y])
+            low[y] = least
+    return low
+
+
+def _ups(at: dict[int, int], roots: list[int], links: list[int | None]) -> list[int | None]:
+    """The position of each node's parent in the block; None for local roots."""
+    return [None if roots[k] == k else at[links[k]] for k in range(len(links))]
+
+
 def _block_kernel(with_chain: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = _Rows()
         for b in _complete(batches, ["path", "block"]):
-            cols: list[list] = [[] for _ in range(7)]
             paths, blocks = b["path"].tolist(), b["block"].tolist()
             idx, parent = b["idx"].tolist(), b["parent"].tolist()
             start, n = 0, len(paths)
@@ -98,64 +146,56 @@ def _block_kernel(with_chain: bool):
                 ids = idx[start:end]
                 links = [None if p < 0 else p for p in parent[start:end]]
                 at, roots, dist, loops = forest(ids, links, [1] * len(ids))
+                ups = _ups(at, roots, links)
+                low = _lowest(ids, ups, ids)
                 for k, x in enumerate(ids):
                     r = roots[k]
                     loop = loops.get(r)
                     chain = None
                     if with_chain and loop is None:
-                        chain, y = [x], k
-                        while y != r:
-                            y = at[links[y]]
+                        chain, y = [x], ups[k]
+                        while y is not None:
                             chain.append(ids[y])
-                    out = links[r] if loop is None else None
-                    for c, v in zip(cols, (paths[start], x, ids[r], dist[k], out, loop, chain)):
-                        c.append(v)
+                            y = ups[y]
+                    if out.add(paths[start], x, ids[r], dist[k], links[r] if loop is None else None, loop, low[k], chain):
+                        yield out.frame()
                 start = end
-            yield _frame(cols)
+            yield out.frame()
 
     return run
 
 
-def _frame(cols: list[list]) -> pd.DataFrame:
-    names = ["path", "idx", "root", "dist", "out", "cycle_idx", "chain"]
-    return pd.DataFrame({n: pd.array(c, dtype="Int32") if n in ("out", "cycle_idx", "root", "dist") else pd.Series(c, dtype=object if n in ("path", "chain") else "int32") for n, c in zip(names, cols)})
-
-
 def _merge_kernel(with_chain: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = _Rows()
         for b in _complete(batches, ["path", "block"]):
-            cols: list[list] = [[] for _ in range(7)]
             for path, g in b.groupby(["path", "block"], sort=False):
                 ids = g["idx"].tolist()
-                out = [None if pd.isna(x) else int(x) for x in g["out"]]
-                loop0 = [None if pd.isna(x) else int(x) for x in g["cycle_idx"]]
-                hop = [int(d) + 1 for d in g["dist"]]
+                whole = lambda c, g=g: [None if pd.isna(x) else int(x) for x in g[c]]
+                out, loop0, far, rts, own = (whole(c) for c in ("out", "cycle_idx", "dist", "root", "low"))
                 chains = g["chain"].tolist()
-                rts = g["root"].tolist()
-                at, roots, dist, loops = forest(ids, out, hop)
-                # the smallest id of a loop over several blocks is on the chains between its entries
+                at, roots, dist, loops = forest(ids, out, [d + 1 for d in far])
+                # a loop over several blocks passes through the whole way of each of its entries
                 for r in list(loops):
-                    least, x = None, r
-                    while True:
-                        here = min(int(v) for v in chains[x]) if chains[x] is not None else ids[x]
-                        least = here if least is None else min(least, here)
+                    least, x = own[r], at[out[r]]
+                    while x != r:
+                        least = min(least, own[x])
                         x = at[out[x]]
-                        if x == r:
-                            break
                     loops[r] = least
+                ups = _ups(at, roots, out)
+                low = _lowest(ids, ups, own)
                 for k, x in enumerate(ids):
                     r = roots[k]
                     loop = loops.get(r, loop0[r])
                     chain = None
-                    if loop is None:
-                        chain, y = list(chains[k]), k
-                        while y != r:
-                            y = at[out[y]]
-                            chain += list(chains[y])
-                    last = None if loop is not None else out[r]
-                    for c, v in zip(cols, (path[0], x, int(rts[r]), dist[k] + int(g["dist"].iloc[r]), last, loop, chain)):
-                        c.append(v)
-            yield _frame(cols)
+                    if with_chain and loop is None:
+                        chain, y = list(chains[k]), ups[k]
+                        while y is not None:
+                            chain += chains[y].tolist()
+                            y = ups[y]
+                    if rows.add(path[0], x, rts[r], dist[k] + far[r], None if loop is not None else out[r], loop, low[k], chain):
+                        yield rows.frame()
+            yield rows.frame()
 
     return run
 
@@ -179,21 +219,38 @@ def hierarchy(df: DataFrame, path: str = "path", idx: str = "idx", parent: str =
     local = _run(nodes, F.floor(F.col("idx") / size), _block_kernel(with_chain))
     # only trees with ids beyond the first block have links between blocks; for all others the rest is empty
     wide = nodes.where((F.col("idx") >= size) | (F.col("parent") >= size)).select("path").distinct()
-    crossing = _run(nodes.join(wide, "path", "left_semi"), F.floor(F.col("idx") / size), _block_kernel(True))
-    targets = crossing.where("out is not null").select("path", F.col("out").alias("idx")).distinct()
-    entries = crossing.join(targets, ["path", "idx"], "left_semi")
-    merged = _run(entries, F.floor(F.col("idx") / F.lit(BLOCK * FANOUT)), _merge_kernel(True))
-    merged = _run(merged, F.lit(0), _merge_kernel(True))
-    e = merged.select("path", F.col("idx").alias("out"), F.col("root").alias("e_root"), F.col("dist").alias("e_dist"), F.col("cycle_idx").alias("e_cycle"), F.col("chain").alias("e_chain"))
-    joined = local.join(e, ["path", "out"], "left")
-    cycle = F.coalesce("cycle_idx", "e_cycle")
-    chain = F.when(cycle.isNotNull() | F.lit(not with_chain), F.lit(None)).otherwise(F.reverse(F.concat(F.col("chain"), F.coalesce("e_chain", F.array().cast("array<int>")))))
+    crossing = _run(nodes.join(wide, "path", "left_semi"), F.floor(F.col("idx") / size), _block_kernel(with_chain))
+    first = _run(_entered(crossing), F.floor(F.col("idx") / F.lit(BLOCK * FANOUT)), _merge_kernel(with_chain))
+    last = _run(_entered(first), F.lit(0), _merge_kernel(with_chain))
+    joined = _beyond(local, _beyond(first, last, with_chain), with_chain)
+    open_ = F.col("cycle_idx").isNull()
     return joined.select(
         "path", "idx",
-        F.when(cycle.isNull(), F.coalesce("e_root", "root")).alias("root"),
-        F.when(cycle.isNull(), F.col("dist") + F.coalesce(F.col("e_dist") + 1, F.lit(0))).alias("depth"),
-        cycle.alias("cycle_idx"),
-        chain.alias("chain"),
+        F.when(open_, F.col("root")).alias("root"),
+        F.when(open_, F.col("dist")).alias("depth"),
+        "cycle_idx",
+        F.when(open_ & F.lit(with_chain), F.reverse("chain")).alias("chain"),
+    )
+
+
+def _entered(rows: DataFrame) -> DataFrame:
+    """The rows that links from other blocks point to."""
+    targets = rows.where("out is not null").select("path", F.col("out").alias("idx")).distinct()
+    return rows.join(targets, ["path", "idx"], "left_semi")
+
+
+def _beyond(rows: DataFrame, entries: DataFrame, with_chain: bool) -> DataFrame:
+    """Rows with what lies behind the link that leaves their block."""
+    e = entries.select("path", F.col("idx").alias("out"), *[F.col(c).alias(f"e_{c}") for c in ("root", "dist", "cycle_idx", "chain")])
+    j = rows.join(e, ["path", "out"], "left")
+    return j.select(
+        "path", "idx",
+        F.coalesce("e_root", "root").alias("root"),
+        (F.col("dist") + F.coalesce(F.col("e_dist") + 1, F.lit(0))).alias("dist"),
+        F.lit(None).cast("int").alias("out"),
+        F.coalesce("cycle_idx", "e_cycle_idx").alias("cycle_idx"),
+        "low",
+        F.when(F.lit(with_chain), F.concat("chain", F.coalesce("e_chain", F.array().cast("array<int>")))).alias("chain"),
     )
 
 
@@ -222,6 +279,7 @@ def described(tree: DataFrame, df: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("ingested_at", "layer_id", "layer_type", F.coalesce("name_unicode", "layer_name").alias("name"))).alias("m"))
         .select("path", "idx", "m.layer_id", "m.layer_type", "m.name")
     )
+    tree = stored(tree)  # read for the rows and for the counts
     below = descendants(tree).groupBy("path", F.col("ancestor").alias("idx")).agg(F.count("*").alias("n_below"))
     folders = F.when(F.col("cycle_idx").isNull(), F.slice("chain", F.lit(1), F.col("depth")))
     return tree.join(own, ["path", "idx"]).join(below, ["path", "idx"], "left").select(

@@ -68,3 +68,16 @@ def test_descendants(spark):
     tree = H.hierarchy(spark.createDataFrame([("a", 0, -1, 1, ""), ("a", 1, 0, 1, ""), ("a", 2, 1, 1, "")], SCHEMA))
     got = {(r["ancestor"], r["idx"], r["distance"]) for r in H.descendants(tree).collect()}
     assert got == {(0, 1, 1), (0, 2, 2), (1, 2, 1)}
+
+
+def test_deep_chains_leave_in_small_frames(monkeypatch):
+    """A chain of thousands in one block: no frame holds more than HELD ids and one path."""
+    import pandas as pd
+
+    monkeypatch.setattr(H, "HELD", 20_000)
+    n = 3000
+    b = pd.DataFrame({"path": "a", "block": 0, "idx": range(n), "parent": [k - 1 for k in range(n)]})
+    frames = list(H._block_kernel(True)(iter([b])))
+    assert sum(map(len, frames)) == n and max(sum(map(len, f["chain"])) for f in frames) < 20_000 + n
+    (plain,) = [f for f in H._block_kernel(False)(iter([b])) if len(f)]
+    assert plain["chain"].isna().all() and plain["dist"].tolist() == list(range(n)) and set(plain["low"]) == {0}
