@@ -33,6 +33,8 @@ NGRAM = 3
 SEED_BITS = 40.0
 #: Words that a chain of seeds in a band must cover, the words between them taken off; half of a short item is enough.
 CHAIN = 8
+#: Slots in which the hits of bands are counted before they are sorted.
+SLOTS = 1 << 22
 #: More than the chains of one group can rise or fall.
 APART = 1 << 34
 #: Diagonals of a band; bands overlap by half.
@@ -151,12 +153,19 @@ def regions(items: Items, words: np.ndarray, starts: np.ndarray, bits: np.ndarra
     text = np.searchsorted(starts, at, side="right") - 1
     diagonal = at - place
     total = np.concatenate([[0.0], np.cumsum(np.where(words >= 0, bits[words], 0.0))])
-    found = []
+    need = np.minimum(CHAIN, -(-items.sizes // 2))
+    least, found = -(-need // NGRAM), []
     for shift in (0, BAND // 2):
         band = (diagonal + shift) // BAND
-        order = np.lexsort((at, band, item, text))
+        key = (text * len(items.sizes) + item) * (int(band.max() - band.min()) + 1) + band - band.min()
+        # most bands hold fewer hits than a chain needs; hashed counts are never too low
+        slot = key % SLOTS
+        kept = np.flatnonzero(np.bincount(slot, minlength=SLOTS)[slot] >= least[item])
+        if not len(kept):
+            continue
+        order = kept[np.argsort(key[kept], kind="stable")]  # hits come in the order of their places
         t, i, d, p = text[order], item[order], band[order], at[order]
-        new = np.r_[True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (d[1:] != d[:-1])]
+        new = np.r_[True, np.diff(key[order]) != 0]
         # what a hit covers beyond the one before it, less the words between the two
         last = np.where(new, p, np.r_[0, p[:-1] + NGRAM])
         begin, starting = np.maximum(p, last), np.flatnonzero(new)
@@ -165,11 +174,13 @@ def regions(items: Items, words: np.ndarray, starts: np.ndarray, bits: np.ndarra
         low = np.minimum.accumulate(rise - gain - group * APART) + group * APART
         chain = np.maximum.reduceat(rise - low, starting)
         rare = np.bincount(group, total[p + NGRAM] - total[begin]) >= SEED_BITS
-        enough = (chain >= np.minimum(CHAIN, -(-items.sizes[i[starting]] // 2))) & (rare | (chain >= RUN))
+        enough = (chain >= need[i[starting]]) & (rare | (chain >= RUN))
         first = starting[enough]
         size = items.sizes[i[first]]
         found.append(np.stack([t[first], i[first], (d[first] * BAND - shift) // size], axis=1))
     out = []
+    if not found:
+        return out
     for t, i, k in np.unique(np.concatenate(found), axis=0).tolist():
         n = int(items.sizes[i])
         a, b = max(int(starts[t]), (k - 1) * n), min(int(starts[t + 1]) - 1, (k + 3) * n + BAND)
