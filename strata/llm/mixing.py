@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strata.session import frames, stored
+from strata.session import bounded, frames, stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level BPE splits text before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUCKETS = 1024
+#: Messages per hash bucket of a line, and buckets at least.
+PER_BUCKET, BUCKETS = 4096, 1024
+#: Up to so many rows of buckets are sent to all tasks; more are joined by shuffle.
+STARTS = 100_000
 SEED = 7
 
 
@@ -132,8 +135,10 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     # a message once per source; its size is that of the largest copy, so that no quota is passed unseen
     copies = known.groupBy("message", "source").agg(F.min(F.struct("doc_id", "n_tokens")).alias("m")).select("message", "source", "m.*")
     groups = copies.groupBy("message").agg(F.array_sort(F.collect_set("source")).alias("pattern"), F.max("n_tokens").alias("n_tokens"))
-    groups = groups.withColumn("key", F.xxhash64(F.lit(seed), "message")).withColumn("bucket", F.pmod(F.shiftright("key", 20), F.lit(BUCKETS)))
-    buckets = stored(groups.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("s")))  # at most 2^sources x BUCKETS rows
+    groups = stored(groups.withColumn("key", F.xxhash64(F.lit(seed), "message")))
+    n_buckets = max(BUCKETS, -(-groups.count() // PER_BUCKET))
+    groups = groups.withColumn("bucket", F.pmod(F.shiftright("key", 20), F.lit(n_buckets)))
+    buckets = stored(groups.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("s")))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = buckets.withColumn("before", before)
     sizes = {tuple(r["pattern"]): int(r["s"]) for r in buckets.groupBy("pattern").agg(F.sum("s").alias("s")).toLocalIterator()}
@@ -147,7 +152,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     schema = T.StructType([T.StructField("pattern", T.ArrayType(T.StringType())), T.StructField("source", T.StringType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("size", T.LongType())])
     lines = F.broadcast(spark.createDataFrame(stretches, schema))  # at most patterns x sources rows
     within = F.sum("n_tokens").over(Window.partitionBy("pattern", "bucket").orderBy("key", "message").rowsBetween(Window.unboundedPreceding, -1))
-    placed = groups.withColumn("within", F.coalesce(within, F.lit(0))).join(F.broadcast(starts.select("pattern", "bucket", "before")), ["pattern", "bucket"])
+    placed = groups.withColumn("within", F.coalesce(within, F.lit(0))).join(bounded(starts.select("pattern", "bucket", "before"), STARTS), ["pattern", "bucket"])
     # the middle of a document decides to which stretch it belongs, at each walk along the line
     mid = F.col("before") + F.col("within") + F.expr("n_tokens div 2")
     first = F.greatest(F.lit(0), F.ceil((F.col("a") - mid) / F.col("size")))
@@ -158,6 +163,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
 
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, n_docs, n_tokens, share, most_times): the shares reached."""
+    chosen = stored(chosen)
     got = chosen.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("times")).alias("n_tokens"), F.max("times").alias("most_times"))
     goal = targets.where("source is not null").groupBy("source").agg(F.min("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     full = goal.join(got, "source", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
@@ -166,3 +172,12 @@ def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
         "source", "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "n_tokens",
         (F.col("n_tokens") / F.lit(float(whole) if whole else None)).alias("share"), F.coalesce("most_times", F.lit(0)).alias("most_times"),
     )
+
+
+#: By how much a share may miss its target: documents are not cut, and a copy may be shorter than the largest one.
+TOLERANCE = 0.005
+
+
+def kept(reached: DataFrame) -> DataFrame:
+    """(source, within_share, within_repeats): whether the shares reached and the repetitions are those asked for."""
+    return reached.select("source", (F.abs(F.col("share") - F.col("target_share")) <= TOLERANCE).alias("within_share"), (F.col("most_times") <= F.col("max_repeats")).alias("within_repeats"))

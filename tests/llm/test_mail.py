@@ -221,8 +221,10 @@ def graded(n: int, seed: int):
     return out
 
 
-def test_level_on_held_out_texts():
-    model = reading.Level(graded(400, 1))
+def test_level_on_held_out_texts(spark):
+    texts = graded(400, 1)
+    labels = spark.createDataFrame([(k, int(g), "r") for k, (g, _) in enumerate(texts)], "doc_id bigint, grade int, rater string")
+    model = reading.fit(spark.createDataFrame([(k, message(" ".join(w)), "s", None, 1, "", 1, 1.0) for k, (_, w) in enumerate(texts)], DOC), labels)
     errors = [abs(model.of(w)[0] - g) for g, w in graded(200, 2)]
     assert sum(errors) / len(errors) < 1.5
     assert model.of([])[0] is None and model.of(["unbekannt"] * 50)[0] is None
