@@ -236,7 +236,9 @@ def test_levels(spark):
     labels = spark.createDataFrame([(k, int(g), "r") for k, (g, _) in enumerate(texts)] + [(0, None, "r"), (5, 18, "q"), (9999, 3, "r"), (None, 3, "r")], "doc_id bigint, grade int, rater string")
     d = spark.createDataFrame(docs, DOC)
     got = {r["doc_id"]: r["level"] for r in reading.levels(d, labels).collect()}
-    assert len(got) == 204 and got[900] is None and got[901] is None and got[902] is None
+    assert len(got) == 204 and got[900] is None and got[902] is None
+    basis = {r["doc_id"]: r["basis"] for r in reading.levels(d, labels).collect()}
+    assert basis[901] == "shape" and got[901] is not None and basis[1] == "words" and basis[900] is None
     assert sum(abs(got[k] - g) for k, (g, _) in enumerate(texts)) / 200 < 1.5
     assert reading.profile(reading.levels(d, labels), d).where("level is null").count() > 0
     none = reading.levels(d, labels.limit(0))
