@@ -3,8 +3,8 @@
 A text is a node of a graph; its edges encode it with one codec and decode the bytes with another, or unescape it.
 A best-first search with a set of visited texts and byte strings expands the node of the lowest cost first; the cost is
 a character plausibility (bigram model of the whole corpus) plus a price for each step. It ends when the cheapest node
-left is plausible throughout, or when none is left that is not a detour: a node may be worse than the text itself by
-``DETOUR``, or by ``DETOUR_SHARE`` for each of its characters. A text is garbled if a cheaper one is reached by the
+left is plausible throughout, or when none is left that is not a detour: a node may be worse than the best text so far
+by ``DETOUR``, or by ``DETOUR_SHARE`` for each of the characters of that. A text is garbled if a cheaper one is reached by the
 margin, if it holds control characters that only a wrong decoding leaves, or if a replacement character stands where
 the text was not merely cut.
 
@@ -62,8 +62,8 @@ PLAUSIBLE = 4.6
 ALONE = 3.5
 #: Steps to a plausible text; texts with look-alikes allow one.
 MAX_STEPS = 6
-#: How much worse than the text itself a node on the way may be, at least and for each of its characters.
-DETOUR, DETOUR_SHARE = 15.0, 0.5
+#: How much worse than the best text so far a node on the way may be, at least and for each character of that.
+DETOUR, DETOUR_SHARE = 15.0, 0.25
 LOST = "\ufffd"
 #: Nodes that one search expands; a search that needs more is reported.
 MAX_NODES = 1000
@@ -262,11 +262,10 @@ def search(text: str, model: Plausibility, most_steps: int = MAX_STEPS) -> tuple
     best = (first, 0, text, [], 0.0)
     heap = [best]
     seen, seen_bytes, expanded = {text}, set(), 0
-    detour = first + max(DETOUR, DETOUR_SHARE * len(text))
     finished = True
     while heap:
         cost, depth, t, steps, paid = heapq.heappop(heap)
-        if cost > detour or (depth and not _ESCAPE.search(t) and model.worst(t) < PLAUSIBLE):
+        if cost > best[0] + max(DETOUR, DETOUR_SHARE * len(best[2])) or (depth and not _ESCAPE.search(t) and model.worst(t) < PLAUSIBLE):
             break  # the cheapest of all that is left is plausible throughout, or all of it is a detour
         if depth >= most_steps:
             continue
