@@ -11,8 +11,9 @@ The tokens are those of a public byte-level BPE, ``tokenizer`` is the path of it
 from sums over hash buckets, so no line is sorted in one task.
 
 Results for odd input: documents of sources without target, with null source, text or id are not used; a null message
-id stands for itself; a document delivered twice counts once; an empty text has no tokens and is never selected; sources
-without documents make the reachable total zero unless their share is zero; an empty table gives an empty result.
+id stands for itself; a document delivered twice counts once; an empty text has no tokens and is never selected; the
+share of a source without documents is spread over the others in proportion, and is reported as 0 reached; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -142,6 +143,9 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     before = F.coalesce(F.sum("s").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = buckets.withColumn("before", before)
     sizes = {tuple(r["pattern"]): int(r["s"]) for r in buckets.groupBy("pattern").agg(F.sum("s").alias("s")).toLocalIterator()}
+    there = {s for p in sizes for s in p}
+    whole = sum(share for s, (share, _) in goal.items() if s in there) or 1.0
+    goal = {s: (share / whole, most) for s, (share, most) in goal.items() if s in there}
     _, given = route(sizes, goal, total)
     # each source's stretch of a pattern's line; the line repeats after the pattern's size
     stretches, ends = [], {}

@@ -208,6 +208,8 @@ def test_mixture(spark):
     assert all(own[r["doc_id"]] == r["source"] and 1 <= r["times"] <= most[r["source"]] for r in rows)
     got = {r["source"]: r["share"] for r in mixing.shares(m, goal).collect()}
     assert got["a"] == pytest.approx(0.4, abs=0.02) and got["b"] == pytest.approx(0.3, abs=0.02) and got["c"] == pytest.approx(0.3, abs=0.02)
+    more = goal.union(spark.createDataFrame([("nowhere", 0.5, 1, 9.0)], goal.schema))
+    assert {r["source"]: round(r["share"], 2) for r in mixing.shares(mixing.mixture(d, more), more).collect()} == {**{k: round(v, 2) for k, v in got.items()}, "nowhere": 0}
     assert mixing.mixture(d.limit(0), goal).count() == 0
 
 
