@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import comps, edits, layers, metadata, pixels, text, tree
 from strata.operators.scan import running
-from strata.session import table
+from strata.session import bounded, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -104,14 +104,9 @@ def nonempty_pixel_layers(spark: SparkSession, d: str) -> DataFrame:
     return _layers(spark, d).where(F.col("layer_type").isin(layers.PIXEL_TYPES) & (w > 0) & (h > 0)).select("path", "idx", "layer_type", w.alias("width"), h.alias("height"))
 
 
-@query(f"""WITH {_L}, N AS (SELECT path, idx, coalesce(nullif(name_unicode, ''), nullif(layer_name, ''), '') AS name FROM L WHERE layer_type <> 'HIDDEN' AND regexp_full_match(coalesce(nullif(name_unicode, ''), nullif(layer_name, ''), ''), '[ -~]*'))
-    SELECT path, idx, name, coalesce(nullif(regexp_replace(regexp_replace(name, '[^A-Za-z0-9_\\-.+]+', '_', 'g'), '^_+|_+$', '', 'g')[1:40], ''), 'layer') AS safe FROM N""")
+@query(f"""WITH {_L}, N AS (SELECT path, idx, coalesce(nullif(name_unicode, ''), nullif(layer_name, ''), '') AS name FROM L WHERE layer_type <> 'HIDDEN')
+    SELECT path, idx, name, coalesce(nullif(substring(regexp_replace(regexp_replace(name, '[^\\p{{L}}\\p{{N}}_\\-.+]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40), ''), 'layer') AS safe FROM N""")
 def safe_names(spark: SparkSession, d: str) -> DataFrame:
-    return all_safe_names(spark, d).where(F.col("name").rlike("^[ -~]*$"))  # as in the SQL, whose classes are those of ASCII
-
-
-@query()
-def all_safe_names(spark: SparkSession, d: str) -> DataFrame:
     n = _layers(spark, d).where("layer_type <> 'HIDDEN'").select("path", "idx", layers.display_name().alias("name"))
     return n.withColumn("safe", layers.safe_name(F.col("name")))
 
@@ -264,7 +259,7 @@ def _next_of(df: DataFrame, column: str, name: str) -> DataFrame:
     ranged = df.repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id())
     heads = ranged.groupBy("_p").agg(F.min(column).alias("_head")).withColumn("_next", F.lead("_head").over(Window.orderBy("_p")))  # one row per range
     w = Window.partitionBy("_p").orderBy(column)
-    return ranged.withColumn(name, F.lead(column).over(w)).join(F.broadcast(heads), "_p").select(column, F.coalesce(name, "_next").alias(name)).where(F.col(name).isNotNull())
+    return ranged.withColumn(name, F.lead(column).over(w)).join(heads, "_p").select(column, F.coalesce(name, "_next").alias(name)).where(F.col(name).isNotNull())
 
 
 @query(f"""WITH RECURSIVE {_L}, {_D}, N AS (SELECT path, greatest(coalesce(max(layer_id), 0), 0) + 1 AS next_id FROM D GROUP BY path),
@@ -369,7 +364,7 @@ def indexed_palette(spark: SparkSession, d: str) -> DataFrame:
     rows = F.struct(k, (F.col("p_size") * 5).alias("r"), (k * 7 % 256).cast("int").alias("g"), (k * 13 % 256).cast("int").alias("b"))
     palette = table(spark, d, "part").groupBy((k % 256).cast("int").alias("color")).agg(F.min(rows).alias("p")).select("color", "p.r", "p.g", "p.b")
     # a palette has at most 256 entries
-    return _pixels(spark, d).select("l_orderkey", "l_linenumber", F.col("c").alias("color")).join(F.broadcast(palette), "color", "left").withColumn("a", F.when(F.col("color") == 17, 0).otherwise(255))
+    return _pixels(spark, d).select("l_orderkey", "l_linenumber", F.col("c").alias("color")).join(bounded(palette), "color", "left").withColumn("a", F.when(F.col("color") == 17, 0).otherwise(255))
 
 
 @query(f"""WITH {_PX} SELECT l_orderkey, l_linenumber, CASE WHEN c % 64 >= 5 AND c % 64 < 45 AND m % 48 >= 3 AND m % 48 < 35 THEN (a * k) // 255 WHEN l_linenumber % 2 = 0 THEN 0 ELSE a END AS a FROM X""")
@@ -493,7 +488,7 @@ def run_fit_lengths(spark: SparkSession, d: str) -> DataFrame:
     SELECT path, idx, CAST(run % 30 AS INTEGER) AS font_no, count(*) AS n, coalesce(min(n_name), 'default') AS font_name FROM R LEFT JOIN nation ON n_nationkey = run % 30 GROUP BY path, idx, run % 30""")
 def font_resolve(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "text_runs").select("path", "idx", "run").distinct().withColumn("font_no", F.col("run") % 30)
-    fonts = F.broadcast(table(spark, d, "nation").select(F.col("n_nationkey").alias("font_no"), F.col("n_name").alias("font_name")))  # a font list is short
+    fonts = bounded(table(spark, d, "nation").select(F.col("n_nationkey").alias("font_no"), F.col("n_name").alias("font_name")))
     return text.resolve_fonts(runs, fonts, "default").groupBy("path", "idx", "font_no").agg(F.count("*").alias("n"), F.min("font_name").alias("font_name"))
 
 
@@ -561,12 +556,6 @@ def text_index_join(spark: SparkSession, d: str) -> DataFrame:
     return t.drop("text").join(bodies, ["path", "text_index"], "left").select("path", "idx", "text_index", F.coalesce("n_bodies", F.lit(0)).alias("n_bodies"))
 
 
-@query(f"""WITH {_T} SELECT path, count(*) AS n_edits, CASE WHEN bool_or(text_index IS NULL) THEN 'REMOVE' ELSE 'SYNC' END AS policy, bool_or(text_index IS NULL) AS dropped FROM T WHERE text IS NOT NULL AND ends_with(text, chr(13)) GROUP BY path""")
-def txt2_sync_or_drop(spark: SparkSession, d: str) -> DataFrame:
-    e = _text(spark, d).where(F.col("text").endswith(text.PARAGRAPH_END)).groupBy("path").agg(F.count("*").alias("n_edits"), F.bool_or(F.col("text_index").isNull()).alias("dropped"))
-    return e.select("path", "n_edits", F.when(F.col("dropped"), "REMOVE").otherwise("SYNC").alias("policy"), "dropped")
-
-
 # ------------------------------------------------------------------------------------------------ descriptors and comps
 
 

@@ -18,10 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_checkpoint(spark: SparkSession) -> None:
-    """Make sure ``checkpoint()`` has a folder: the cluster's own setting, or a local one where none is set."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    """Make sure ``checkpoint()`` has a folder: the cluster's own setting, or a local one in local mode where none is set."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
         return
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "strata-checkpoint"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if folder is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "strata-checkpoint"))
 
 
 def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
